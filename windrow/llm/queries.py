@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from windrow.llm import encoding, leakage, linking, mixing, pairs, residue, splitting, truncation
@@ -17,7 +17,9 @@ from windrow.sources import read_table
 
 LOG = ("call_id", "attempt_index", "prompt_text", "raw_response", "model_version")
 #: The source of a part, as it is reported.
-PART_SOURCE = F.concat_ws("/", F.coalesce("corpus_alias", F.lit("?")), F.coalesce("policy_revision", F.lit("?")))
+def part_source() -> Column:
+    return F.concat_ws("/", F.coalesce("corpus_alias", F.lit("?")), F.coalesce("policy_revision", F.lit("?")))
+
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -75,7 +77,7 @@ def _truncated(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     model = truncation.fit_ends(log.select(F.col("call_id").alias("k"), F.col("raw_response").alias("t")).unionByName(parts.select(F.col("part_id").alias("k"), F.col("text").alias("t"))), "k", "t", 2 * truncation.FIT_ROWS)
     cut_log = pairs.find_defects(log, model, only_truncated=True)
     # what residue explains is no cut; only the few cut parts are looked at
-    cut_parts = written(truncation.find_truncated(parts, ["part_id"], "text", PART_SOURCE, model), "cut")
+    cut_parts = written(truncation.find_truncated(parts, ["part_id"], "text", part_source(), model), "cut")
     plain = residue.fit(parts, "part_id", "text")
     spoilt = residue.find_residue(cut_parts, plain, ["part_id"], "text").select("part_id").distinct()
     return cut_log, cut_parts.join(spoilt, "part_id", "left_anti").groupBy("part_id").agg(F.min("source").alias("source"))
@@ -91,7 +93,7 @@ def p4_shares(spark: SparkSession, sf: str) -> DataFrame:
     """How often each source truncates: src_table, source, n, n_cut, share_cut."""
     cut_log, cut_parts = _truncated(spark, sf)
     log = read_table(spark, sf, "raw_llm_log", ("call_id", "attempt_index", "model_version")).withColumnRenamed("model_version", "source")
-    parts = read_table(spark, sf, "spine_parts", ("part_id", "corpus_alias", "policy_revision")).select("part_id", PART_SOURCE.alias("source"))
+    parts = read_table(spark, sf, "spine_parts", ("part_id", "corpus_alias", "policy_revision")).select("part_id", part_source().alias("source"))
     a = truncation.shares_cut(log, cut_log, ["call_id", "attempt_index"]).select(F.lit("raw_llm_log").alias("src_table"), "*")
     return a.unionByName(truncation.shares_cut(parts, cut_parts, ["part_id"]).select(F.lit("spine_parts").alias("src_table"), "*"))
 
