@@ -2,30 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from windrow.operators import schema_drift
+from windrow.plans import graph_queries, ledger_queries, metric_queries, relational_queries, text_queries  # noqa: F401 - they register
+from windrow.registry import QUERIES, SQL, query
 from windrow.sources import read_table
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a query under its function's name, with its SQL if there is any."""
-
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
+__all__ = ["QUERIES", "SQL"]
 
 METRICS = ("run_id", "checkpoint_step", "file_id", "payload")
 
