@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def _span(*fields: tuple[str, T.DataType]) -> T.StructType:
+    return T.StructType([T.StructField(n, t) for n, t in fields])
+
+
 def norm_ws(x: Column) -> Column:
     """White space collapsed to single spaces, ends trimmed."""
     return F.trim(F.regexp_replace(x, r"(?U)\s+", " "))
@@ -159,17 +163,17 @@ def sentence_spans(text: str) -> list[tuple[int, int]]:
     return out
 
 
-@F.udf("array<struct<start:int,end:int,sentence:string>>", useArrow=True)
+@F.udf(T.ArrayType(_span(("start", T.IntegerType()), ("end", T.IntegerType()), ("sentence", T.StringType()))), useArrow=True)
 def sentences(text: str | None) -> list[dict] | None:
     return None if text is None else [{"start": a, "end": b, "sentence": text[a:b]} for a, b in sentence_spans(text)]
 
 
-@F.udf("array<struct<token:string,start:int,end:int>>", useArrow=True)
+@F.udf(T.ArrayType(_span(("token", T.StringType()), ("start", T.IntegerType()), ("end", T.IntegerType()))), useArrow=True)
 def token_offsets(text: str | None) -> list[dict] | None:
     return None if text is None else [{"token": m.group(), "start": m.start(), "end": m.end()} for m in _TOKEN.finditer(text)]
 
 
-@F.udf("double", useArrow=True)
+@F.udf(T.DoubleType(), useArrow=True)
 def ratio(a: str | None, b: str | None) -> float | None:
     """Ratio of matching characters of two strings, which edit distance isn't."""
     return None if a is None or b is None else difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
@@ -214,7 +218,7 @@ def trivial_reason(a: Column, b: Column, stopwords: Sequence[str]) -> Column:
     return F.when(a == b, "normalized_equal").when(stop(a) & stop(b), "function_words").when(compact(a) == compact(b), "hyphenation_or_casing").when(single(a) == single(b), "pluralization").when(ratio(a, b) > 0.85, "high_string_similarity")
 
 
-@F.udf("string", useArrow=True)
+@F.udf(T.StringType(), useArrow=True)
 def first_object(text: str | None) -> str | None:
     """The first JSON object within free text, or null."""
     import json

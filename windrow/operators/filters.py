@@ -26,8 +26,10 @@ def cascade(df: DataFrame, rules: Sequence[tuple[str, Column]], stage: str = "st
     for c in (stage, reason):
         if c in df.columns:
             raise ValueError(f"{c} is a column already; name another")
-    number = first_match([(str(i), r) for i, (_, r) in enumerate(rules)]).cast("int")
-    return df.withColumn(stage, number).withColumn(reason, F.element_at(F.array(*[F.lit(n) for n, _ in rules]), F.col(stage) + 1) if rules else F.lit(None).cast("string"))
+    number = F.when(rules[0][1], 0) if rules else F.lit(None).cast("int")
+    for i, (_, holds) in enumerate(rules[1:], 1):
+        number = number.when(holds, i)
+    return df.withColumns({stage: number, reason: first_match(rules)})
 
 
 def funnel(df: DataFrame, rules: Sequence[tuple[str, Column]]) -> DataFrame:

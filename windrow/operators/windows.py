@@ -50,7 +50,7 @@ def delta_from_start(df: DataFrame, keys: Sequence[str], step: str, value: str)
 
 def densified(df: DataFrame, keys: Sequence[str], step: str, values: Sequence[str], steps: Sequence[int]) -> DataFrame:
     """Every key with every step; values of missing steps are null."""
-    grid = df.select(*keys).distinct().select(*keys, F.explode(F.array(*[F.lit(s) for s in steps])).cast(df.schema[step].dataType).alias(step))
+    grid = df.select(*keys).distinct().select(*keys, F.explode(F.array(*[F.lit(s).cast(df.schema[step].dataType) for s in steps])).alias(step))
     return grid.join(df.select(*keys, step, *values), [*keys, step], "left")
 
 
