@@ -101,6 +101,24 @@ xxx xxxx xxxxxx xxxxx xxx xxxxx xxxx xxx xxxxxx xxxx xxxxx xxx xxx xxxx xxxxxx x
 xxxxx xxxxx xxxx xxxxxx xxx xxx xxxxx xxxxxx xxxx xxx xxxxx xxx xxxx xxxx xxxxxx.
 blah blah blah blah blah. asdf asdf asdf asdf. qwerty qwerty qwerty. foo bar baz foo bar baz. test test test test.
 """
+PROSE = """
+The set of plots was sampled twelve times, and the first two rows of the table were left out of the mean.
+Entries in brackets keep the spelling of the first hand; the labels followed one pattern and were checked in the field.
+We thank the keepers who found the missing sheets and the readers who wrote to us about errors in the older pages.
+A page of the ledger was torn, so the count for that week could not be used; the server of the inn remembered the storm.
+Access to the shore is closed in spring. The road was under repair, and visitors had to ask the warden for permission.
+The script of the play was found in the library, together with a note on how the text was to be filled in later.
+In the evening the children walked home along the river, and their mother told them what she had seen in the town.
+Methods differ between authors; results are given as medians with ranges, and values below the limit count as zero.
+She opened the letter slowly, read it twice, and put it back into the drawer without saying a word to anyone.
+The committee met on Monday to discuss the budget, the new bridge and the request of two villages for a school.
+Das Haus am Fluss war seit Jahren leer, und niemand wusste, wem der Garten gehörte. Die Werte sind im Mittel gestiegen.
+La maison au bord de la rivière était vide depuis des années, et personne ne savait à qui appartenait le jardin.
+La casa junto al río estaba vacía desde hacía años, y nadie sabía de quién era el jardín. Los valores subieron poco a poco.
+A casa à beira do rio estava vazia há anos, e ninguém sabia de quem era o jardim. Os valores subiram pouco a pouco.
+name | site | count
+Notes: see the second sheet. Question. Answer. Figure 3. Table 2. Chapter 4. First part. Least likely.
+"""
 SLOT_NAMES = ["name", "title", "summary", "display_name", "value", "section", "season", "first name", "company", "date", "part_title", "trait_list", "USER_NAME", "CITY", "item.title"]
 SLOT_FORMS = ["{{{{{0}}}}}", "{{{{ {0} }}}}", "{{{0}}}", "${{{0}}}", "<%= {0} %>", "<% {0} %>", "{{% if {0} %}}", "%({0})s", "@@{0}@@", "__{1}__", "[[{0}]]", "[[{0}: to be supplied]]", "[INSERT {1}]", "[insert {0} here]", "[{0} goes here]", "[Name of {0}]", "[Your {0}]", "<{1}>", "<<{0}>>", "#{{{0}}}", "%%{1}%%"]
 MISSING_FRAMES = ["near {0} in {0}.", "counted {0} individuals", "Compared with {0}, {0} prefers {0} ground.", "The name is {0} and its place is {0}.", "known from {0}; its usual size is {0} mm.", "Dear {0},", "by {0} on {0}", "{0} was seen at {0} with {0}", "of {0} and {0}"]
@@ -209,9 +227,10 @@ class ResidueModel:
     def __init__(self, prose: list[str]) -> None:
         s = seeds()
         self.tables: dict[str, np.ndarray] = {}
+        base = [x.strip() for x in PROSE.strip().splitlines()]  # so that a small corpus has a model of prose too
         fitted = {"residue": _Gram(s["residue"], LITERAL, N_LITERAL), "missing": _Gram(s["missing"], LITERAL, N_LITERAL), "slot": _Gram(s["slot"], SHAPE, N_SHAPE)}
         for _ in range(2):  # the second time without what the first calls residue
-            literal, shape = _Gram(prose, LITERAL, N_LITERAL, once=True), _Gram(prose, SHAPE, N_SHAPE, once=True)
+            literal, shape = _Gram(base + prose, LITERAL, N_LITERAL, once=True), _Gram(base + prose, SHAPE, N_SHAPE, once=True)
             self.tables = {k: _ratio(m, shape if k == "slot" else literal) for k, m in fitted.items()}
             found = self.find(prose)
             prose = [t for t, f in zip(prose, found) if not f]
@@ -222,8 +241,9 @@ class ResidueModel:
         if not texts:
             return out
         lengths = np.array([len(t) for t in texts], np.int64)
-        first = np.concatenate([[0], np.cumsum(lengths + 1)])
-        whole = "\n".join(texts) + "\n"
+        # texts are parted by as many line ends as a 4-gram looks back, so each is scored as if alone
+        first = np.concatenate([[0], np.cumsum(lengths + 3)])
+        whole = "\n\n\n".join(texts) + "\n\n\n"
         cp = _codes(whole)
         literal, shape = LITERAL[cp], SHAPE[cp]
         # segments: lines, and sentences that end before white space
@@ -232,7 +252,8 @@ class ResidueModel:
         after = np.concatenate([shape[1:], [4]])
         # a line that goes on with a small letter was only wrapped
         ends = stop & np.concatenate([space[1:], [True]]) | (literal == 28) & (after != 0)
-        ends[first[1:] - 1] = True
+        for k in (1, 2, 3):
+            ends[first[1:] - k] = True
         cuts = np.concatenate([[0], np.flatnonzero(ends) + 1])
         cuts = cuts[cuts < len(cp)]
         sizes = np.diff(np.concatenate([cuts, [len(cp)]]))
@@ -240,6 +261,9 @@ class ResidueModel:
         for kind, index, need in (("residue", grams, EVIDENCE), ("missing", grams, 6.0), ("slot", _grams(shape, N_SHAPE), 2.5)):
             llr = self.tables[kind][index].astype(np.int64)
             llr[(literal == 28) | space & (kind == "residue")] = 0
+            if kind != "slot":  # signs that are rare anywhere are no evidence
+                llr[(literal >= 38) & (llr > 0)] = 0
+                llr[1:][(literal[1:] >= 29) & (literal[1:] == literal[:-1]) & (llr[1:] > 0)] = 0  # nor are runs of one
             total = np.cumsum(llr)
             # the best window of each segment: running minimum of the prefix sums, restarted by a fall at each segment
             fall = np.repeat(np.arange(len(cuts), dtype=np.int64) * (1 << 24), sizes)
@@ -263,6 +287,9 @@ class ResidueModel:
             segment = whole[a:b].strip()
             visible = len(segment.replace(" ", ""))
             covered = len("".join(whole[s:e].split()))
+            longest = max((len(w) for w in segment.split()), default=0)
+            if longest > 60 and 2 * longest > visible and not any(c in segment for c in "<{"):
+                return  # a long unbroken run
             if visible and covered >= COVERAGE * visible and evidence >= RATE * covered:
                 found.append((a - at, b - at, "notice_or_filler"))
         elif kind == "slot":
