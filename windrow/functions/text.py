@@ -110,7 +110,7 @@ def has_control(x: Column) -> Column:
 
 def paragraphs(x: Column) -> Column:
     """Paragraphs that aren't blank, trimmed."""
-    return F.filter(F.transform(F.split(x, r"\n\s*\n"), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(x, r"\n\s*\n"), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def mask_values(x: Column) -> Column:

@@ -42,11 +42,11 @@ def decomposition(df: DataFrame, keys: Sequence[str], f: str, y: str, given: str
     """
     joint = joint_counts(df, keys, [f, y, given])
     margins = {"f": [f], "y": [y], "fy": [f, y], "l": [given], "fl": [f, given], "yl": [y, given], "fyl": [f, y, given]}
-    tagged = joint.select(*keys, "n", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.concat_ws("\x1f", *[F.col(c).cast("string") for c in cs]).alias("c")) for k, cs in margins.items()])).alias("m"))
-    cells = tagged.groupBy(*keys, "m.k", "m.c").agg(F.sum("n").alias("n"))
+    tagged = joint.select(*keys, "n", F.explode(F.array(*[F.struct(F.lit(m).alias("_m"), F.concat_ws("\x1f", *[F.col(c).cast("string") for c in cs]).alias("_c")) for m, cs in margins.items()])).alias("_cell"))
+    cells = tagged.select(*keys, "n", "_cell._m", "_cell._c").groupBy(*keys, "_m", "_c").agg(F.sum("n").alias("n"))
     h = F.sum(F.when(F.col("n") > 0, F.col("n") * F.log2("n")))
-    per = cells.groupBy(*keys, "k").agg((F.log2(F.sum("n")) - h / F.sum("n")).alias("h"), F.sum("n").alias("n"))
-    wide = per.groupBy(*keys).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("k") == k, F.col("h"))).alias(f"h_{k}") for k in margins])
+    per = cells.groupBy(*keys, "_m").agg((F.log2(F.sum("n")) - h / F.sum("n")).alias("_h"), F.sum("n").alias("n"))
+    wide = per.groupBy(*keys).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("_m") == m, F.col("_h"))).alias(f"h_{m}") for m in margins])
     i = F.col("h_f") + F.col("h_y") - F.col("h_fy")
     cmi = F.col("h_fl") + F.col("h_yl") - F.col("h_l") - F.col("h_fyl")
     return wide.select(*keys, "n", i.alias("i_f_y"), cmi.alias("i_f_y_given"), (i - cmi).alias("mu"), safe_divide(i - cmi, i).alias("ratio"))
@@ -108,14 +108,14 @@ def bootstrap_accuracy(df: DataFrame, keys: Sequence[str], correct: str, cluster
 
     Rows come as counts: without clusters a draw is binomial; clusters come as their sums, a row each.
     """
-    d = df.where(F.col(correct).isNotNull()).select(*keys, F.col(correct).cast("int").alias("_c"), (F.col(cluster).cast("string") if cluster else F.lit("")).alias("_k"))
-    sums = d.groupBy(*keys, "_k").agg(F.sum("_c").alias("k"), F.count(F.lit(1)).alias("n"))
+    d = df.where(F.col(correct).isNotNull()).select(*keys, F.col(correct).cast("int").alias("_c"), (F.col(cluster).cast("string") if cluster else F.lit("")).alias("_u"))
+    sums = d.groupBy(*keys, "_u").agg(F.sum("_c").alias("_k"), F.count(F.lit(1)).alias("_n"))
     kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rng = np.random.default_rng(seed_of(seed, *key))
-        pdf = pdf.sort_values("_k")
-        k, n = pdf["k"].to_numpy(float), pdf["n"].to_numpy(float)
+        pdf = pdf.sort_values("_u")
+        k, n = pdf["_k"].to_numpy(float), pdf["_n"].to_numpy(float)
         mean = k.sum() / n.sum()
         if cluster is None:
             values = rng.binomial(int(n.sum()), mean, draws) / n.sum()

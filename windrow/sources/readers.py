@@ -26,7 +26,7 @@ def jsonl(spark: SparkSession, path: str, schema: T.StructType, exact_keys: bool
     """JSON lines of objects; blank lines are skipped. A line that is no object of the types stops the job with its file and text;
     with ``exact_keys`` so does one whose keys aren't exactly the schema's."""
     lines = spark.read.text(path).where(F.trim("value") != "").withColumn("_file", F.input_file_name())
-    parsed = lines.withColumn("_o", F.from_json("value", schema, {"mode": "PERMISSIVE"})).withColumn("_k", F.json_object_keys("value"))
+    parsed = lines.withColumn("_o", F.from_json("value", schema, {"mode": "FAILFAST"})).withColumn("_k", F.json_object_keys("value"))
     good = F.col("_o").isNotNull() & F.col("_k").isNotNull()
     if exact_keys:
         good = good & (F.array_sort("_k") == F.array(*[F.lit(k) for k in sorted(schema.fieldNames())]))
