@@ -44,15 +44,24 @@ def pieces_of(encoder: FragmentEncoder, text: str, limit: int, overlap: int, fil
     at = np.concatenate([[0], byte_ends])
     whole = np.concatenate([starts, [True]])[at]
     chars = np.where(whole, chars_before[at], -1)
-    place = {c: k for k, c in enumerate(chars.tolist()) if c >= 0}
-    levels = [(name, sorted(k for m in pattern.finditer(text) if (k := place.get(m.start())))) for name, pattern in LEVELS]
+    token_at = np.full(len(text) + 1, -1, np.int64)
+    token_at[chars[whole]] = np.flatnonzero(whole)
+    found: list[list[int]] = []  # boundaries of a level, made when it is first asked for
+
+    def ends_of(level: int) -> list[int]:
+        if level == len(found):
+            k = token_at[[m.start() for m in LEVELS[level][1].finditer(text)]]
+            found.append(np.sort(k[k >= 0]).tolist())
+        return found[level]
+
     start, shared = 0, 0
     while True:
         if n - start <= limit:
             yield int(chars[start]), len(text), n - start, shared, "end"
             return
         end, kind = 0, "hard"
-        for name, ends in levels:
+        for level, (name, _) in enumerate(LEVELS):
+            ends = ends_of(level)
             i = bisect_right(ends, start + limit) - 1
             if i >= 0 and ends[i] >= start + max(fill * limit, overlap + 1):
                 end, kind = ends[i], name
