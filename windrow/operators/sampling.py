@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from windrow.operators.prefix import running
+
 
 def hash_rank(key: str, seed: str) -> Column:
     """The digest by which rows are put in a random but repeatable order."""
@@ -53,8 +55,8 @@ def shuffled_options(key: Column, options: Column) -> Column:
 
 
 def evenly_spaced(df: DataFrame, key: str, n: int) -> DataFrame:
-    """``n`` rows at even distances in the order of the key (halves round to even), from a bounded list of ids."""
-    ranked = df.withColumn("_r", F.row_number().over(W.orderBy(key)) - 1).withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(F.lit(0))))
+    """``n`` rows at even distances in the order of the key, which identifies a row (halves round to even)."""
+    ranked = running(df, [F.col(key)], {"_r": "1"}).withColumn("_r", F.col("_r") - 1).crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("_n"))))
     places = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.bround(i * (F.col("_n") - 1) / F.lit(max(1, n - 1))).cast("int"))
     return ranked.where(F.array_contains(places, F.col("_r").cast("int"))).drop("_r", "_n")
 

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from windrow.operators.prefix import running
+
 
 def coverage_curve(df: DataFrame, entity: str, doc: str) -> DataFrame:
     """Rank of each entity by (-documents, entity), the documents it adds to those of better ranks, and their running sum.
@@ -16,11 +18,11 @@ def coverage_curve(df: DataFrame, entity: str, doc: str) -> DataFrame:
     """
     pairs = df.select(entity, doc).distinct()
     sizes = pairs.groupBy(entity).agg(F.count(F.lit(1)).alias("n_docs"))
-    ranked = sizes.withColumn("rank", F.row_number().over(W.orderBy(F.desc("n_docs"), entity)))
+    ranked = running(sizes, [F.desc("n_docs"), F.col(entity)], {"rank": "1"})
     home = pairs.join(ranked.select(entity, "rank"), entity).groupBy(doc).agg(F.min("rank").alias("rank"))
     gains = home.groupBy("rank").agg(F.count(F.lit(1)).alias("_g"))
-    running = W.orderBy("rank").rowsBetween(W.unboundedPreceding, 0)
-    return ranked.join(gains, "rank", "left").withColumn("gain", F.coalesce("_g", F.lit(0))).withColumn("covered", F.sum("gain").over(running)).drop("_g")
+    gained = ranked.join(gains, "rank", "left").withColumn("gain", F.coalesce("_g", F.lit(0))).drop("_g")
+    return running(gained, [F.col("rank")], {"covered": "gain"})
 
 
 def ranks_reaching(curve: DataFrame, shares: Sequence[float]) -> DataFrame:
