@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from windrow.llm.encoding import VOCABULARY, count_tokens
 from windrow.session import collect_bounded, written
 
-BUCKET_BITS = 10
+#: Rows that a bucket of the prefix sums should hold; buckets grow with the rows, up to 2 to the 16.
+BUCKET_ROWS, MOST_BITS = 2000, 16
 
 
 def _prefix(df: DataFrame, group: list[str], bucket: str, order: list[str], value: str, out: str) -> DataFrame:
@@ -57,6 +58,7 @@ def mix(docs: DataFrame, targets: DataFrame, budget: int | None = None, seed: in
     documents. Ties of the hash are broken by the id. Empty tables give an empty result.
     """
     counted = written(count_tokens(docs.select(F.col(id_column).alias("_id"), F.col(source_column).alias("_source"), F.col(text_column).alias("_text")).where(F.col("_source").isNotNull()), "_text", vocabulary).where("n_tokens > 0"), "mix")
+    bits = min(MOST_BITS, max(4, (counted.count() // BUCKET_ROWS).bit_length()))
     spark = docs.sparkSession
     wanted = [(r[0], r[1], r[2]) for r in collect_bounded(targets.select("source", "target_weight", "max_repeats").distinct(), 10_000)]
     listed = spark.createDataFrame([(s,) for s, _, _ in wanted if s is not None], "_source string")
@@ -69,12 +71,12 @@ def mix(docs: DataFrame, targets: DataFrame, budget: int | None = None, seed: in
         .withColumn("repeat", F.explode(F.sequence(F.lit(0), F.col("_passes") - 1)))
         .withColumn("_hash", h)
         # repeat passes come one after the other; within one, the top bits of the hash are the bucket
-        .withColumn("_bucket", F.col("repeat").cast("long") * (1 << BUCKET_BITS) + F.shiftright("_hash", 64 - BUCKET_BITS) + (1 << (BUCKET_BITS - 1)))
+        .withColumn("_bucket", F.col("repeat").cast("long") * (1 << bits) + F.shiftright("_hash", 64 - bits) + (1 << (bits - 1)))
     )
     served = _prefix(copies, ["_source"], "_bucket", ["_hash", "_id"], "n_tokens", "_served")
     # finish time, and those that begin within the budget
     timed = served.withColumn("finish", F.col("_served") / F.col("_weight")).where((F.col("_served") - F.col("n_tokens")) / F.col("_weight") < F.lit(float(budget)))
-    slot = F.least(F.lit(1 << BUCKET_BITS), F.floor(F.col("finish") / F.lit(max(budget, 1) / (1 << BUCKET_BITS)))).cast("long")
+    slot = F.least(F.lit(1 << bits), F.floor(F.col("finish") / F.lit(max(budget, 1) / (1 << bits)))).cast("long")
     placed = _prefix(timed.withColumn("_slot", slot), [], "_slot", ["finish", "_source", "_id", "repeat"], "n_tokens", "position")
     return placed.where(F.col("position") <= budget).select(F.col("_id").alias(id_column), F.col("_source").alias(source_column), F.col("repeat").cast("int"), "n_tokens", "finish", "position")
 
