@@ -87,15 +87,20 @@ def permutation_band(df: DataFrame, keys: Sequence[str], f: str, y: str, draws:
     kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        table = pdf.pivot_table(index=f, columns=y, values="n", aggfunc="sum", fill_value=0).sort_index().sort_index(axis=1).to_numpy(np.int64)
+        (_, fi), (_, yi) = np.unique(pdf[f].astype(str), return_inverse=True), np.unique(pdf[y].astype(str), return_inverse=True)
+        table = np.zeros((fi.max() + 1, yi.max() + 1), np.int64)
+        np.add.at(table, (fi, yi), pdf["n"].to_numpy(np.int64))
         rng = np.random.default_rng(seed_of(seed, *key))
-        rows, cols = table.sum(1), table.sum(0)
-        null = np.empty((draws, *table.shape), np.int64)
-        for d in range(draws):
-            left = cols.copy()
-            for i, r in enumerate(rows):
-                null[d, i] = rng.multivariate_hypergeometric(left, r) if r else 0
-                left = left - null[d, i]
+        # all draws at once, cell by cell: each cell is hypergeometric given those before it
+        null = np.zeros((draws, *table.shape), np.int64)
+        left = np.repeat(table.sum(0)[None], draws, axis=0)
+        for i, r in enumerate(table.sum(1)):
+            todo = np.full(draws, r, np.int64)
+            for j in range(table.shape[1]):
+                rest = left[:, j + 1 :].sum(1)
+                null[:, i, j] = rng.hypergeometric(left[:, j], rest, todo) if j + 1 < table.shape[1] else todo
+                todo = todo - null[:, i, j]
+            left = left - null[:, i]
         values, mine = mi_bits(null), float(mi_bits(table))
         p95 = float(np.percentile(values, 95))
         return pd.DataFrame([(*key, int(table.sum()), mine, float(values.mean()), p95, mine > p95)], columns=[*keys, "n", "information", "null_mean", "null_p95", "clears"])

@@ -54,6 +54,11 @@ def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
 
 
 def widened(df: DataFrame) -> DataFrame:
-    """``df`` spread over the cores where its files give fewer than half as many tasks, else unchanged."""
+    """``df`` spread over the cores where its files give fewer than half as many tasks, else unchanged.
+
+    Only plans that scan without a shuffle are looked at; others have their partitions from it.
+    """
+    if "Exchange" in df._jdf.queryExecution().sparkPlan().toString():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() * 2 >= cores else df.repartition(cores)
