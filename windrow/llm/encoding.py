@@ -19,6 +19,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from windrow.session import widened
 
 #: Where the public vocabulary lies by default; every operator takes another path.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -121,7 +122,7 @@ def encode_texts(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=[id_column, "ids"])
 
     kind = df.schema[id_column].dataType.simpleString()
-    return df.select(id_column, text_column).mapInArrow(encode, f"`{id_column}` {kind}, ids array<int>")
+    return widened(df.select(id_column, text_column)).mapInArrow(encode, f"`{id_column}` {kind}, ids array<int>")
 
 
 def count_tokens(df: DataFrame, text_column: str = "text", vocabulary: str = VOCABULARY, as_column: str = "n_tokens") -> DataFrame:
@@ -138,4 +139,4 @@ def count_tokens(df: DataFrame, text_column: str = "text", vocabulary: str = VOC
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], n], names=[*batch.schema.names[1:], as_column])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest)
-    return df.select(text_column, *[f.name for f in rest]).mapInArrow(counted, f"{schema}, `{as_column}` bigint")
+    return widened(df.select(text_column, *[f.name for f in rest])).mapInArrow(counted, f"{schema}, `{as_column}` bigint")

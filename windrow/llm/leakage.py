@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from windrow.session import collect_bounded
+from windrow.session import collect_bounded, widened
 
 RUN, BLOCK = 8, 32
 K1, B = 1.2, 0.75
@@ -203,4 +203,4 @@ def find_leaks(passages: DataFrame, id_columns: list[str], text_column: str, sha
             yield pa.RecordBatch.from_arrays([*(c.take(rows) for c in batch.columns[1:]), pa.array(items, pa.string())], names=[*id_columns, item_name])
 
     ids = ", ".join(f"`{c}` {passages.schema[c].dataType.simpleString()}" for c in id_columns)
-    return passages.select(text_column, *id_columns).mapInArrow(search, f"{ids}, `{item_name}` string").distinct()
+    return widened(passages.select(text_column, *id_columns)).mapInArrow(search, f"{ids}, `{item_name}` string").distinct()

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from windrow.session import widened
 
 #: Rows of the corpus on which the model of prose is fitted, at most; chosen by hash of the key.
 FIT_ROWS = 1500
@@ -360,4 +361,4 @@ def find_residue(df: DataFrame, model: ResidueModel, id_columns: list[str], text
             yield pa.RecordBatch.from_arrays([*(c.take(rows) for c in batch.columns[1:]), pa.array(cols[0], pa.list_(pa.string())), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.float64())], names=[*batch.schema.names[1:], "kinds", "n_spans", "coverage"])
 
     ids = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in id_columns)
-    return df.select(text_column, *id_columns).mapInArrow(scan, f"{ids}, kinds array<string>, n_spans int, coverage double")
+    return widened(df.select(text_column, *id_columns)).mapInArrow(scan, f"{ids}, kinds array<string>, n_spans int, coverage double")

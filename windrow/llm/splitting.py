@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from windrow.llm.encoding import VOCABULARY, FragmentEncoder, encoder_for, shared_vocabulary
+from windrow.session import widened
 
 LIMIT, OVERLAP, FILL = 256, 32, 0.5
 
@@ -118,4 +119,4 @@ def split_texts(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
         types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string()]
         return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(take, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, types))], names=names)
 
-    return df.select(id_column, text_column).mapInArrow(split, f"`{id_column}` {id_kind}, piece_index int, n_pieces int, start_char bigint, end_char bigint, n_tokens int, overlap_tokens int, boundary string, piece string")
+    return widened(df.select(id_column, text_column)).mapInArrow(split, f"`{id_column}` {id_kind}, piece_index int, n_pieces int, start_char bigint, end_char bigint, n_tokens int, overlap_tokens int, boundary string, piece string")
