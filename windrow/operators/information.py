@@ -166,5 +166,5 @@ def table_distance(a: DataFrame, b: DataFrame, keys: Sequence[str], ps: Sequence
 def top_k_overlap(df: DataFrame, item: str, a: str, b: str, k: int) -> DataFrame:
     """Size of the overlap of the top k items by two scores, ties by item, and its lift over chance; one row."""
     ranked = lambda c: df.where(F.col(c).isNotNull()).orderBy(F.desc(c), item).limit(k).select(item)  # noqa: E731 - top k is what is asked
-    n = df.agg(F.countDistinct(item).alias("n"))
-    return ranked(a).join(ranked(b), item).agg(F.count(F.lit(1)).alias("overlap")).crossJoin(n).select("overlap", "n", safe_divide(F.col("overlap") * F.col("n"), F.lit(float(k) * k)).alias("lift"))
+    n = df.select(item).distinct().count()
+    return ranked(a).join(ranked(b), item).agg(F.count(F.lit(1)).alias("overlap")).withColumn("n", F.lit(n)).select("overlap", "n", safe_divide(F.col("overlap") * F.col("n"), F.lit(float(k) * k)).alias("lift"))

@@ -44,7 +44,7 @@ def phrase_hits(texts: DataFrame, key: str, text: str, phrases: DataFrame, phras
     wanted = phrases.select(F.col(phrase_key), X.words(F.col(phrase)).alias("_w")).where("size(_w) > 0").select(phrase_key, F.array_join("_w", " ").alias("_gram"), F.size("_w").alias("_n")).distinct()
     widths = sorted(r[0] for r in wanted.select("_n").distinct().collect())
     if not widths:
-        return texts.select(key).limit(0).crossJoin(phrases.select(phrase_key).limit(0))
+        return texts.select(key).limit(0).withColumn(phrase_key, F.lit(None).cast(phrases.schema[phrase_key].dataType))
     ws = X.words(F.col(text))
     grams = F.flatten(F.array(*[X.ngrams(F.col("_ws"), n) for n in widths]))
     made = texts.select(F.col(key), ws.alias("_ws")).where("_ws is not null").select(key, F.explode(F.array_distinct(grams)).alias("_gram"))

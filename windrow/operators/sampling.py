@@ -56,7 +56,7 @@ def shuffled_options(key: Column, options: Column) -> Column:
 
 def evenly_spaced(df: DataFrame, key: str, n: int) -> DataFrame:
     """``n`` rows at even distances in the order of the key, which identifies a row (halves round to even)."""
-    ranked = running(df, [F.col(key)], {"_r": "1"}).withColumn("_r", F.col("_r") - 1).crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("_n"))))
+    ranked = running(df, [F.col(key)], {"_r": "1"}).withColumn("_r", F.col("_r") - 1).withColumn("_n", F.lit(df.count()))
     places = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.bround(i * (F.col("_n") - 1) / F.lit(max(1, n - 1))).cast("int"))
     return ranked.where(F.array_contains(places, F.col("_r").cast("int"))).drop("_r", "_n")
 

@@ -27,8 +27,8 @@ def coverage_curve(df: DataFrame, entity: str, doc: str) -> DataFrame:
 
 def ranks_reaching(curve: DataFrame, shares: Sequence[float]) -> DataFrame:
     """The first rank at which the curve reaches each share of all that it covers."""
-    total = curve.agg(F.max("covered").alias("_all"))
-    cells = curve.crossJoin(F.broadcast(total)).select("rank", (F.col("covered") / F.col("_all")).alias("_c"), F.explode(F.array(*[F.lit(s) for s in shares])).alias("share"))
+    total = curve.agg(F.max("covered")).first()[0]
+    cells = curve.select("rank", (F.col("covered") / F.lit(total)).alias("_c"), F.explode(F.array(*[F.lit(s) for s in shares])).alias("share"))
     return cells.where("_c >= share").groupBy("share").agg(F.min("rank").alias("rank"))
 
 

@@ -135,11 +135,11 @@ def a37_coverage_at(spark: SparkSession, sf: str) -> DataFrame:
     return aggregates.coverage_at(d, "n_docs_either", [2, 3, 4, 5, 8]).withColumn("share", F.round("share", 9))
 
 
-@query("""WITH n AS (SELECT DISTINCT parent_genus, name_raw FROM wmdp_organisms WHERE parent_genus IS NOT NULL AND name_raw IS NOT NULL AND regexp_full_match(name_raw, '[A-Za-z. ]+')) SELECT parent_genus, count(*) AS n_names, list_sort(list(name_raw)) AS names,
-  arg_min(name_raw, (-len(regexp_split_to_array(trim(name_raw), '\\s+')), -length(name_raw), lower(name_raw), name_raw)) AS preferred FROM n GROUP BY parent_genus""")
+@query("""WITH n AS (SELECT DISTINCT parent_genus, name_raw FROM wmdp_organisms WHERE parent_genus IS NOT NULL AND name_raw IS NOT NULL) SELECT parent_genus, count(*) AS n_names, list_sort(list(name_raw)) AS names,
+  arg_min(name_raw, (-len(regexp_split_to_array(trim(name_raw, ' '), '\\s+')), -length(name_raw), lower(name_raw), name_raw)) AS preferred FROM n GROUP BY parent_genus""")
 def a20_name_sets(spark: SparkSession, sf: str) -> DataFrame:
     """The names typed for each genus and the one preferred for display."""
-    d = read_table(spark, sf, "wmdp_organisms", ("parent_genus", "name_raw")).where("parent_genus is not null").where(F.col("name_raw").rlike("^[A-Za-z. ]+$")).distinct()
+    d = read_table(spark, sf, "wmdp_organisms", ("parent_genus", "name_raw")).where("parent_genus is not null and name_raw is not null").distinct()
     return d.groupBy("parent_genus").agg(F.count(F.lit(1)).alias("n_names"), F.array_sort(F.collect_set("name_raw")).alias("names"), aggregates.preferred_name("name_raw").alias("preferred"))
 
 

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from windrow.functions import values as V
 from windrow.operators import dedupe, joins
+from windrow.operators.prefix import running
 from windrow.registry import query
+from windrow.session import written
 from windrow.sources import read_table
 
 
@@ -54,11 +56,20 @@ def r03_cube(spark: SparkSession, sf: str) -> DataFrame:
     return d.cube("doc_type", "lang").agg(F.count(F.lit(1)).alias("n"), (F.grouping("doc_type") + 2 * F.grouping("lang")).cast("long").alias("g"))
 
 
-@query("SELECT chapter_id, doc_id, rank() OVER w AS r, coalesce(n_chars - lag(n_chars) OVER w, 0) AS step FROM documents WHERE chapter_id <> 'CH-0007' WINDOW w AS (PARTITION BY chapter_id ORDER BY n_chars DESC, doc_id)")
+@query("SELECT chapter_id, doc_id, rank() OVER w AS r, coalesce(n_chars - lag(n_chars) OVER w, 0) AS step FROM documents WHERE chapter_id IS NOT NULL WINDOW w AS (PARTITION BY chapter_id ORDER BY n_chars DESC NULLS LAST, doc_id)")
 def w01_rank(spark: SparkSession, sf: str) -> DataFrame:
-    """Ranks within chapters, without the one chapter whose rows a window would gather in a task; that is ranked by r04."""
-    w = W.partitionBy("chapter_id").orderBy(F.desc("n_chars"), "doc_id")
-    return read_table(spark, sf, "documents", ("doc_id", "chapter_id", "n_chars")).where("chapter_id <> 'CH-0007'").select("chapter_id", "doc_id", F.rank().over(w).alias("r"), F.coalesce(F.col("n_chars") - F.lag("n_chars").over(w), F.lit(0)).alias("step"))
+    """Rank and step to the row before within each chapter.
+
+    One chapter holds a tenth of the rows, so no window gathers a chapter: rows are numbered over the whole sorted table,
+    a chapter's ranks count from its first number, and the row before is found by its number.
+    """
+    d = read_table(spark, sf, "documents", ("doc_id", "chapter_id", "n_chars")).where("chapter_id is not null")
+    n = written(running(d, [F.col("chapter_id"), F.desc_nulls_last("n_chars"), F.col("doc_id")], {"i": "1"}), "ranks")
+    first = n.groupBy("chapter_id").agg(F.min("i").alias("i0"))
+    past = n.select((F.col("i") + 1).alias("i"), F.col("chapter_id").alias("past_chapter"), F.col("n_chars").alias("past"))
+    both = n.join(first, "chapter_id").join(past, "i", "left")
+    step = F.when(F.col("past_chapter") == F.col("chapter_id"), F.col("n_chars") - F.col("past"))
+    return both.select("chapter_id", "doc_id", (F.col("i") - F.col("i0") + 1).alias("r"), F.coalesce(step, F.lit(0)).alias("step"))
 
 
 @query("SELECT chapter_id, doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY chapter_id ORDER BY n_chars DESC, doc_id) AS r FROM documents WHERE chapter_id IS NOT NULL) WHERE r <= 3")

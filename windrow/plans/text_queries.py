@@ -27,12 +27,15 @@ def t01_norm_ws(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", X.norm_ws(F.col("title")).alias("title"), X.ws_count(F.col("title")).cast("long").alias("n_words"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_text"))
 
 
-@query("""SELECT organism_id, regexp_replace(regexp_replace(regexp_replace(lower(n), '^[^a-z0-9_]+', ''), '[^a-z0-9_]+$', ''), '''s$', '') AS term FROM
-  (SELECT DISTINCT organism_id, trim(regexp_replace(name_normalized, '\\s+', ' ', 'g')) AS n FROM wmdp_organisms) WHERE n IS NOT NULL AND regexp_full_match(n, '[ -~]*')""")
+#: SQL class of white space in Unicode, of which the pattern language there has ASCII only.
+_WS = r"[ \t\n\x0b\f\r\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+_SIGNS = r"[^\p{L}\p{N}\p{M}_]+"
+
+
+@query(f"""SELECT organism_id, regexp_replace(regexp_replace(regexp_replace(lower(trim(regexp_replace(name_normalized, '{_WS}', ' ', 'g'), ' ')), '^{_SIGNS}', ''), '{_SIGNS}$', ''), '[''’]s$', '') AS term FROM (SELECT DISTINCT organism_id, name_normalized FROM wmdp_organisms)""")
 def t02_norm_term(spark: SparkSession, sf: str) -> DataFrame:
-    """Of names in ASCII, where the SQL beside it has the same letters."""
     d = read_table(spark, sf, "wmdp_organisms", ("organism_id", "name_normalized")).distinct()
-    return d.where(F.col("name_normalized").rlike("^[ -~]*$")).select("organism_id", X.norm_term(F.col("name_normalized")).alias("term"))
+    return d.select("organism_id", X.norm_term(F.col("name_normalized")).alias("term"))
 
 
 @query()
@@ -68,12 +71,13 @@ def t11_overlap_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return covered.groupBy("question_id").agg(F.count(F.lit(1)).alias("n_covered"), F.round(F.count(F.lit(1)) / F.max("n"), 9).alias("coverage"))
 
 
-@query("SELECT o.organism_id, count(DISTINCT q.question_id) AS n_items FROM (SELECT DISTINCT organism_id, name_normalized FROM wmdp_organisms WHERE length(name_normalized) > 9) o JOIN (SELECT DISTINCT question_id, question FROM wmdp_questions) q ON contains(lower(q.question), lower(o.name_normalized)) GROUP BY ALL")
-def t12_verbatim(spark: SparkSession, sf: str) -> DataFrame:
-    """Items that hold a name verbatim: through the items' two-word phrases, since containment of whole names starts at a word."""
-    names = read_table(spark, sf, "wmdp_organisms", ("organism_id", "name_normalized")).distinct().where("length(name_normalized) > 9")
-    q = F.broadcast(items(spark, sf).select("question_id", "question"))  # a fixed set of 600 items
-    return names.join(q, X.contains_verbatim(F.col("question"), F.col("name_normalized"))).groupBy("organism_id").agg(F.countDistinct("question_id").alias("n_items"))
+@query(f"""WITH {_Q}, o AS (SELECT DISTINCT organism_id, ' ' || array_to_string({_WORDS.format('name_normalized')}, ' ') || ' ' AS n FROM wmdp_organisms WHERE name_normalized IS NOT NULL), t AS (SELECT question_id, ' ' || array_to_string({_WORDS.format('question')}, ' ') || ' ' AS t FROM q)
+  SELECT organism_id, count(DISTINCT question_id) AS n_items FROM o JOIN t ON contains(t, n) WHERE n <> '  ' GROUP BY organism_id""")
+def j19_padded_phrase(spark: SparkSession, sf: str) -> DataFrame:
+    """Items that hold a name as whole words, through n-grams of the names' widths."""
+    names = read_table(spark, sf, "wmdp_organisms", ("organism_id", "name_normalized")).distinct()
+    hits = joins.phrase_hits(items(spark, sf), "question_id", "question", names, "organism_id", "name_normalized")
+    return hits.groupBy("organism_id").agg(F.countDistinct("question_id").alias("n_items"))
 
 
 @query(f"""WITH w AS (SELECT doc_id, {_WORDS.format('title')} AS w FROM documents WHERE title IS NOT NULL), g AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i+1], ' '))) AS g FROM w WHERE len(w) > 1),
@@ -94,9 +98,9 @@ def t13_context_window(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "documents", ("doc_id", "abstract")).where(X.within_window(F.col("abstract"), ["light", "shade"], ["low", "dense"])).select("doc_id")
 
 
-@query("""SELECT organism_id, list_sort(list_distinct([b, replace(b, '-', ' '), replace(b, ' ', '-'), b || 's', b || '''s'])) AS forms FROM (SELECT DISTINCT organism_id, trim(regexp_replace(lower(name_normalized), '\\s+', ' ', 'g')) AS b FROM wmdp_organisms WHERE name_normalized IS NOT NULL AND regexp_full_match(name_normalized, '[ -~]*'))""")
+@query(f"""SELECT organism_id, list_sort(list_distinct([b, replace(b, '-', ' '), replace(b, ' ', '-'), b || 's', b || chr(39) || 's'])) AS forms FROM (SELECT DISTINCT organism_id, trim(regexp_replace(lower(name_normalized), '{_WS}', ' ', 'g'), ' ') AS b FROM wmdp_organisms WHERE name_normalized IS NOT NULL)""")
 def t16_variants(spark: SparkSession, sf: str) -> DataFrame:
-    d = read_table(spark, sf, "wmdp_organisms", ("organism_id", "name_normalized")).distinct().where(F.col("name_normalized").rlike("^[ -~]*$"))
+    d = read_table(spark, sf, "wmdp_organisms", ("organism_id", "name_normalized")).distinct().where("name_normalized is not null")
     return d.select("organism_id", X.variants(F.col("name_normalized")).alias("forms"))
 
 
@@ -171,10 +175,10 @@ def a16_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return aggregates.duplicate_inventory(read_table(spark, sf, "spine_parts", ("part_id", "text")), ["part_id"], ["text"])
 
 
-@query("""SELECT arg_min(doc_id, doc_id) AS doc_id, count(*) AS n FROM (SELECT doc_id, sha256(trim(regexp_replace(abstract, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), ' ')) AS h FROM documents WHERE abstract IS NOT NULL AND regexp_full_match(abstract, '[\\x00-\\x7f]*')) GROUP BY h""")
+@query(f"""SELECT min(doc_id) AS doc_id, count(*) AS n FROM (SELECT doc_id, sha256(trim(regexp_replace(abstract, '{_WS}', ' ', 'g'), ' ')) AS h FROM documents WHERE abstract IS NOT NULL) GROUP BY h""")
 def d01_keep_first(spark: SparkSession, sf: str) -> DataFrame:
-    """The first document of each abstract, by digest of its normal form, and how many share it (of abstracts in ASCII)."""
-    d = read_table(spark, sf, "documents", ("doc_id", "abstract")).where(F.col("abstract").rlike(r"^[\x00-\x7f]*\z"))
+    """The first document of each abstract, by digest of its normal form, and how many share it."""
+    d = read_table(spark, sf, "documents", ("doc_id", "abstract")).where("abstract is not null")
     h = V.digest(X.norm_ws(F.col("abstract")))
     first = dedupe.keep_first(d.select("doc_id", "abstract"), h, "doc_id").select("doc_id", h.alias("h"))
     return d.groupBy(h.alias("h")).agg(F.count(F.lit(1)).alias("n")).join(first, "h").select("doc_id", "n")
