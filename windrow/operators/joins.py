@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from windrow.functions import text as X
-from windrow.session import small_enough
+from windrow.session import small_enough, widened
 
 
 def aligned(left: DataFrame, right: DataFrame, keys: Sequence[str], agree: Sequence[str] = ()) -> DataFrame:
@@ -47,7 +47,7 @@ def phrase_hits(texts: DataFrame, key: str, text: str, phrases: DataFrame, phras
         return texts.select(key).limit(0).withColumn(phrase_key, F.lit(None).cast(phrases.schema[phrase_key].dataType))
     ws = X.words(F.col(text))
     grams = F.flatten(F.array(*[X.ngrams(F.col("_ws"), n) for n in widths]))
-    made = texts.select(F.col(key), ws.alias("_ws")).where("_ws is not null").select(key, F.explode(F.array_distinct(grams)).alias("_gram"))
+    made = widened(texts.select(key, text)).select(F.col(key), ws.alias("_ws")).where("_ws is not null").select(key, F.explode(F.array_distinct(grams)).alias("_gram"))
     side = wanted.select(phrase_key, "_gram")
     return made.join(F.broadcast(side) if small_enough(side) else side, "_gram").select(key, phrase_key).distinct()
 

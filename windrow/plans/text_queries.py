@@ -9,6 +9,7 @@ from windrow.functions import text as X
 from windrow.functions import values as V
 from windrow.operators import aggregates, dedupe, filters, joins
 from windrow.registry import query
+from windrow.session import widened
 from windrow.sources import read_table
 
 STOPWORDS = ("a", "an", "and", "at", "by", "for", "from", "in", "is", "it", "of", "on", "or", "the", "to", "was", "with")
@@ -64,7 +65,7 @@ def t11_overlap_coverage(spark: SparkSession, sf: str) -> DataFrame:
     """Share of an item's words that lie in an 8-gram which the abstracts hold."""
     w = items(spark, sf).select("question_id", X.words(F.col("question")).alias("w"))
     g = w.select("question_id", F.size("w").alias("n"), F.posexplode(X.ngrams(F.col("w"), 8)).alias("i", "g"))
-    corpus = read_table(spark, sf, "documents", ("abstract",)).select(F.explode(F.array_distinct(X.ngrams(X.words(F.col("abstract")), 8))).alias("g"))
+    corpus = widened(read_table(spark, sf, "documents", ("abstract",))).select(F.explode(F.array_distinct(X.ngrams(X.words(F.col("abstract")), 8))).alias("g"))
     wanted = g.select("g").distinct()
     there = corpus.join(F.broadcast(wanted), "g", "left_semi").distinct()  # items are a bounded set, so their grams are
     covered = g.join(F.broadcast(there), "g", "left_semi").select("question_id", "n", F.explode(F.sequence("i", F.col("i") + 7)).alias("pos")).distinct()

@@ -58,7 +58,7 @@ def widened(df: DataFrame) -> DataFrame:
 
     Only plans that scan without a shuffle are looked at; others have their partitions from it.
     """
-    if "Exchange" in df._jdf.queryExecution().sparkPlan().toString():
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() * 2 >= cores else df.repartition(cores)
