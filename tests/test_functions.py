@@ -30,7 +30,7 @@ def test_ngrams(spark):
 
 def test_presence_windows_contexts(spark):
     assert one(spark, lambda x: X.phrase_present(x, "leaf margin"), "The Leaf\n margin.") and not one(spark, lambda x: X.phrase_present(x, "leaf margin"), "leaf margins")
-    assert one(spark, lambda x: X.within_window(x, ["b"], ["a"], 2), "a x b") and not one(spark, lambda x: X.within_window(x, ["b"], ["a"], 2), "a x x b")
+    assert one(spark, lambda x: X.within_window(X.words(x), ["b"], ["a"], 2), "a x b") and not one(spark, lambda x: X.within_window(X.words(x), ["b"], ["a"], 2), "a x x b")
     assert one(spark, lambda x: X.context(x, F.lit(5), F.lit(2), 3), "0123456789") == "23456789"
     assert one(spark, lambda x, y: X.field_text(x, y), " a ", " ") == "a"
     assert one(spark, lambda x: X.mask_terms(x, ["fen", "fen edge"]), "The fen edge, fens") == "The @, fens"

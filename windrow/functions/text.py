@@ -53,7 +53,10 @@ def ws_count(x: Column) -> Column:
 
 
 def ngrams(ws: Column, n: int) -> Column:
-    """All runs of ``n`` words, joined by spaces; none where there are fewer words."""
+    """All runs of ``n`` words, joined by spaces; none where there are fewer words.
+
+    ``ws`` is read at each place, so it should be a column of its own, not an expression that makes the words.
+    """
     count = F.size(ws) - (n - 1)
     return F.when(ws.isNull(), F.lit(None)).when(count < 1, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(ws, i, n), " ")))
 
@@ -136,12 +139,20 @@ def style_failures(x: Column) -> Column:
     return F.array_compact(F.array(F.when(x.rlike(r"\b(?:ORG|CH|CP|E)-?\d{2,}\b"), "identifier"), F.when(x.rlike(r"(?m)^#{1,6}\s"), "heading"), F.when(x.rlike(r"(?i)\b(?:as an ai|in conclusion|in summary)\b"), "boilerplate")))
 
 
-def within_window(text: Column, terms: Sequence[str], contexts: Sequence[str], reach: int = 8) -> Column:
-    """Whether a term stands within ``reach`` words of a context word."""
-    ws = words(text)
-    some = lambda names: F.filter(F.sequence(F.lit(0), F.size(ws) - 1), lambda i: F.array_contains(F.array(*[F.lit(n) for n in names]), F.element_at(ws, i + 1)))
-    near = F.exists(some(terms), lambda i: F.exists(some(contexts), lambda j: F.abs(i - j) <= reach))
-    return F.when(text.isNull(), F.lit(None)).when(F.size(ws) == 0, F.lit(False)).otherwise(near)
+def within_window(ws: Column, terms: Sequence[str], contexts: Sequence[str], reach: int = 8) -> Column:
+    """Whether, in an array of words, a term stands within ``reach`` words of a context word.
+
+    One fold over the words with the last places of either kind: the nearest pair is always of neighbours.
+    """
+    far = -1_000_000_000
+    start = F.struct(F.lit(0).alias("i"), F.lit(far).alias("t"), F.lit(far // 2).alias("c"), F.lit(False).alias("hit"))
+
+    def step(a: Column, w: Column) -> Column:
+        t = F.when(w.isin(*terms), a["i"]).otherwise(a["t"])
+        c = F.when(w.isin(*contexts), a["i"]).otherwise(a["c"])
+        return F.struct((a["i"] + 1).alias("i"), t.alias("t"), c.alias("c"), (a["hit"] | (F.abs(t - c) <= reach)).alias("hit"))
+
+    return F.aggregate(ws, start, step, lambda a: a["hit"])
 
 
 _ABBREVIATED = re.compile(r"(?:\b(?:e\.g|i\.e|cf|vs|fig|dr|mr|mrs|ms|st|no|sp|spp|approx|ca|al)|\b[A-Z])\.$", re.IGNORECASE)

@@ -53,7 +53,7 @@ def t05_alnum(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {_Q}, w AS (SELECT question_id, {_WORDS.format('question')} AS w FROM q), g AS (SELECT question_id, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i+7], ' '))) AS g FROM w WHERE len(w) >= 8)
   SELECT question_id, count(*) AS n_grams, count(DISTINCT g) AS n_distinct FROM g GROUP BY question_id""")
 def t10_ngrams(spark: SparkSession, sf: str) -> DataFrame:
-    g = items(spark, sf).select("question_id", F.explode(X.ngrams(X.words(F.col("question")), 8)).alias("g"))
+    g = items(spark, sf).select("question_id", X.words(F.col("question")).alias("w")).select("question_id", F.explode(X.ngrams(F.col("w"), 8)).alias("g"))
     return g.groupBy("question_id").agg(F.count("g").alias("n_grams"), F.countDistinct("g").alias("n_distinct"))
 
 
@@ -65,7 +65,7 @@ def t11_overlap_coverage(spark: SparkSession, sf: str) -> DataFrame:
     """Share of an item's words that lie in an 8-gram which the abstracts hold."""
     w = items(spark, sf).select("question_id", X.words(F.col("question")).alias("w"))
     g = w.select("question_id", F.size("w").alias("n"), F.posexplode(X.ngrams(F.col("w"), 8)).alias("i", "g"))
-    corpus = widened(read_table(spark, sf, "documents", ("abstract",))).select(F.explode(F.array_distinct(X.ngrams(X.words(F.col("abstract")), 8))).alias("g"))
+    corpus = widened(read_table(spark, sf, "documents", ("abstract",))).select(X.words(F.col("abstract")).alias("w")).select(F.explode(F.array_distinct(X.ngrams(F.col("w"), 8))).alias("g"))
     wanted = g.select("g").distinct()
     there = corpus.join(F.broadcast(wanted), "g", "left_semi").distinct()  # items are a bounded set, so their grams are
     covered = g.join(F.broadcast(there), "g", "left_semi").select("question_id", "n", F.explode(F.sequence("i", F.col("i") + 7)).alias("pos")).distinct()
@@ -96,7 +96,8 @@ def t14_bounded_phrase(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH w AS (SELECT doc_id, {_WORDS.format('abstract')} AS w FROM documents WHERE abstract IS NOT NULL), t AS (SELECT doc_id, i FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w) WHERE w[i] IN ('light', 'shade')),
   c AS (SELECT doc_id, i FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w) WHERE w[i] IN ('low', 'dense')) SELECT DISTINCT t.doc_id FROM t JOIN c ON t.doc_id = c.doc_id AND abs(t.i - c.i) <= 8""")
 def t13_context_window(spark: SparkSession, sf: str) -> DataFrame:
-    return read_table(spark, sf, "documents", ("doc_id", "abstract")).where(X.within_window(F.col("abstract"), ["light", "shade"], ["low", "dense"])).select("doc_id")
+    d = read_table(spark, sf, "documents", ("doc_id", "abstract"))
+    return d.where(X.within_window(X.words(F.col("abstract")), ["light", "shade"], ["low", "dense"])).select("doc_id")
 
 
 @query(f"""SELECT organism_id, list_sort(list_distinct([b, replace(b, '-', ' '), replace(b, ' ', '-'), b || 's', b || chr(39) || 's'])) AS forms FROM (SELECT DISTINCT organism_id, trim(regexp_replace(lower(name_normalized), '{_WS}', ' ', 'g'), ' ') AS b FROM wmdp_organisms WHERE name_normalized IS NOT NULL)""")
