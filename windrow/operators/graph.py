@@ -41,6 +41,15 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, src: str = "src
     return ends.join(pairs.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
+def star(links: DataFrame, group: str, member: str) -> DataFrame:
+    """Edges that tie each member to the least member of each of its groups: one a link, however large the group.
+
+    They have the components of the graph of all pairs within groups.
+    """
+    one = links.select(F.col(group).alias("_g"), F.col(member).alias("src")).where("_g is not null and src is not null").distinct()
+    return one.join(one.groupBy("_g").agg(F.min("src").alias("dst")), "_g").where("src <> dst").select("src", "dst").distinct()
+
+
 def component_sizes(labels: DataFrame) -> DataFrame:
     return labels.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
 
