@@ -1,12 +1,12 @@
 """Queries over small tables whose hubs, hot words and clusters a cap would lose; compared with brute force."""
 
 import json
-from collections import defaultdict
+from collections import Counter, defaultdict
 from itertools import combinations
 
 import pytest
 
-from windrow.plans import graph_queries
+from windrow.plans import claim_queries, graph_queries
 
 
 def rows(df, *cols):
@@ -46,3 +46,8 @@ def entities_by_item():
 def test_g01_ties_all_entities_of_an_item(spark, folder):
     got = dict(rows(graph_queries.g01_components(spark, folder), "node", "component"))
     assert got == united(entities_by_item().values()) and len(set(got.values())) == 4
+
+
+def test_g04_entities_with_many_items_tie_them(spark, folder):
+    label = united([set(q) for q in LINKS.values()])
+    assert dict(rows(claim_queries.g04_item_components(spark, folder), "size", "n_components")) == Counter(Counter(label.values()).values())
