@@ -6,6 +6,7 @@ from itertools import combinations
 
 import pytest
 
+from windrow.operators import graph, joins
 from windrow.plans import claim_queries, graph_queries
 
 
@@ -51,3 +52,34 @@ def test_g01_ties_all_entities_of_an_item(spark, folder):
 def test_g04_entities_with_many_items_tie_them(spark, folder):
     label = united([set(q) for q in LINKS.values()])
     assert dict(rows(claim_queries.g04_item_components(spark, folder), "size", "n_components")) == Counter(Counter(label.values()).values())
+
+
+def edges():
+    return Counter(p for es in entities_by_item().values() for p in combinations(sorted(es), 2))
+
+
+def test_j11_g05_keep_items_with_many_entities(spark, folder):
+    e = edges()
+    assert {(r.src, r.dst): r.weight for r in graph_queries.j11_cooccurrence(spark, folder).collect()} == e
+    want = {n: (sum(n in p for p in e), sum(w for p, w in e.items() if n in p)) for n in LINKS}
+    assert {r.node: (r.degree, r.strength) for r in graph_queries.g05_degrees(spark, folder).collect()} == want
+
+
+def test_g07_j22_keep_items_with_many_entities(spark, folder):
+    rank = {e: "genus" if n % 3 else "species" for n, e in enumerate(sorted(LINKS))}
+    size = Counter(rank.values())
+    within, across = Counter(), 0
+    for (a, b), w in edges().items():
+        within[rank[a]] += w if rank[a] == rank[b] else 0
+        across += w if rank[a] != rank[b] else 0
+    assert rows(graph_queries.g07_density(spark, folder)) == [(g, n, round(within[g] / (n * (n - 1) / 2), 9)) for g, n in sorted(size.items())]
+    assert rows(graph_queries.j22_cross_weights(spark, folder)) == [("genus", "species", across)]
+
+
+def test_link_measures_equal_those_of_edges(spark):
+    """Also where a node is in several groups."""
+    links = spark.createDataFrame([(f"n{i * k % 7}", f"i{k % 5}") for i in range(6) for k in range(12)], "e string, i string")
+    m = spark.createDataFrame([(f"n{i}", g) for i in range(7) for g in "abc" if (i + ord(g)) % 3 or i == 2], "n string, g string")
+    e = joins.cooccurrence(links, "i", "e")
+    assert rows(graph.link_density(links, "i", "e", m, "n", "g")) == rows(graph.density(e, m, "n", "g"))
+    assert rows(graph.link_cross_weights(links, "i", "e", m, "n", "g")) == rows(graph.cross_weights(e, m, "n", "g"))

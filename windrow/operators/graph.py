@@ -83,6 +83,35 @@ def cross_weights(edges: DataFrame, membership: DataFrame, node: str, group: str
     return both.groupBy(F.least("_a", "_b").alias("group_a"), F.greatest("_a", "_b").alias("group_b")).agg(F.sum("weight").alias("weight"))
 
 
+def link_density(links: DataFrame, item: str, entity: str, membership: DataFrame, node: str, group: str) -> DataFrame:
+    """``density`` of the co-occurrence graph of ``links``, from the counts of members by item and group; no pairs are made."""
+    m = membership.select(F.col(node).alias("_n"), F.col(group).alias("_g")).distinct()
+    sizes = m.groupBy("_g").agg(F.count(F.lit(1)).alias("n_members"))
+    counts = _members_of_items(links, item, entity, m).groupBy("_i", "_g").agg(F.count(F.lit(1)).alias("_k"))
+    inner = counts.groupBy("_g").agg(F.sum(F.expr("_k * (_k - 1) div 2")).alias("_w"))
+    pairs = F.col("n_members") * (F.col("n_members") - 1) / 2
+    return sizes.join(inner, "_g", "left").select(F.col("_g").alias(group), "n_members", F.coalesce(F.try_divide(F.col("_w"), pairs), F.lit(0.0)).alias("density"))
+
+
+def link_cross_weights(links: DataFrame, item: str, entity: str, membership: DataFrame, node: str, group: str) -> DataFrame:
+    """``cross_weights`` of the co-occurrence graph of ``links``, from the counts of members by item and group.
+
+    An item with k members in a and l in b has k * l ordered pairs, of which those of a member of both with itself are no edges.
+    """
+    m = membership.select(F.col(node).alias("_n"), F.col(group).alias("_g")).distinct()
+    of = _members_of_items(links, item, entity, m)
+    counts = of.groupBy("_i", "_g").agg(F.count(F.lit(1)).alias("_k"))
+    both = counts.select("_i", F.col("_g").alias("group_a"), F.col("_k").alias("_ka")).join(counts.select("_i", F.col("_g").alias("group_b"), "_k"), "_i").where("group_a < group_b")
+    own = of.select("_i", "_n", F.col("_g").alias("group_a")).join(of.select("_i", "_n", F.col("_g").alias("group_b")), ["_i", "_n"]).where("group_a < group_b")
+    parts = both.select("group_a", "group_b", (F.col("_ka") * F.col("_k")).alias("_w")).union(own.groupBy("group_a", "group_b").agg(-F.count(F.lit(1))))
+    return parts.groupBy("group_a", "group_b").agg(F.sum("_w").alias("weight")).where("weight > 0")
+
+
+def _members_of_items(links: DataFrame, item: str, entity: str, members: DataFrame) -> DataFrame:
+    one = links.select(F.col(item).alias("_i"), F.col(entity).alias("_n")).where("_i is not null").distinct()
+    return one.join(members.where("_g is not null"), "_n")
+
+
 def leaks(links: DataFrame, item: str, entity: str, side: str) -> DataFrame:
     """Entities that stand on more than one side of a split; empty for a sound split."""
     return links.groupBy(entity).agg(F.countDistinct(side).alias("n_sides")).where("n_sides > 1")

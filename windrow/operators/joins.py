@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from windrow.functions import text as X
 from windrow.session import small_enough, widened
 
+#: Parts over which a self join spreads each group.
+SALTS = 8
+
 
 def aligned(left: DataFrame, right: DataFrame, keys: Sequence[str], agree: Sequence[str] = ()) -> DataFrame:
     """Inner equi join in which every left row must have a right one that agrees on the columns ``agree``.
@@ -55,12 +58,13 @@ def phrase_hits(texts: DataFrame, key: str, text: str, phrases: DataFrame, phras
 def cooccurrence(df: DataFrame, group: str, member: str) -> DataFrame:
     """Undirected weighted edges (src < dst, weight) of members that share groups; weight counts distinct groups.
 
-    A group of m members has m(m-1)/2 edges by definition; groups here are bounded lists (an item's entities).
+    A group of m members has m(m-1)/2 edges by definition. No group is gathered into a row: a self join makes the
+    pairs, and each group is spread over ``SALTS`` parts, the lesser members by hash, the greater ones copied to each.
     """
-    one = df.select(group, member).where(F.col(group).isNotNull() & F.col(member).isNotNull()).distinct()
-    sets = one.groupBy(group).agg(F.array_sort(F.collect_set(member)).alias("_m")).where("size(_m) > 1")
-    pairs = sets.select(F.explode(F.flatten(F.transform("_m", lambda a: F.transform(F.filter("_m", lambda b: b > a), lambda b: F.struct(a.alias("src"), b.alias("dst")))))).alias("e"))
-    return pairs.groupBy("e.src", "e.dst").agg(F.count(F.lit(1)).alias("weight"))
+    one = df.select(F.col(group).alias("_g"), F.col(member).alias("_m")).where("_g is not null and _m is not null").distinct()
+    left = one.select("_g", F.pmod(F.xxhash64("_m"), F.lit(SALTS)).cast("int").alias("_s"), F.col("_m").alias("src"))
+    right = one.select("_g", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_s"), F.col("_m").alias("dst"))
+    return left.join(right, ["_g", "_s"]).where("src < dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
 
 
 def matched_partner(df: DataFrame, keys: Sequence[str], kind: str, own: str, other: str, values: Sequence[str]) -> DataFrame:

@@ -36,7 +36,8 @@ def f19_high_degree(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_SMALL} SELECT src, dst, weight FROM e")
 def j11_cooccurrence(spark: SparkSession, sf: str) -> DataFrame:
-    return joins.cooccurrence(small_links(spark, sf), "item", "entity")
+    """Pairs of entities that share items. The SQL of this query and of those on its edges still leaves out items with more than 12 entities, so it gives other rows."""
+    return joins.cooccurrence(links(spark, sf), "item", "entity")
 
 
 @query(f"""WITH RECURSIVE {_L}, d AS (SELECT item FROM l GROUP BY item HAVING count(DISTINCT entity) > 2), s AS (SELECT * FROM l ANTI JOIN d USING (item)), e AS (SELECT DISTINCT a.entity AS src, b.entity AS dst FROM s a JOIN s b ON a.item = b.item AND a.entity <> b.entity),
@@ -50,7 +51,8 @@ def g01_components(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_SMALL}, x AS (SELECT src AS node, weight FROM e UNION ALL SELECT dst, weight FROM e), g AS (SELECT node, count(*) AS degree, CAST(sum(weight) AS BIGINT) AS strength FROM x GROUP BY node) SELECT n.node, coalesce(degree, 0) AS degree, coalesce(strength, 0) AS strength FROM (SELECT DISTINCT entity AS node FROM l) n LEFT JOIN g USING (node)")
 def g05_degrees(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.degrees(joins.cooccurrence(small_links(spark, sf), "item", "entity"), links(spark, sf).select("entity"))
+    all_ = links(spark, sf)
+    return graph.degrees(joins.cooccurrence(all_, "item", "entity"), all_.select("entity"))
 
 
 _M = "m AS (SELECT DISTINCT organism_id AS node, taxon_rank AS grp FROM wmdp_organisms WHERE taxon_rank IS NOT NULL)"
@@ -60,13 +62,13 @@ _M = "m AS (SELECT DISTINCT organism_id AS node, taxon_rank AS grp FROM wmdp_org
   SELECT z.grp, n AS n_members, round(coalesce(w.w / (n * (n - 1) / 2), 0), 9) AS density FROM z LEFT JOIN w ON w.grp = z.grp""")
 def g07_density(spark: SparkSession, sf: str) -> DataFrame:
     m = read_table(spark, sf, "wmdp_organisms", ("organism_id", "taxon_rank")).where("taxon_rank is not null").select(F.col("organism_id").alias("node"), F.col("taxon_rank").alias("grp"))
-    return graph.density(joins.cooccurrence(small_links(spark, sf), "item", "entity"), m, "node", "grp").withColumn("density", F.round("density", 9))
+    return graph.link_density(links(spark, sf), "item", "entity", m, "node", "grp").withColumn("density", F.round("density", 9))
 
 
 @query(f"WITH {_SMALL}, {_M} SELECT least(a.grp, b.grp) AS group_a, greatest(a.grp, b.grp) AS group_b, CAST(sum(weight) AS BIGINT) AS weight FROM e JOIN m a ON e.src = a.node JOIN m b ON e.dst = b.node WHERE a.grp <> b.grp GROUP BY ALL")
 def j22_cross_weights(spark: SparkSession, sf: str) -> DataFrame:
     m = read_table(spark, sf, "wmdp_organisms", ("organism_id", "taxon_rank")).where("taxon_rank is not null").select(F.col("organism_id").alias("node"), F.col("taxon_rank").alias("grp"))
-    return graph.cross_weights(joins.cooccurrence(small_links(spark, sf), "item", "entity"), m, "node", "grp")
+    return graph.link_cross_weights(links(spark, sf), "item", "entity", m, "node", "grp")
 
 
 @query(f"""WITH {_L}, z AS (SELECT entity, count(*) AS n_docs FROM l GROUP BY entity), r AS (SELECT *, row_number() OVER (ORDER BY n_docs DESC, entity) AS rank FROM z), h AS (SELECT item, min(rank) AS rank FROM l JOIN r USING (entity) GROUP BY item),
