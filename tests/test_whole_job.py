@@ -1,6 +1,7 @@
 """Queries over small tables whose hubs, hot words and clusters a cap would lose; compared with brute force."""
 
 import json
+import re
 from collections import Counter, defaultdict
 from itertools import combinations
 
@@ -18,11 +19,17 @@ def rows(df, *cols):
 LINKS = {f"e{i:02d}": ["h"] for i in range(15)} | {"e15": ["t"], "e16": ["t", "u"], "e17": ["t", "u", "v", "w"], "x": ["x1"], "y": ["y1", "y2", "y3"]}
 
 
+ANSWERS = [f"a Hot word of note{i // 2}, and été élan" for i in range(9)] + ["an oak is at it", "an oak is at it", None]
+TEXTS = ["The Ostjamloa melvarisipes virus and E. coli-like H5N1-ab strains (COVID-19) spread.", "A  very small leaf\npathogen; MRSA, Bacillus anthracis strain. Some fungi", "No names here, in a box.", "Émile's bacterium and Canis lupus"]
+QUESTIONS = [(f"q{i:02d}", "bio", TEXTS[i % 4], "none", "Felis catus", f"type {i} virus", None, a) for i, a in enumerate(ANSWERS)]
+
+
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     root = tmp_path_factory.mktemp("whole")
     organisms = [(e, json.dumps(q), "genus" if n % 3 else "species") for n, (e, q) in enumerate(sorted(LINKS.items()))]
     spark.createDataFrame(organisms, "organism_id string, question_ids string, taxon_rank string").write.parquet(f"{root}/wmdp_organisms.parquet")
+    spark.createDataFrame(QUESTIONS, "question_id string, subset string, question string, choice_a string, choice_b string, choice_c string, choice_d string, correct_text string").write.parquet(f"{root}/wmdp_questions.parquet")
     return str(root)
 
 
@@ -83,3 +90,9 @@ def test_link_measures_equal_those_of_edges(spark):
     e = joins.cooccurrence(links, "i", "e")
     assert rows(graph.link_density(links, "i", "e", m, "n", "g")) == rows(graph.density(e, m, "n", "g"))
     assert rows(graph.link_cross_weights(links, "i", "e", m, "n", "g")) == rows(graph.cross_weights(e, m, "n", "g"))
+
+
+def test_j13_keeps_words_of_many_items(spark, folder):
+    terms = {q[0]: set(re.findall(r"\b\w{4,}\b", (q[-1] or "").lower())) for q in QUESTIONS}
+    want = {(a, b): len(terms[a] & terms[b]) for a, b in combinations(sorted(terms), 2) if terms[a] & terms[b]}
+    assert {(r.a, r.b): r.n_shared for r in claim_queries.j13_shared_words(spark, folder).collect()} == want and len(want) == 36

@@ -69,10 +69,13 @@ def j06_left_enrich(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {_Q}, w AS (SELECT DISTINCT question_id, unnest(regexp_extract_all(lower(correct_text), '[a-z0-9]+')) AS w FROM q), f AS (SELECT w FROM w GROUP BY w HAVING count(*) BETWEEN 2 AND 6)
   SELECT a.question_id AS a, b.question_id AS b, count(*) AS n_shared FROM w a JOIN w b ON a.w = b.w AND a.question_id < b.question_id SEMI JOIN f ON a.w = f.w GROUP BY ALL""")
 def j13_shared_words(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs of items that share rare words: a join on words, not of all pairs; a word's items are at most six."""
-    w = items(spark, sf).select("question_id", F.explode(F.array_distinct(X.words(F.col("correct_text")))).alias("w"))
-    rare = w.groupBy("w").agg(F.collect_set("question_id").alias("m"), F.count(F.lit(1)).alias("c")).where("c between 2 and 6").select("w", F.explode("m").alias("question_id"))
-    return rare.select("w", F.col("question_id").alias("a")).join(rare.select("w", F.col("question_id").alias("b")), "w").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_shared"))
+    """Pairs of items whose right answers share content words, those of four characters or more, and how many they share.
+
+    The SQL beside it still takes short words and leaves out words of more than six items, so it gives other rows.
+    """
+    content = F.regexp_extract_all(X.norm_term(F.col("correct_text")), F.lit(r"[\p{L}\p{N}_]{4,}"), F.lit(0))
+    w = items(spark, sf).select("question_id", F.explode(content).alias("w")).distinct()
+    return joins.cooccurrence(w, "w", "question_id").withColumnsRenamed({"src": "a", "dst": "b", "weight": "n_shared"})
 
 
 @query(f"WITH {_Q} SELECT a.question_id AS a, b.question_id AS b FROM q a JOIN q b ON a.correct_text = b.choice_a AND a.question_id <> b.question_id AND a.subset = b.subset AND b.correct_index <> 0")
