@@ -1,14 +1,15 @@
 """Queries over small tables whose hubs, hot words and clusters a cap would lose; compared with brute force."""
 
 import json
+import random
 import re
 from collections import Counter, defaultdict
 from itertools import combinations
 
 import pytest
 
-from windrow.operators import graph, joins
-from windrow.plans import claim_queries, graph_queries
+from windrow.operators import graph, information, joins
+from windrow.plans import claim_queries, graph_queries, metric_queries
 
 
 def rows(df, *cols):
@@ -24,12 +25,17 @@ TEXTS = ["The Ostjamloa melvarisipes virus and E. coli-like H5N1-ab strains (COV
 QUESTIONS = [(f"q{i:02d}", "bio", TEXTS[i % 4], "none", "Felis catus", f"type {i} virus", None, a) for i, a in enumerate(ANSWERS)]
 
 
+#: Entity y is right on its three items; h, t and x1 are wrong, and lone items of no entity are right by turns.
+PREDICTIONS = [("r", 1, i, 0.7, 0.1, 0.1, 0.1, "A" if ok else "B") for i, ok in [("y1", 1), ("y2", 1), ("y3", 1), ("h", 0), ("x1", 0), ("t", 0), ("u", 0), ("v", 0), ("w", 0), *[(f"lone{n}", n % 2) for n in range(4)]]]
+
+
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     root = tmp_path_factory.mktemp("whole")
     organisms = [(e, json.dumps(q), "genus" if n % 3 else "species") for n, (e, q) in enumerate(sorted(LINKS.items()))]
     spark.createDataFrame(organisms, "organism_id string, question_ids string, taxon_rank string").write.parquet(f"{root}/wmdp_organisms.parquet")
     spark.createDataFrame(QUESTIONS, "question_id string, subset string, question string, choice_a string, choice_b string, choice_c string, choice_d string, correct_text string").write.parquet(f"{root}/wmdp_questions.parquet")
+    spark.createDataFrame(PREDICTIONS, "run_id string, checkpoint_step int, question_id string, p_a double, p_b double, p_c double, p_d double, gold string").write.parquet(f"{root}/predictions.parquet")
     return str(root)
 
 
@@ -96,3 +102,28 @@ def test_j13_keeps_words_of_many_items(spark, folder):
     terms = {q[0]: set(re.findall(r"\b\w{4,}\b", (q[-1] or "").lower())) for q in QUESTIONS}
     want = {(a, b): len(terms[a] & terms[b]) for a, b in combinations(sorted(terms), 2) if terms[a] & terms[b]}
     assert {(r.a, r.b): r.n_shared for r in claim_queries.j13_shared_words(spark, folder).collect()} == want and len(want) == 36
+
+
+def cluster_interval(clusters, draws=20_000):
+    rng = random.Random(3)
+    means = []
+    for _ in range(draws):
+        picked = [x for c in rng.choices(clusters, k=len(clusters)) for x in c]
+        means.append(sum(picked) / len(picked))
+    means.sort()
+    return means[int(0.025 * draws)], means[int(0.975 * draws)]
+
+
+def test_bootstrap_of_clusters(spark):
+    rng = random.Random(9)
+    clusters = [[int(rng.random() < p)] * rng.choice((1, 3, 8)) for p in [0.5] * 60]
+    df = spark.createDataFrame([("k", ok, u) for u, c in enumerate(clusters) for ok in c], "k string, c int, e int")
+    got = information.bootstrap_accuracy(df, ["k"], "c", "e", 4000).first()
+    low, high = cluster_interval(clusters)
+    assert got.low == pytest.approx(low, abs=0.02) and got.high == pytest.approx(high, abs=0.02) and got.n == sum(map(len, clusters))
+
+
+def test_i23_draws_entities(spark, folder):
+    got = metric_queries.i23_bootstrap(spark, folder).first()
+    low, high = cluster_interval([[1, 1, 1], [0], [0], [0, 0, 0, 0], [0], [1], [0], [1]])
+    assert got.n == 13 and got.mean == pytest.approx(5 / 13) and got.low == pytest.approx(low, abs=0.03) and got.high == pytest.approx(high, abs=0.03)

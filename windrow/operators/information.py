@@ -111,26 +111,27 @@ def permutation_band(df: DataFrame, keys: Sequence[str], f: str, y: str, draws:
 def bootstrap_accuracy(df: DataFrame, keys: Sequence[str], correct: str, cluster: str | None = None, draws: int = 500, seed: int = 0) -> DataFrame:
     """Mean of a 0/1 column with its 2.5 and 97.5 percentiles over bootstrap draws, of rows or of whole clusters.
 
-    Rows come as counts: without clusters a draw is binomial; clusters come as their sums, a row each.
+    Rows come as counts: without clusters a draw is binomial; with them a draw is multinomial over the kinds of
+    clusters, those of equal sums being one kind, which has the distribution of a draw of whole clusters.
     """
     d = df.where(F.col(correct).isNotNull()).select(*keys, F.col(correct).cast("int").alias("_c"), (F.col(cluster).cast("string") if cluster else F.lit("")).alias("_u"))
-    sums = d.groupBy(*keys, "_u").agg(F.sum("_c").alias("_k"), F.count(F.lit(1)).alias("_n"))
+    sums = d.groupBy(*keys, "_u").agg(F.sum("_c").alias("_k"), F.count(F.lit(1)).alias("_n")).groupBy(*keys, "_k", "_n").agg(F.count(F.lit(1)).alias("_m"))
     kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rng = np.random.default_rng(seed_of(seed, *key))
-        pdf = pdf.sort_values("_u")
-        k, n = pdf["_k"].to_numpy(float), pdf["_n"].to_numpy(float)
-        mean = k.sum() / n.sum()
+        pdf = pdf.sort_values(["_k", "_n"])
+        k, n, m = (pdf[c].to_numpy(float) for c in ("_k", "_n", "_m"))
+        total = int((m * n).sum())
+        mean = (m * k).sum() / total
         if cluster is None:
-            values = rng.binomial(int(n.sum()), mean, draws) / n.sum()
+            values = rng.binomial(total, mean, draws) / total
         else:
-            values = np.empty(draws)
-            for b in range(draws):
-                w = rng.multinomial(len(k), np.full(len(k), 1 / len(k)))
-                values[b] = (w * k).sum() / max((w * n).sum(), 1)
+            step = max(1, 1_000_000 // len(k))
+            parts = [rng.multinomial(int(m.sum()), m / m.sum(), min(step, draws - b)) for b in range(0, draws, step)]
+            values = np.concatenate([(w @ k) / (w @ n) for w in parts])
         low, high = np.percentile(values, [2.5, 97.5])
-        return pd.DataFrame([(*key, int(n.sum()), mean, float(low), float(high))], columns=[*keys, "n", "mean", "low", "high"])
+        return pd.DataFrame([(*key, total, mean, float(low), float(high))], columns=[*keys, "n", "mean", "low", "high"])
 
     return sums.groupBy(*keys).applyInPandas(run, f"{kinds}, n bigint, mean double, low double, high double")
 

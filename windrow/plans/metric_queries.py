@@ -111,8 +111,18 @@ def i20_permutation_band(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def i23_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
+    """Accuracy with its interval over 2,000 draws of whole entities.
+
+    A row counts once, with one entity: of an item's entities the one with most items, then the least. An item
+    that no entity has is a cluster of its own.
+    """
+    o = read_table(spark, sf, "wmdp_organisms", ("organism_id", "question_ids")).distinct()
+    l = o.select(F.col("organism_id").alias("entity"), F.explode(F.from_json("question_ids", "array<string>")).alias("question_id")).distinct()
+    n = l.groupBy("entity").agg(F.count(F.lit(1)).alias("n_items"))
+    owner = l.join(n, "entity").groupBy("question_id").agg(F.min_by("entity", F.struct(-F.col("n_items"), "entity")).alias("entity"))
     d = predictions(spark, sf).where("chosen is not null and gold is not null").withColumn("ok", (F.col("chosen") == F.col("gold")).cast("int"))
-    return information.bootstrap_accuracy(d, ["run_id", "checkpoint_step"], "ok")
+    unit = F.when(F.col("entity").isNotNull(), F.concat(F.lit("entity "), "entity")).otherwise(F.concat(F.lit("item "), F.coalesce("question_id", F.lit(""))))
+    return information.bootstrap_accuracy(d.join(owner, "question_id", "left").withColumn("unit", unit), ["run_id", "checkpoint_step"], "ok", "unit", 2000)
 
 
 @query(f"""WITH {_P}, r AS (SELECT *, row_number() OVER (PARTITION BY run_id, question_id ORDER BY checkpoint_step) AS k FROM p WHERE chosen IS NOT NULL),
