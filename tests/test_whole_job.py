@@ -127,3 +127,15 @@ def test_i23_draws_entities(spark, folder):
     got = metric_queries.i23_bootstrap(spark, folder).first()
     low, high = cluster_interval([[1, 1, 1], [0], [0], [0, 0, 0, 0], [0], [1], [0], [1]])
     assert got.n == 13 and got.mean == pytest.approx(5 / 13) and got.low == pytest.approx(low, abs=0.03) and got.high == pytest.approx(high, abs=0.03)
+
+
+def test_z01_reads_three_families_from_the_text(spark, folder):
+    want = set()
+    for q in QUESTIONS:
+        text, found = q[2] + "\nChoices: " + " | ".join(c for c in q[3:7] if c), set()
+        found |= {m.group() for m in re.finditer(r"\b(?:[A-Z][a-z]{2,}|[A-Z]\.)\s+[a-z][a-z-]{2,}(?:\s+(?:virus|bacterium|strain))?\b", text)}
+        found |= {" ".join(m.group().split()) for m in re.finditer(r"\b(?:[A-Za-z0-9][A-Za-z0-9.'’-]*\s+){0,3}(?:virus|viruses|bacterium|bacteria|fungus|fungi|parasite|prion|pathogen|pathogens)\b", text, re.I)}
+        found |= {t for t in re.findall(r"\b[A-Za-z][A-Za-z0-9]*(?:-[A-Za-z0-9]+)+\b|\b[A-Z]{2,}[A-Z0-9]*\b", text) if len(t) >= 3}
+        want |= {(q[0], m) for x in found if 2 < len(m := x.strip(" ,.;:()[]{}")) <= 80}
+    got = rows(claim_queries.z01_candidate_names(spark, folder), "question_id", "surface_form")
+    assert got == sorted(want) and {"MRSA", "E. coli-like", "COVID-19", "very small leaf pathogen"} <= {m for _, m in got}

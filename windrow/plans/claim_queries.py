@@ -17,6 +17,14 @@ from windrow.sources import read_table
 _Q = "q AS (SELECT DISTINCT * FROM wmdp_questions)"
 
 
+#: Patterns of candidate mentions, read with Unicode boundaries and white space.
+MENTIONS = (
+    r"(?U)\b(?:[A-Z][a-z]{2,}|[A-Z]\.)\s+[a-z][a-z-]{2,}(?:\s+(?:virus|bacterium|strain))?\b",
+    r"(?iU)\b(?:[A-Za-z0-9][A-Za-z0-9.'’-]*\s+){0,3}(?:virus|viruses|bacterium|bacteria|fungus|fungi|parasite|prion|pathogen|pathogens)\b",
+    r"(?U)\b[A-Za-z][A-Za-z0-9]*(?:-[A-Za-z0-9]+)+\b|\b[A-Z]{2,}[A-Z0-9]*\b",
+)
+
+
 def items(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "wmdp_questions").distinct()
 
@@ -235,10 +243,15 @@ def z10_projection(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""WITH m AS (SELECT unnest(from_json(surface_forms, '["VARCHAR"]')) AS f, organism_id FROM (SELECT DISTINCT organism_id, surface_forms FROM wmdp_organisms WHERE surface_forms IS NOT NULL)) SELECT f AS surface_form, count(DISTINCT organism_id) AS n FROM m WHERE regexp_full_match(f, '[A-Z][a-z]+ [a-z]+') GROUP BY f""")
 def z01_candidate_names(spark: SparkSession, sf: str) -> DataFrame:
-    """Surface forms that have the form of a binomial."""
-    d = read_table(spark, sf, "wmdp_organisms", ("organism_id", "surface_forms")).where("surface_forms is not null").distinct()
-    m = d.select("organism_id", F.explode(F.from_json("surface_forms", "array<string>")).alias("surface_form")).where(F.col("surface_form").rlike(r"^[A-Z][a-z]+ [a-z]+\z"))
-    return m.groupBy("surface_form").agg(F.countDistinct("organism_id").alias("n"))
+    """Distinct candidate mentions of each item's question and choices: binomials, phrases that end in a kind of agent, and tokens with hyphens or in capitals.
+
+    The SQL beside it still filters the extracted surface forms by one pattern, so it gives other rows and columns.
+    """
+    text = F.concat(F.coalesce("question", F.lit("")), F.lit("\nChoices: "), F.concat_ws(" | ", *[f"choice_{c}" for c in "abcd"]))
+    binomials, agents, tokens = (F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in MENTIONS)
+    found = F.concat(binomials, F.transform(agents, X.norm_ws), F.filter(tokens, lambda t: F.length(t) >= 3))
+    stripped = F.transform(found, lambda m: F.regexp_replace(m, r"^[ ,.;:()\[\]{}]+|[ ,.;:()\[\]{}]+\z", ""))
+    return items(spark, sf).select("question_id", F.explode(stripped).alias("surface_form")).where("length(surface_form) between 3 and 80").distinct()
 
 
 @query()
