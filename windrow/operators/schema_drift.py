@@ -1,13 +1,13 @@
 """Schemas that drift between files: one consistent table of JSON records, and every change between versions.
 
 Fields of consecutive versions are matched by similarity flooding: a graph of each schema joins its fields to the
-words of their names, their types, their value profiles and their nested keys; scores of pairs of fields start from these
-and are propagated over the pairwise connectivity graph until they settle; a consistent one-to-one selection of
-the pairs above a threshold gives the renames. Fields that were ever seen side by side with other values hold
-different quantities and are never matched.
+words of their names, their JSON types, their nested keys and their value profiles; scores of pairs are propagated over the
+pairwise connectivity graph until they settle; the fixpoint scores, related to those of each field with itself, are
+the similarities, of which a consistent one-to-one selection above a threshold gives the renames. Fields that were
+ever seen side by side with other values hold different quantities and are never matched.
 
-What is gathered on the driver are the distinct field names, pairs of them and distinct transitions: bounded by the
-variety of schemas, not by files.
+Distinct transitions of schemas are flooded on the executors. Profiles and renames are broadcast while they are small;
+beyond that each transition gets its own by joins.
 """
 
 from __future__ import annotations
@@ -16,21 +16,24 @@ import json
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from windrow.session import collect_bounded, widened, written
+from windrow.session import collect_bounded, small_enough, widened, written
 
-#: Score from which two fields may be one; distinct field names and transitions, at most.
-ACCEPT, MOST_FIELDS, MOST_TRANSITIONS = 0.55, 5_000, 200_000
+#: Fixpoint similarity from which two fields are one; rounds of flooding, at most.
+ACCEPT, ROUNDS = 0.3, 100
+#: Distinct field names, and transitions with renames, up to which profiles and renames are broadcast.
+MOST_FIELDS, MOST_TRANSITIONS = 2_000, 50_000
 #: Relative difference up to which two numbers side by side are one value, rounded otherwise.
 SAME = 2e-3
 
-_PARSED = "record string, version bigint, file bigint, names array<string>, types array<string>, numbers array<double>, texts array<string>"
+_PARSED = "record string, version bigint, file bigint, names array<string>, types array<string>, numbers array<double>, texts array<string>, inner array<array<string>>"
 
 
 def json_type(v: object) -> str:
@@ -71,8 +74,15 @@ def as_number(v: object) -> float | None:
     return None
 
 
+def nested_keys(v: object) -> list[str] | None:
+    """The keys within an object with the types of their values, or the types of an array's items."""
+    if isinstance(v, dict):
+        return sorted(f"{k} {json_type(x)}" for k, x in v.items())
+    return sorted({f"item {json_type(x)}" for x in v}) if isinstance(v, list) else None
+
+
 def parse_records(df: DataFrame, record: str, version: str, file: str, payload: str) -> DataFrame:
-    """record, version, file and the top-level fields of each payload: names (sorted), JSON types, numbers, texts.
+    """record, version, file and the top-level fields of each payload: names (sorted), JSON types, numbers, texts, nested keys.
 
     Rows whose record, version or payload is null, and payloads that are no JSON object, are left out: they are no
     version of any schema.
@@ -80,7 +90,7 @@ def parse_records(df: DataFrame, record: str, version: str, file: str, payload:
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            take, names, types, numbers, texts = [], [], [], [], []
+            take, names, types, numbers, texts, inner = [], [], [], [], [], []
             for i, p in enumerate(batch.column(3).to_pylist()):
                 try:
                     o = json.loads(p)
@@ -93,9 +103,10 @@ def parse_records(df: DataFrame, record: str, version: str, file: str, payload:
                 names.append(keys)
                 types.append([json_type(o[k]) for k in keys])
                 numbers.append([as_number(o[k]) for k in keys])
+                inner.append([nested_keys(o[k]) for k in keys])
                 texts.append([None if o[k] is None else o[k] if isinstance(o[k], str) else json.dumps(o[k], sort_keys=True, separators=(",", ":")) for k in keys])
             rows = pa.array(take, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), batch.column(2).take(rows), pa.array(names, pa.list_(pa.string())), pa.array(types, pa.list_(pa.string())), pa.array(numbers, pa.list_(pa.float64())), pa.array(texts, pa.list_(pa.string()))], names=["record", "version", "file", "names", "types", "numbers", "texts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), batch.column(2).take(rows), pa.array(names, pa.list_(pa.string())), pa.array(types, pa.list_(pa.string())), pa.array(numbers, pa.list_(pa.float64())), pa.array(texts, pa.list_(pa.string())), pa.array(inner, pa.list_(pa.list_(pa.string())))], names=["record", "version", "file", "names", "types", "numbers", "texts", "inner"])
 
     rows = df.select(F.col(record).cast("string"), F.col(version).cast("long"), F.col(file).cast("long"), F.col(payload)).where(F.col(record).isNotNull() & F.col(version).isNotNull() & F.col(payload).isNotNull())
     return widened(rows).mapInArrow(parse, _PARSED)
@@ -103,41 +114,81 @@ def parse_records(df: DataFrame, record: str, version: str, file: str, payload:
 
 def versions(parsed: DataFrame) -> DataFrame:
     """One row a record and version: that of the least file id; repeated copies are dropped, files in arrival order don't matter."""
-    return parsed.groupBy("record", "version").agg(F.min_by(F.struct("names", "types", "numbers", "texts"), F.coalesce("file", F.lit(1 << 62))).alias("_f")).select("record", "version", "_f.*")
+    return parsed.groupBy("record", "version").agg(F.min_by(F.struct("names", "types", "numbers", "texts", "inner"), F.coalesce("file", F.lit(1 << 62))).alias("_f")).select("record", "version", "_f.*")
+
+
+class Field:
+    """What is known of one field over all versions."""
+
+    __slots__ = ("n", "n_held", "n_numbers", "median", "low", "high", "least", "most", "types", "inner")
+
+    def __init__(self, row: object) -> None:
+        for c in self.__slots__[:-2]:
+            setattr(self, c, row[c])
+        self.types: list[str] = []
+        self.inner: list[str] = []
 
 
 class Profiles:
     """What is known of each field over all versions, and of each pair that was seen side by side."""
 
-    def __init__(self, fields: list, pairs: list) -> None:
-        self.fields = {r.name: r for r in fields}
-        self.equal = {(r.a, r.b): r.n_equal for r in pairs}
-        self.other = {(r.a, r.b): r.n_other for r in pairs}
+    def __init__(self, fields: list, seen: list) -> None:
+        """fields: rows of ``field_profiles``, seen: rows of ``seen_elements``."""
+        self.fields = {r["name"]: Field(r) for r in fields}
+        self.pairs: dict[tuple[str, str], tuple[int, int]] = {}
+        for r in sorted(seen, key=lambda r: (r["kind"], r["a"], r["b"])):
+            if r["kind"] == "pair":
+                self.pairs[r["a"], r["b"]] = (r["n_equal"], r["n_other"])
+            elif r["a"] in self.fields:
+                (self.fields[r["a"]].types if r["kind"] == "type" else self.fields[r["a"]].inner).append(r["b"])
 
     def together(self, a: str, b: str) -> tuple[int, int]:
-        k = (min(a, b), max(a, b))
-        return self.equal.get(k, 0), self.other.get(k, 0)
+        return self.pairs.get((min(a, b), max(a, b)), (0, 0))
+
 
+def field_profiles(vs: DataFrame) -> DataFrame:
+    """Per field over all versions: versions with it, values held, numbers, their median and range, least and greatest text."""
+    one = vs.select(F.explode(F.arrays_zip("names", "numbers", "texts")).alias("f")).select("f.*")
+    return one.groupBy(F.col("names").alias("name")).agg(F.count(F.lit(1)).alias("n"), F.count("texts").alias("n_held"), F.count("numbers").alias("n_numbers"), F.percentile_approx("numbers", 0.5).alias("median"), F.min("numbers").alias("low"), F.max("numbers").alias("high"), F.min("texts").alias("least"), F.max("texts").alias("most"))
 
-def profiles(vs: DataFrame) -> Profiles:
-    """Profiles over all versions: per field its types, median number and whether it varies; per pair equal and other values."""
-    one = vs.select(F.explode(F.arrays_zip("names", "types", "numbers", "texts")).alias("f")).select("f.*")
-    fields = one.groupBy(F.col("names").alias("name")).agg(F.count(F.lit(1)).alias("n"), F.count("texts").alias("n_held"), F.count("numbers").alias("n_numbers"), F.percentile_approx("numbers", 0.5).alias("median"), F.min("numbers").alias("low"), F.max("numbers").alias("high"), F.min("texts").alias("least"), F.max("texts").alias("most"))
+
+def seen_elements(vs: DataFrame) -> DataFrame:
+    """kind, a, b, n_equal and n_other: of each pair of fields ('pair') how often they stood side by side with the same and with
+    other numbers, and of each field its JSON types ('type') and nested keys ('key')."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        equal: Counter = Counter()
-        other: Counter = Counter()
+        seen: dict[tuple[str, str, str], list[int]] = defaultdict(lambda: [0, 0])
         for batch in batches:
-            for names, numbers in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held = [(n, x) for n, x in zip(names, numbers) if x is not None]
-                for i, (a, x) in enumerate(held):
-                    for b, y in held[i + 1 :]:
-                        (equal if abs(x - y) <= SAME * max(abs(x), abs(y)) else other)[a, b] += 1
-        keys = sorted(set(equal) | set(other))
-        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in keys], pa.string()), pa.array([b for _, b in keys], pa.string()), pa.array([equal[k] for k in keys], pa.int64()), pa.array([other[k] for k in keys], pa.int64())], names=["a", "b", "n_equal", "n_other"])
-
-    pairs = vs.select("names", "numbers").mapInArrow(count, "a string, b string, n_equal bigint, n_other bigint").groupBy("a", "b").agg(F.sum("n_equal").alias("n_equal"), F.sum("n_other").alias("n_other"))
-    return Profiles(collect_bounded(fields, MOST_FIELDS), collect_bounded(pairs, MOST_FIELDS * 200))
+            shapes: dict[tuple[str, ...], list[list]] = defaultdict(list)
+            for names, types, numbers, inner in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                shapes[tuple(names)].append(numbers)
+                for name, kind, keys in zip(names, types, inner):
+                    if kind != "null":
+                        seen["type", name, kind][0] += 1
+                    for k in keys or ():
+                        seen["key", name, k][0] += 1
+            for names, rows in shapes.items():
+                x = np.array(rows, float)
+                for i in range(len(names) - 1):
+                    a, b = x[:, i : i + 1], x[:, i + 1 :]
+                    held = ~np.isnan(a) & ~np.isnan(b)
+                    equal = held & (np.abs(a - b) <= SAME * np.maximum(np.abs(a), np.abs(b)))
+                    for name, n, e in zip(names[i + 1 :], held.sum(0).tolist(), equal.sum(0).tolist()):
+                        if n:
+                            pair = seen["pair", names[i], name]
+                            pair[0] += e
+                            pair[1] += n - e
+        keys = sorted(seen)
+        columns = [*(pa.array([k[i] for k in keys], pa.string()) for i in range(3)), *(pa.array([seen[k][i] for k in keys], pa.int64()) for i in range(2))]
+        yield pa.RecordBatch.from_arrays(columns, names=["kind", "a", "b", "n_equal", "n_other"])
+
+    found = vs.select("names", "types", "numbers", "inner").mapInArrow(count, "kind string, a string, b string, n_equal bigint, n_other bigint")
+    return found.groupBy("kind", "a", "b").agg(F.sum("n_equal").alias("n_equal"), F.sum("n_other").alias("n_other"))
+
+
+def profiles(vs: DataFrame, most: int = MOST_FIELDS) -> Profiles:
+    """The profiles of all fields and pairs on the driver; ``OverflowError`` beyond ``most`` fields or a hundred pairs each."""
+    return Profiles(collect_bounded(field_profiles(vs), most), collect_bounded(seen_elements(vs), most * 100))
 
 
 def name_words(name: str) -> list[str]:
@@ -188,62 +239,96 @@ def profile_similarity(p: Profiles, a: str, b: str) -> float:
     return (0.2 if constant else 0.5) if overlap else 0.0
 
 
-def flood(p: Profiles, old: list[str], new: list[str], rounds: int = 60, settle: float = 1e-4) -> dict[tuple[str, str], float]:
-    """Similarity of each field of ``old`` with each of ``new`` after flooding, scaled to the start scores' range.
+def barred(p: Profiles, a: str, b: str) -> bool:
+    """Whether two fields were seen side by side with other values, more often than with the same: they hold different quantities."""
+    equal, other = p.together(a, b)
+    return a != b and other > equal
 
-    Pairs of fields are neighbours of the pair of each two words of their names and of the pair of their profiles; a pair
-    passes its score on in equal parts of each kind. Fields seen side by side with other values start, and stay, at 0.
+
+def _elements(p: Profiles, a: str, b: str) -> list[tuple[str, str, str, float]]:
+    """The pairs of elements around two fields: (kind of edge, element of a, element of b, literal similarity of the two).
+
+    Elements are the words of the names, JSON types, nested keys (each with its type), the value profile, and values seen
+    side by side, which are one if both stand with the same value.
     """
-    start: dict[tuple, float] = {}
-    edges: dict[tuple, dict[str, list[tuple]]] = defaultdict(lambda: defaultdict(list))
-    barred: set[tuple] = set()
-    for a in old:
-        for b in new:
-            pair = ("field", a, b)
-            equal, other = p.together(a, b)
-            if other > equal and other > 0:
-                barred.add(pair)
+    out = [("word", x, y, s) for x in dict.fromkeys(name_words(a)) for y in dict.fromkeys(name_words(b)) if (s := _word_similarity(x, y)) > 0]
+    f, g = p.fields.get(a), p.fields.get(b)
+    if f is None or g is None:
+        return out
+    out += [("type", x, y, 1.0) for x in f.types for y in g.types if x == y]
+    out += [("key", x, y, s) for x in f.inner for y in g.inner if (s := name_similarity(x, y)) > 0]
+    alike = 1.0 if a == b else profile_similarity(p, a, b)
+    if alike > 0:
+        out.append(("values", a, b, alike))
+    varies = f.low != f.high or g.low != g.high
+    if a == b or p.together(a, b)[0] and varies:
+        out.append(("beside", a, b, 1.0))
+    return out
+
+
+def flood(p: Profiles, old: Sequence[str], new: Sequence[str], rounds: int = ROUNDS, settle: float = 1e-4) -> dict[tuple[str, str], float]:
+    """The similarity of each field of ``old`` with each of ``new``, from the fixpoint of similarity flooding.
+
+    The pairwise connectivity graph has a node for each pair of fields and for each pair of elements around them (words,
+    types, nested keys, value profiles, values side by side). Pairs of fields start with the similarity of their names
+    (half of it where their values disagree), other nodes with that of their elements. In each round every node passes its score to its neighbours, in equal parts
+    among those of one kind of edge, until the scores settle. A pair's fixpoint score is then related to those of
+    both its fields with themselves in the same graph, so that 1 stands for a field that can't be told from the other
+    and a threshold means the same in every schema. Barred pairs have no node and similarity 0.
+    """
+    fields = sorted({*old, *new})
+    node: dict[tuple, int] = {}
+    start: list[float] = []
+    source: list[int] = []
+    target: list[int] = []
+    share: list[tuple[int, str]] = []
+
+    def at(key: tuple, score: float) -> int:
+        if key not in node:
+            node[key] = len(start)
+            start.append(score)
+        return node[key]
+
+    for i, a in enumerate(fields):
+        for b in fields[i:]:
+            if barred(p, a, b):
+                continue
+            around = _elements(p, a, b)
+            if not around:
                 continue
-            alike = profile_similarity(p, a, b)
-            f, g = p.fields.get(a), p.fields.get(b)
-            varies = f is not None and g is not None and (f.low != f.high or g.low != g.high)
-            start[pair] = min(1.0, 0.6 * name_similarity(a, b) + 0.4 * alike + (0.3 if equal and varies else 0.0))
-            for x in set(name_words(a)):
-                for y in set(name_words(b)):
-                    if (s := _word_similarity(x, y)) > 0:
-                        w = ("word", x, y)
-                        start[w] = s
-                        edges[pair]["word"].append(w)
-                        edges[w]["field"].append(pair)
-            if alike > 0:
-                w = ("values", a, b)
-                start[w] = alike
-                edges[pair]["values"].append(w)
-                edges[w]["field"].append(pair)
-    score = dict(start)
+            agree = any(kind == "values" for kind, *_ in around) or not (a in p.fields and b in p.fields)
+            k = at(("field", a, b), name_similarity(a, b) * (1.0 if agree else 0.5))
+            for kind, x, y, s in around:
+                o = at((kind, *sorted((x, y))), s)
+                source += [k, o]
+                target += [o, k]
+                share += [(k, kind), (o, "field")]
+    if not source:
+        return {(a, b): 0.0 for a in old for b in new}
+    among = Counter(share)
+    weight = np.array([1.0 / among[e] for e in share])
+    src, dst, first = np.array(source), np.array(target), np.array(start)
+    score = first.copy()
     for _ in range(rounds):
-        gained = {k: start[k] + score[k] for k in score}
-        for k, kinds in edges.items():
-            for others in kinds.values():
-                for o in others:
-                    gained[o] += score[k] / len(others)
-        top = max(gained.values(), default=0.0)
-        if top <= 0:
-            break
-        after = {k: v / top for k, v in gained.items()}
-        moved = sum((after[k] - score[k]) ** 2 for k in after) ** 0.5
+        given = first + score
+        after = given + np.bincount(dst, weights=given[src] * weight, minlength=len(first))
+        after /= after.max()
+        moved = float(np.sqrt(((after - score) ** 2).sum()))
         score = after
         if moved < settle:
             break
-    fields = {k[1:]: v for k, v in score.items() if k[0] == "field"}
-    most = max(fields.values(), default=0.0)
-    # flooding ranks the pairs; their own evidence sets the height
-    return {k: start[("field", *k)] * (0.75 + 0.25 * v / most) if most > 0 else 0.0 for k, v in fields.items()} | {k[1:]: 0.0 for k in barred}
+    out = {}
+    for a in old:
+        for b in new:
+            k = node.get(("field", *sorted((a, b))))
+            own = score[node["field", a, a]] * score[node["field", b, b]] if ("field", a, a) in node and ("field", b, b) in node else 0.0
+            out[a, b] = 0.0 if k is None or own <= 0 else min(1.0, float(score[k]) / math.sqrt(own))
+    return out
 
 
-def correspondences(p: Profiles, removed: list[str], added: list[str], accept: float = ACCEPT * 0.9) -> list[tuple[str, str]]:
+def correspondences(p: Profiles, removed: Sequence[str], added: Sequence[str], accept: float = ACCEPT, rounds: int = ROUNDS) -> list[tuple[str, str]]:
     """One-to-one pairs of a removed and an added field that hold the same quantity, best first; ties by name."""
-    scores = flood(p, removed, added)
+    scores = flood(p, removed, added, rounds)
     out, taken = [], set()
     for (a, b), v in sorted(scores.items(), key=lambda x: (-x[1], x[0])):
         if v >= accept and ("old", a) not in taken and ("new", b) not in taken:
@@ -252,35 +337,92 @@ def correspondences(p: Profiles, removed: list[str], added: list[str], accept: f
     return out
 
 
-def _transitions(vs: DataFrame) -> DataFrame:
+def transitions(vs: DataFrame) -> DataFrame:
+    """The distinct pairs of fields removed and fields added between consecutive versions, where there are both."""
     before = W.partitionBy("record").orderBy("version")
-    both = vs.select("names", F.lag("names").over(before).alias("past")).where("past is not null")
+    both = vs.select("names", F.lag("names").over(before).alias("past")).where("past is not null and past <> names")
     return both.select(F.array_sort(F.array_except("past", "names")).alias("removed"), F.array_sort(F.array_except("names", "past")).alias("added")).where("size(removed) > 0 and size(added) > 0").distinct()
 
 
-def find_changes(df: DataFrame, record: str, version: str, file: str, payload: str) -> DataFrame:
+_RENAMES = "removed array<string>, added array<string>, olds array<string>, news array<string>"
+
+
+def _renames_batch(removed: list[list[str]], added: list[list[str]], known: list[Profiles], accept: float, rounds: int) -> pa.RecordBatch:
+    found = [correspondences(p, r, a, accept, rounds) for p, r, a in zip(known, removed, added)]
+    kept = [i for i, f in enumerate(found) if f]
+    lists = pa.list_(pa.string())
+    columns = [[removed[i] for i in kept], [added[i] for i in kept], [[a for a, _ in found[i]] for i in kept], [[b for _, b in found[i]] for i in kept]]
+    return pa.RecordBatch.from_arrays([pa.array(c, lists) for c in columns], names=["removed", "added", "olds", "news"])
+
+
+def find_renames(vs: DataFrame, accept: float = ACCEPT, rounds: int = ROUNDS, most: int = MOST_FIELDS) -> DataFrame:
+    """removed, added, olds and news of each distinct transition with renames, flooded on the executors.
+
+    Up to ``most`` field names their profiles are broadcast; beyond, each transition is joined with those of its own fields and pairs.
+    """
+    ts = transitions(vs)
+    fields, seen = field_profiles(vs), seen_elements(vs)
+    cores = vs.sparkSession.sparkContext.defaultParallelism
+    if small_enough(vs.select(F.explode("names").alias("n")).distinct(), most):
+        fields, seen = collect_bounded(fields, most), written(seen, "seen")
+        if small_enough(seen, most * 100):
+            shared = vs.sparkSession.sparkContext.broadcast(Profiles(fields, seen.collect()))
+
+            def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    yield _renames_batch(batch.column(0).to_pylist(), batch.column(1).to_pylist(), [shared.value] * batch.num_rows, accept, rounds)
+
+            return ts.repartition(cores, "removed", "added").mapInArrow(match, _RENAMES)
+        fields = field_profiles(vs)
+    key = F.xxhash64("removed", "added")
+    names = ts.select("removed", "added", F.explode(F.array_union("removed", "added")).alias("name"))
+    own = names.join(fields, "name").select("removed", "added", F.struct(F.lit("field").alias("kind"), F.col("name").alias("a"), F.lit("").alias("b"), F.lit(0).cast("long").alias("n_equal"), F.lit(0).cast("long").alias("n_other"), F.struct(*fields.columns).alias("profile")).alias("e"))
+    around = names.join(seen.where("kind <> 'pair'"), F.col("name") == F.col("a")).select("removed", "added", "kind", "a", "b", "n_equal", "n_other")
+    both = names.alias("x").join(seen.where("kind = 'pair'"), F.col("x.name") == F.col("a")).where(F.array_contains(F.array_union("removed", "added"), F.col("b"))).select("removed", "added", "kind", "a", "b", "n_equal", "n_other")
+    others = around.unionByName(both).select("removed", "added", F.struct("kind", "a", "b", "n_equal", "n_other", F.lit(None).cast(own.schema["e"].dataType["profile"].dataType).alias("profile")).alias("e"))
+    grouped = own.unionByName(others).groupBy(key.alias("_k"), "removed", "added").agg(F.collect_list("e").alias("elements"))
+
+    def match_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            removed, added, elements = (batch.column(i).to_pylist() for i in range(3))
+            known = [Profiles([e["profile"] for e in es if e["kind"] == "field"], [e for e in es if e["kind"] != "field"]) for es in elements]
+            yield _renames_batch(removed, added, known, accept, rounds)
+
+    return grouped.select("removed", "added", "elements").mapInArrow(match_own, _RENAMES)
+
+
+def find_changes(df: DataFrame, record: str, version: str, file: str, payload: str, accept: float = ACCEPT, rounds: int = ROUNDS, most_fields: int = MOST_FIELDS, most_transitions: int = MOST_TRANSITIONS) -> DataFrame:
     """record, version, change, field_name and new_name of every change of a record's top-level fields.
 
     Each version is compared with the record's previous existing one. change is added, removed, renamed (new_name is the
     new name, else '') or retyped; null has no type, so the last value that isn't null counts, also over a rename. A field
     that returns after a removal begins anew. Copies of a version, and rows without record, version or JSON object,
-    are no change; an empty table gives an empty result.
+    are no change; an empty table gives an empty result. Up to ``most_transitions`` transitions with renames are
+    broadcast; beyond, they are joined to the versions.
     """
     vs = written(versions(parse_records(df, record, version, file, payload)), "versions")
-    p = profiles(vs)
-    renames = {(tuple(r.removed), tuple(r.added)): correspondences(p, r.removed, r.added) for r in collect_bounded(_transitions(vs), MOST_TRANSITIONS)}
-    shared = df.sparkSession.sparkContext.broadcast({k: v for k, v in renames.items() if v})
+    renames = written(find_renames(vs, accept, rounds, most_fields), "renames")
+    ordered = vs.select("record", "version", "names", "types")
+    if small_enough(renames, most_transitions):
+        table = {(tuple(r.removed), tuple(r.added)): list(zip(r.olds, r.news)) for r in renames.collect()}
+        ordered = ordered.withColumn("olds", F.lit(None).cast("array<string>")).withColumn("news", F.lit(None).cast("array<string>"))
+    else:
+        table = {}
+        past = F.lag("names").over(W.partitionBy("record").orderBy("version"))
+        ordered = ordered.withColumn("_past", past).withColumn("removed", F.array_sort(F.array_except("_past", "names"))).withColumn("added", F.array_sort(F.array_except("names", "_past")))
+        ordered = ordered.join(renames, ["removed", "added"], "left").select("record", "version", "names", "types", "olds", "news")
+    shared = df.sparkSession.sparkContext.broadcast(table)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         current, last = None, {}
         for batch in batches:
             out: list[tuple] = []
-            for rec, ver, names, types in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for rec, ver, names, types, olds, news in zip(*(batch.column(i).to_pylist() for i in range(6))):
                 now = dict(zip(names, types))
                 if rec == current:
                     removed, added = sorted(set(last) - set(now)), sorted(set(now) - set(last))
-                    pairs = dict((b, a) for a, b in known.get((tuple(removed), tuple(added)), ()))
+                    pairs = {b: a for a, b in (zip(olds, news) if olds else known.get((tuple(removed), tuple(added)), ()))}
                     out += [(rec, ver, "renamed", a, b) for b, a in pairs.items()]
                     out += [(rec, ver, "removed", a, "") for a in removed if a not in pairs.values()]
                     out += [(rec, ver, "added", b, "") for b in added if b not in pairs]
@@ -297,8 +439,7 @@ def find_changes(df: DataFrame, record: str, version: str, file: str, payload: s
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()))], names=["record", "version", "change", "field_name", "new_name"])
 
     # sorted streams: the state of one record at a time, of any number of versions
-    ordered = vs.select("record", "version", "names", "types").repartition("record").sortWithinPartitions("record", "version")
-    return ordered.mapInArrow(compare, "record string, version bigint, change string, field_name string, new_name string")
+    return ordered.repartition("record").sortWithinPartitions("record", "version").mapInArrow(compare, "record string, version bigint, change string, field_name string, new_name string")
 
 
 def families(p: Profiles, accept: float = ACCEPT) -> dict[str, str]:
@@ -307,9 +448,9 @@ def families(p: Profiles, accept: float = ACCEPT) -> dict[str, str]:
     scores = flood(p, names, names)
     home: dict[str, str] = {}
     for n in names:  # frequent names first; a field joins the family whose every member may be it
-        fits = [(scores.get((h, n), 0.0), h) for h in dict.fromkeys(home.values()) if all(scores.get((m, n), 0.0) > 0 for m, o in home.items() if o == h)]
+        fits = [(scores.get((h, n), 0.0), h) for h in dict.fromkeys(home.values()) if not any(barred(p, m, n) for m, o in home.items() if o == h)]
         best = max(fits, default=(0.0, n))
-        home[n] = best[1] if best[0] >= accept * 0.9 else n
+        home[n] = best[1] if best[0] >= accept else n
     return home
 
 
