@@ -80,17 +80,17 @@ def test_numbers(value, number):
 
 
 def flooded():
-    """The names alone mislead: `score` gives way to `top1`, while `score_err` only shares its word; values and nested keys tell."""
+    """The names alone mislead: `score` gives way to `top1`, while `scores` only looks like it; values and nested keys tell."""
     out = {f"s{i}": [(s, {"score": {"value": 0.3 + 0.01 * ((i + s) % 9), "n": 7}, "note": f"{i}"}) for s in range(3)] for i in range(8)}
-    out |= {f"t{i}": [(s, {"top1": {"value": 0.3 + 0.01 * ((i + s) % 9), "n": 7}, "score_err": 3 + i + s, "note": f"{i}"}) for s in range(3)] for i in range(8)}
-    return out | {"r": [(0, {"score": {"value": 0.35, "n": 7}, "note": "a"}), (1, {"top1": {"value": 0.36, "n": 7}, "score_err": 5, "note": "a"})]}
+    out |= {f"t{i}": [(s, {"top1": {"value": 0.3 + 0.01 * ((i + s) % 9), "n": 7}, "scores": 3 + i + s, "note": f"{i}"}) for s in range(3)] for i in range(8)}
+    return out | {"r": [(0, {"score": {"value": 0.35, "n": 7}, "note": "a"}), (1, {"top1": {"value": 0.36, "n": 7}, "scores": 5, "note": "a"})]}
 
 
 def test_flooding_decides_where_names_mislead(spark):
     vs = D.written(D.versions(D.parse_records(frame(spark, flooded()), *ARGS)), "t").cache()
     p = D.profiles(vs)
-    assert D.correspondences(p, ["score"], ["score_err", "top1"], rounds=0) == [("score", "score_err")]
-    assert D.correspondences(p, ["score"], ["score_err", "top1"]) == [("score", "top1")]
+    assert D.correspondences(p, ["score"], ["scores", "top1"], rounds=0) == [("score", "scores")]
+    assert D.correspondences(p, ["score"], ["scores", "top1"]) == [("score", "top1")]
     assert ("r", 1, "renamed", "score", "top1") in changes(spark, flooded())
 
 
