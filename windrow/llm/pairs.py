@@ -1,46 +1,36 @@
 """Defects of prompt and response pairs: empty, refusal, echo, language, truncated.
 
 A response is taken out of its wrapping (fences, answer tags, JSON) and tested in that order; the first that holds is
-its defect. Refusals are found by a grammar of first-person denials, echoes by greedy string tiling of the
-response with the prompt, languages by scripts and function words, truncation by the pushdown parser, length spikes
-and the model of sentence ends of :mod:`windrow.llm.truncation`.
+its defect. Refusals are found by the grammar of :mod:`windrow.llm.refusals`, echoes by greedy string tiling of the
+response with the prompt, languages by scripts and character n-gram profiles (:mod:`windrow.llm.languages`), truncation by
+the pushdown parser, length spikes and the model of sentence ends of :mod:`windrow.llm.truncation`.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from windrow.llm.languages import Evidence
+from windrow.llm.refusals import is_denial
 from windrow.llm.truncation import EndModel, at_spike, fit_ends, is_cut, spikes, unwrapped
 from windrow.session import widened
 
 #: Words of a response that tiles of the prompt must cover for an echo; shortest tile.
 ECHO_COVER, TILE = 0.8, 3
+#: Nats within which languages may be the prompt's; nats, and nats a word, by which an answer's own must lead those.
+PROMPT_LEAD, ANSWER_LEAD, ANSWER_RATE = 4.0, 5.0, 0.3
 #: Words beside a refusal that may follow it without being an answer.
 REFUSAL_REST = 14
 
 # What stands for no answer.
 NO_ANSWER = frozenset("null none nil nan n/a na undefined empty blank answer response output text result (no response) no response no answer (empty) (none) (no answer) [no response] [empty] not available no output (no output) ... - -- — ? .".split()) | frozenset(["(no response)", "no response", "(no answer)", "no answer", "[no response]", "(no output)", "no output", "not available", "no content", "(no content)", "sin respuesta", "keine antwort", "pas de réponse", "sem resposta"])
 
-_AUX = r"(?:can ?not|can[’']?t|could not|couldn[’']?t|am unable to|[’']?m unable to|am not able to|[’']?m not able to|won[’']?t|will not|must decline|have to decline|need to decline|decline to|respectfully decline|must refuse|refuse to|have to pass|must pass|am not comfortable|[’']?m not comfortable|do not feel comfortable|don[’']?t feel comfortable|am not allowed|[’']?m not allowed|am not permitted|[’']?m not permitted|am prohibited|would rather not|[’']?d rather not|shouldn[’']?t|should not)"
-_ACT = r"(?:\s+be)?(?:\s+able\s+to)?(?:\s+\w+ly)?(?:\s+(?:to|from|with|on|about|in))?\s*(?:help|assist|provid\w*|answer\w*|writ\w*|describ\w*|creat\w*|complet\w*|produc\w*|generat\w*|fulfil\w*|comply|complying|continu\w*|discuss\w*|shar\w*|respond\w*|support\w*|do|engag\w*|giv\w*|offer\w*|tak\w*|process\w*|this|that|your|the|such|it|an?|any|speak\w*|talk\w*|summari\w*|explain\w*|compar\w*|draft\w*|compos\w*|perform\w*|proceed|go|accept\w*)\b"
-#: Grammar of refusals: first-person inability, rules that forbid, requests declined, in several languages.
-REFUSAL = re.compile(
-    rf"\bI\s*{_AUX}{_ACT}|\bI\s*(?:must|have to|need to|will have to)?\s*(?:respectfully )?(?:decline|refuse)\b|\bas an? (?:AI|artificial|language)[^.!?]{{0,60}}\bI\b[^.!?]{{0,30}}(?:not|n[’']t|unable)"
-    r"|\b(?:not|n[’']t)(?: \w+)? (?:something|a (?:request|topic|task|subject)|able to be)[^.!?]{0,25}\b(?:I|we|me)\b|\b(?:falls?|is|lies?|goes) (?:outside|beyond|against)[^.!?]{0,30}\b(?:I am|I[’']m|my|our|what I)\b|\bnot (?:be )?(?:appropriate|possible|right|permitted|ethical|safe) for (?:me|us)\b|\b(?:go|goes|be|is) against (?:my|our)\b"
-    r"|\b(?:my|our)(?: \w+){0,2} (?:polic\w+|guideline\w*|rules?|instructions?|programming|restrictions?)[^.!?]{0,20}(?:prevent|prohibit|forbid|do not|don[’']t|does not|keep|stop|block|disallow)|\brequest (?:has been |was |is )?(?:declined|denied|refused|rejected|blocked)|\bcontent (?:restrictions?|polic\w+)[^.!?]{0,20}(?:appl|prevent|prohibit|violat)"
-    r"|\b(?:sorry|apologi[sz]e|apologies|regret\w*|unfortunately|afraid|sadly)\b[^.!?]{0,40}\b(?:I|we)\b(?: have to| must| will have to)? ?(?:(?:can|could|will|do|am|[’']m|wo|ca)? ?(?:not|n[’']t|unable|pass|decline))|\bI have to pass\b|\bthis (?:request|topic|task) (?:is|was) (?:not allowed|disallowed|off limits)"
-    r"|\b(?:no puedo|no me es posible|lamento no|lo siento, (?:pero )?no|no estoy autorizad[oa])\b|\b(?:je ne peux pas|je ne suis pas en mesure|je regrette, mais|désolée?, (?:mais )?je ne|il m[’']est impossible)\b|\b(?:ich kann (?:dabei |das |diese[srn]? |dir |Ihnen )?(?:leider )?nicht|leider kann ich|es tut mir leid, (?:aber )?|ich darf (?:das |dazu )?nicht|muss ich ablehnen)\b|\b(?:não posso|não me é possível|lamento, mas|desculpe, (?:mas )?não|sinto muito, mas)\b|\b(?:non posso|mi dispiace, ma)\b"
-    r"|(?:я не могу|к сожалению, я|извините, но)|(?:申し訳(?:ありません|ございません)|お答えできません|お手伝いできません|対応できません)|(?:抱歉|对不起)[，,].{0,6}(?:不能|无法)",
-    re.IGNORECASE,
-)
-#: Words of which every denial of the grammar has one.
-_HINT = frozenset("i my our me we request requests content topic task sorry apologize apologise apologies regret regrets regretfully unfortunately afraid sadly puedo posible autorizado autorizada lamento peux mesure impossible regrette désolé désolée kann leid darf ablehnen posso possível desculpe sinto dispiace не извините сожалению".split())
 _COURTESY = re.compile(r"\b(?:is there (?:something|anything) else|let me know|i hope you understand|hope (?:this|that) helps|if you have (?:another|any|other)|happy to help|please (?:consult|contact|ask|try|refer|see|reach)|i can offer|i can help with|feel free|something else|thanks? (?:you )?for|instead|apologies|sorry)\b", re.IGNORECASE)
 _EASTERN = re.compile(r"[\u3040-\u30ff\u4e00-\u9fff]")
 _SENTENCE = re.compile(r"(?<=[.!?。！？])\s+|\n+|(?<=[。！？])")
@@ -49,27 +39,6 @@ _LEAD = re.compile(r"^\s*(?:>|#+|\*+)*\s*(?:you asked|you said|question|prompt|u
 _OPTION = re.compile(r"^\s*\(?([A-Ha-h])[).:]\s*(\S.*?)\s*$", re.MULTILINE)
 _LETTER = re.compile(r"^[\s>*_`\"'(\[]*(?:(?:the )?(?:correct )?(?:option|answer|choice|letter)(?: is)?\s*:?\s*)?[(\[]?[A-Ha-h][)\].:]*[\s*_`\"'.]*$", re.IGNORECASE)
 
-# Function words of each language.
-FUNCTION_WORDS = {
-    "en": "the of and to in is that was with for from its it on are this which by as at not than be an no when while only between they were had who what how why does each every where which whose do did has have been about through near once over under into more most such some any other there then after before during summarise summarize describe explain write compare show give mention short profile few sentences answer reply".split(),
-    "fr": "le la les des du une un et est dans pour pas que qui sur au aux avec ce cette ces sont près se ne plus par après chez où il elle ont été sous quelques phrases comment quoi dépend sa en en expliquez décrivez comparez résumez écrivez donnez brièvement".split(),
-    "de": "der die das und ist nicht ein eine einen einem einer bei den dem des mit auf von zu im wird sich als auch nach wurde es wie wo ob zwischen dort aus warum kurz meist bisher haben neben beschreibe erkläre vergleiche nenne schreibe fasse gib".split(),
-    "es": "el la los las y es en que de una un por para con del se no al más hacia está cerca cómo qué desde fue muy esta este sus pocas dónde donde después entre vive todavía sabe falta mucho describe explica compara resume escribe da".split(),
-    "pt": "o a os as e é em que do da dos das uma um por para com no na não se ao mais até muito perto depois entre onde poucas desta nesta sua seu foi como vive ainda sabe bem deu nas nos descreva explique compare resuma escreva".split(),
-    "it": "il lo la gli le e è di che in una un per con del della non si al più sono come dove dopo questo questa nel nella vicino tra perché".split(),
-    "nl": "de het een en is niet van in op te dat met voor aan bij naar ook zijn uit door waar tussen deze".split(),
-    "pl": "i w na z nie do się jest że po jak od oraz przez ale dla przy gdzie między".split(),
-}
-_SCRIPTS = {"ru": re.compile(r"[а-яё]", re.I), "ja": re.compile(r"[぀-ヿ]"), "zh": re.compile(r"[一-鿿]"), "ko": re.compile(r"[가-힣]"), "ar": re.compile(r"[؀-ۿ]"), "he": re.compile(r"[א-ת]"), "el": re.compile(r"[α-ωά-ώ]", re.I), "hi": re.compile(r"[ऀ-ॿ]")}
-_LANGUAGE_OF = {w: [] for ws in FUNCTION_WORDS.values() for w in ws}
-for _lang, _ws in FUNCTION_WORDS.items():
-    for _w in set(_ws):
-        _LANGUAGE_OF[_w].append(_lang)
-for _w in ("l", "qu", "j"):
-    _LANGUAGE_OF[_w] = ["fr"]
-_SHARE = {w: 1 / len(langs) for w, langs in _LANGUAGE_OF.items()}
-_OTHER_SCRIPT = re.compile(r"[\u0370-\u06ff\u0900-\u097f\u3040-\u30ff\u4e00-\u9fff\uac00-\ud7a3]")
-_SIGNS = (("ã", "pt"), ("õ", "pt"), ("ñ", "es"), ("¿", "es"), ("¡", "es"), ("ß", "de"), ("ü", "de"), ("ä", "de"), ("è", "fr"), ("ê", "fr"), ("œ", "fr"), ("ó", "es"), ("í", "es"))
 # Names of languages in requests.
 LANGUAGE_NAMES = {
     "en": "english englisch anglais inglés ingles inglês inglese английском 英語", "fr": "french französisch franzosisch français francais francés frances francês francese французском フランス語", "de": "german deutsch allemand alemán aleman alemão tedesco немецком ドイツ語",
@@ -82,38 +51,13 @@ _QUOTED = re.compile(r"\"[^\"\n]{4,400}\"|“[^”\n]{4,400}”|«[^»\n]{4,400}
 _TOKEN = re.compile(r"[^\W_]+|[぀-ヿ㐀-鿿]")
 
 
-def language_of(text: str, words: list[str] | None = None, least: float = 1.5) -> tuple[str | None, Counter]:
-    """The language of ``text`` (None where less than ``least`` tells) and the evidence for each. words: its words, in small letters."""
-    votes: Counter = Counter()
-    if not text.isascii():
-        if _OTHER_SCRIPT.search(text):
-            for lang, script in _SCRIPTS.items():
-                if n := len(script.findall(text)):
-                    votes[lang] += n / 3
-            if votes["ja"]:
-                votes["ja"] += votes.pop("zh", 0)
-        for sign, lang in _SIGNS:
-            if sign in text:
-                votes[lang] += 0.7 * min(4, text.count(sign))
-    for w in _words(text) if words is None else words:
-        for lang in _LANGUAGE_OF.get(w, ()):
-            votes[lang] += _SHARE[w]
-    votes = +votes
-    if not votes:
-        return None, votes
-    (best, n), *rest = votes.most_common(2)
-    if n < least or rest and n < 1.2 * rest[0][1]:
-        return None, votes
-    return best, votes
-
-
 def asked_language(prompt: str, words: list[str]) -> str | None:
-    """The language that ``prompt`` asks for, else the one it is written in."""
-    if not _NAMED.keys().isdisjoint(words) or not prompt.isascii() and _OTHER_SCRIPT.search(prompt):
+    """The language that ``prompt`` asks for in words, or None."""
+    if not _NAMED.keys().isdisjoint(words) or not prompt.isascii() and _EASTERN.search(prompt):
         named = [m for m in _ASKED.finditer(prompt)]
         if named:
             return _NAMED.get((named[-1].group(1) or named[-1].group(2)).lower())
-    return language_of(prompt, words, 0.5)[0]  # prompts are short
+    return None
 
 
 def tiles(pattern: list[str], text: list[str], least: int = TILE) -> list[tuple[int, int, int]]:
@@ -172,18 +116,20 @@ def is_empty(response: str | None, inner: str | None = None) -> bool:
     return bool(re.fullmatch(r"(?i)<[^<>]*>\s*</[^<>]*>", bare))
 
 
-def is_refusal(answer: str, words: list[str] | None = None) -> bool:
-    """A denial within the first three sentences, with no more than courtesies and a few words beside it."""
-    if len(answer) > 1500:
-        return False  # more than such a text has
-    if _HINT.isdisjoint(_words(answer) if words is None else words) and not _EASTERN.search(answer):
-        return False
-    parts = [p for p in _SENTENCE.split(answer) if p and p.strip()]
-    hit = next((i for i, p in enumerate(parts[:3]) if REFUSAL.search(p)), None)
-    if hit is None:
-        return False
-    rest = [p for i, p in enumerate(parts) if i != hit and not REFUSAL.search(p) and not _COURTESY.search(p)]
-    return sum(len(_words(p)) for p in rest) <= REFUSAL_REST and len(_words(parts[hit])) <= 45
+def is_refusal(answer: str) -> bool:
+    """A denial by the grammar, in an answer of any length, with no more than courtesies and a few words beside its denials."""
+    rest, denied = 0, False
+    for p in _SENTENCE.split(answer):
+        if not p or not p.strip():
+            continue
+        n = len(_TOKEN.findall(p))
+        if n <= 60 and is_denial(p):
+            denied = True
+        elif not _COURTESY.search(p):
+            rest += n
+            if rest > REFUSAL_REST:
+                return False
+    return denied
 
 
 def is_echo(prompt: str, answer: str, asked: list[str], words: list[str]) -> bool:
@@ -212,10 +158,7 @@ def is_echo(prompt: str, answer: str, asked: list[str], words: list[str]) -> boo
         if len(inside) == 1 or len(lines) > 1 and not inside and _LETTER.match(lines[-1]) or not inside and re.search(r"(?i)\b(?:answer|option|choice)\b\s*(?:is|:)?\s*\(?[a-h]\)?[.\s]*$", said):
             return False
     covered, remaining, longest = 0, words, 0
-    for _ in range(6):
-        got = tiles(asked, remaining)
-        if not got:
-            break
+    while got := tiles(asked, remaining):
         longest = max(longest, max(n for *_, n in got))
         keep = [True] * len(remaining)
         for _, j, n in got:
@@ -225,18 +168,22 @@ def is_echo(prompt: str, answer: str, asked: list[str], words: list[str]) -> boo
     return covered >= ECHO_COVER * len(words) and longest >= min(5, len(words))
 
 
-def is_other_language(prompt: str, answer: str, asked: list[str], words: list[str]) -> bool:
+def is_other_language(prompt: str, answer: str, asked: list[str]) -> bool:
+    """Whether ``answer``, without its quotations, is in another language than the one that ``prompt`` asks for, or is written in."""
     rest = answer
     if '"' in answer or not answer.isascii():
         rest = _QUOTED.sub(" ", answer)
-        if len(rest) < len(answer):
-            unquoted = _words(rest)
-            rest, words = (rest, unquoted) if len(unquoted) >= 4 else (answer, words)
-    got, votes = language_of(rest, words)
-    if got is None or votes[got] < 2:
+        if len(rest) < len(answer) and len(_words(rest)) < 4:
+            rest = answer
+    said = Evidence(rest)
+    if said.n < 4 or said.share < 0.5:
+        return False
+    named = asked_language(prompt, asked)
+    wanted = [named] if named else Evidence(prompt).near(PROMPT_LEAD)
+    if not wanted:
         return False
-    wanted = asked_language(prompt, asked)
-    return wanted is not None and got != wanted and votes[got] >= 1.8 * votes[wanted] + 0.5
+    behind = min(said.behind(w) for w in wanted)
+    return behind == math.inf or behind >= max(ANSWER_LEAD, ANSWER_RATE * said.n_words)
 
 
 def defect_of(prompt: str | None, response: str | None, model: EndModel, spike: bool = False) -> str | None:
@@ -247,14 +194,14 @@ def defect_of(prompt: str | None, response: str | None, model: EndModel, spike:
     if is_empty(response, answer):
         return "empty"
     words = _words(answer)
-    if is_refusal(answer, words):
+    if is_refusal(answer):
         return "refusal"
     lines: frozenset[str] = frozenset()
     if prompt and prompt.strip():
         asked = _words(prompt)
         if is_echo(prompt, answer, asked, words) or was_json and is_echo(prompt, response, asked, _words(response)):
             return "echo"
-        if is_other_language(prompt, answer, asked, words):
+        if is_other_language(prompt, answer, asked):
             return "language"
         lines = frozenset(x.strip() for x in prompt.split("\n")) | frozenset(m.group(2) for m in _OPTION.finditer(prompt))
     if len(answer) < 60 and _LETTER.match(answer):
