@@ -17,7 +17,7 @@ import numpy as np
 
 #: Nats that one word can count at most; nats by which a language must lead.
 BOUND, LEAD = 3.0, 3.0
-#: Words whose evidence a process keeps, at most, but for those of one text.
+#: Words, and trigrams, whose evidence a process keeps, at most.
 WORDS = 200_000
 
 # Seeds of the profiles, running text of each language on everyday matters.
@@ -46,7 +46,7 @@ SEEDS = {
 SCRIPT_LANGUAGE = {"HIRAGANA": "ja", "KATAKANA": "ja", "CJK": "zh", "HANGUL": "ko"}
 
 _WORD = re.compile(r"[^\W\d_]+")
-_ASCII_ONLY = re.compile(r"[\x00-\x7f]*\Z")
+_SPACE_OR_SIGN = re.compile(r"[^A-Za-z]+")
 
 
 @lru_cache(1 << 14)
@@ -57,8 +57,8 @@ def script_of(c: str) -> str:
 
 def scripts_of(text: str) -> Counter:
     """How many letters of each script ``text`` has."""
-    if _ASCII_ONLY.match(text):
-        return Counter({"LATIN": sum(map(str.isalpha, text))})
+    if text.isascii():
+        return Counter({"LATIN": len(_SPACE_OR_SIGN.sub("", text))})
     out: Counter = Counter()
     for c, n in Counter(text).items():
         if s := script_of(c):
@@ -91,20 +91,29 @@ class Profiles:
             context.append(of)
         self.context = context
         self.row: dict[str, int] = {}
+        self.grams: dict[str, np.ndarray] = {}
         self.table = np.zeros((1 << 12, len(self.languages)), np.float32)
 
+    def _gram(self, g: str) -> np.ndarray:
+        """Log-probability of the last sign of ``g`` after those before it, in each language."""
+        out = self.grams.get(g)
+        if out is None:
+            p = np.full(len(self.languages), 1 / self.n_letters)
+            for k, strength in zip(range(len(g)), (30.0, 6.0, 3.0)):
+                part = g[len(g) - 1 - k :]
+                n = np.array([c[k].get(part, 0) for c in self.counts], float)
+                of = np.array([c[k].get(part[:-1], 0) for c in self.context], float)
+                p = (n + strength * p) / (of + strength)
+            out = np.log(p)
+            if len(self.grams) < WORDS:
+                self.grams[g] = out
+        return out
+
     def _word(self, w: str) -> np.ndarray:
         s = f"^{w}$"
-        out = np.zeros(len(self.languages))
-        for j, (c, of) in enumerate(zip(self.counts, self.context)):
-            total = 0.0
-            for i in range(1, len(s)):
-                p = 1 / self.n_letters
-                for k, strength in ((0, 30.0), (1, 6.0), (2, 3.0)):
-                    g = s[max(0, i - k) : i + 1]
-                    p = (c[k].get(g, 0) + strength * p) / (of[k].get(g[:-1], 0) + strength)
-                total += math.log(p)
-            out[j] = total
+        out = self._gram(s[:2]).copy()
+        for i in range(2, len(s)):
+            out += self._gram(s[i - 2 : i + 1])
         return np.maximum(out - out.max(), -BOUND)
 
     def evidence(self, words: list[str]) -> np.ndarray:
@@ -180,7 +189,9 @@ class Evidence:
         """The languages less than ``lead`` nats behind the best; none where there are no letters."""
         if not self.n or not len(self.scores):
             return []
-        return [x for x, s in zip(self.languages, self.scores.tolist()) if s > self.scores.max() - lead]
+        scores = self.scores.tolist()
+        least = max(scores) - lead
+        return [x for x, s in zip(self.languages, scores) if s > least]
 
     def behind(self, language: str) -> float:
         """Nats by which ``language`` is behind the best; infinite where it has another script."""

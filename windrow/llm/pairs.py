@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -168,6 +169,12 @@ def is_echo(prompt: str, answer: str, asked: list[str], words: list[str]) -> boo
     return covered >= ECHO_COVER * len(words) and longest >= min(5, len(words))
 
 
+@lru_cache(256)
+def _prompt_languages(prompt: str) -> tuple[str, ...]:
+    """The languages that a prompt may be written in; attempts at one call follow one another, so the last ones are kept."""
+    return tuple(Evidence(prompt).near(PROMPT_LEAD))
+
+
 def is_other_language(prompt: str, answer: str, asked: list[str]) -> bool:
     """Whether ``answer``, without its quotations, is in another language than the one that ``prompt`` asks for, or is written in."""
     rest = answer
@@ -179,7 +186,7 @@ def is_other_language(prompt: str, answer: str, asked: list[str]) -> bool:
     if said.n < 4 or said.share < 0.5:
         return False
     named = asked_language(prompt, asked)
-    wanted = [named] if named else Evidence(prompt).near(PROMPT_LEAD)
+    wanted = (named,) if named else _prompt_languages(prompt)
     if not wanted:
         return False
     behind = min(said.behind(w) for w in wanted)

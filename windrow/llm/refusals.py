@@ -149,6 +149,7 @@ REJECTED = either(seq(word("THING"), fill(2), word("BE"), fill(2), word("REJECTE
 SORRY = seq(word("SORRY"), fill(6), either(word("I_CANNOT"), seq(word("SUBJECT"), fill(3), word("NEG", "DECLINE")), seq(word("NEG"), fill(1), word("I_CAN")), seq(word("MODAL"), fill(3), word("NEG"))))
 #: Classes of which every denial has one.
 _SOME = frozenset(["NEG", "I_CANNOT", "DECLINE", "OUTSIDE", "FORBID", "REJECTED"])
+_WHO = frozenset(["SUBJECT", "I_CAN", "I_CANNOT", "THING", "MY", "RULE", "SORRY"])
 _RULES = (DENIAL, DECLINED, IMPOSSIBLE, BARRED, REJECTED, SORRY)
 #: Words that something said of others has before a denial: someone else is its subject.
 _REPORTED = re.compile(r"\b(?:he|she|they|who|warden|authors?|growers?|keepers?)\b", re.IGNORECASE)
@@ -172,7 +173,8 @@ def is_denial(sentence: str) -> bool:
         return True
     tokens = tokens_of(sentence)
     ts = [classes_of(t) for t in tokens]
-    if not any(_SOME & t for t in ts):
+    have = frozenset().union(*ts)
+    if _SOME.isdisjoint(have) or _WHO.isdisjoint(have):
         return False
     if not _DECLINE_ALONE.isdisjoint(tokens[:3]):
         return True
