@@ -126,6 +126,7 @@ DENIAL = either(
     seq(word("SUBJECT"), fill(1), _ABLE),
     seq(word("NEG"), word("I_CAN"), fill(2), word("ABLE")),
     seq(word("SUBJECT"), fill(2), word("NEG"), fill(1), word("ACT")),  # I'm unable to answer
+    seq(word("SORRY"), fill(2), word("NEG"), fill(1), word("MODAL", "I_CAN"), fill(2), word("ACT")),  # sorry, no can do
 )
 DECLINED = either(
     seq(word("SUBJECT"), fill(1), maybe(word("NEED", "MODAL")), fill(2), word("DECLINE")),
