@@ -12,11 +12,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+
+from windrow.llm.sampling import bounded_sample
 from windrow.session import widened
 
 #: Rows of the corpus on which the model of prose is fitted, at most; chosen by hash of the key.
@@ -28,80 +31,147 @@ EVIDENCE, COVERAGE, RATE = 12.0, 0.7, 0.45
 HTTP = ["400 Bad Request", "401 Unauthorized", "403 Forbidden", "404 Not Found", "405 Method Not Allowed", "408 Request Timeout", "410 Gone", "429 Too Many Requests", "500 Internal Server Error", "502 Bad Gateway", "503 Service Unavailable", "504 Gateway Timeout"]
 HTTP_FORMS = ["{0}", "HTTP {0}", "HTTP {1} - {2}", "Error {1}: {2}.", "Error {1} ({2})", "{2}.", '{{"error":{{"code":{1},"message":"{3}"}}}}', '{{"status":{1},"error":"{2}"}}', "<html><head><title>{0}</title></head><body><h1>{2}</h1><hr>nginx</body></html>", "<html><head><title>{0}</title></head><body><center><h1>{0}</h1></center><hr><center>server</center></body></html>"]
 NOTICES = """
-The request could not be completed.
 The requested page could not be found.
 The requested URL was not found on this server.
 The page you requested does not exist.
-Sorry, the page you were looking for has moved or no longer exists.
-We could not find the page you were looking for.
+We looked for that page and could not find it.
 Page not found.
 Oops! Something went wrong.
-Something went wrong on our side. Try again in a few minutes.
 An unexpected error occurred. Please try again later.
 An error has occurred while processing your request.
 Internal error. Please contact the administrator.
 This service is temporarily unavailable. Please try again later.
-This site is down for scheduled maintenance. Please come back later.
+The site is offline for planned maintenance.
 We are currently undergoing maintenance and will be back soon.
 The server is temporarily unable to service your request.
 The connection has timed out. The server took too long to respond.
 Upstream connect error or disconnect before headers: connection reset.
-Upstream connect failure: connection refused before headers.
-Request quota exceeded, retry after 30 seconds.
 Rate limit exceeded, please wait and try again.
+upstream connect error or disconnect/reset before headers. reset reason: connection failure
+API rate limit exceeded. You exceeded your current quota, please check your plan and billing details.
+Quota exceeded, please retry after 60 seconds. Rate limit reached. Please try again in 20 seconds. Retry after one minute.
+net::ERR_CONNECTION_RESET The connection was reset. Connection closed before the headers were received. Connection reset by peer.
 Too many requests. Slow down and retry after a while.
-Access denied. You do not have permission to open this page.
+You lack the rights that this page asks for.
 You are not authorized to view this page.
-Your session has expired. Sign in again to continue reading.
 Please log in to continue. You must be logged in to view this content.
-Checking your browser before opening the site. This may take a few seconds.
-Checking your browser before accessing the page.
+Your browser is being checked.
+Please stand by while we check your browser.
 Verify that you are human. Complete the security check to continue.
 The content failed to load. Refresh the page to try again.
 Unable to load the requested record. Reload and try again.
-Please enable JavaScript to view this page.
 Please enable JavaScript in your browser and reload the page.
-You need to enable JavaScript to run this app.
 JavaScript is required to view this site.
-JavaScript is disabled in your browser; the page cannot be displayed.
-This site requires JavaScript. Turn on JavaScript in your browser settings and reload.
-This page needs scripts to run. Allow scripts for this address to read the full text.
-Scripts are blocked. Scripts are disabled.
-Cookies and scripts must both be switched on to continue.
+As JavaScript is off, the page cannot be displayed.
+This site requires JavaScript.
+Scripts have to run here, so please allow them for this address.
+Scripts are disabled.
 Please enable cookies and scripts in your browser.
-Your browser does not support JavaScript. Your browser does not support scripting.
-<noscript>Your browser does not support scripting.</noscript>
-<noscript>You need to enable JavaScript to run this app.</noscript>
-Die angeforderte Seite wurde nicht gefunden. Die Seite konnte nicht geladen werden.
-Bitte aktivieren Sie JavaScript, um diese Seite anzuzeigen. Zugriff verweigert. Interner Serverfehler.
+Your browser does not support JavaScript.
+<noscript>The app runs with JavaScript only, so please enable it.</noscript>
+Die Seite konnte nicht geladen werden.
+Zugriff verweigert. Interner Serverfehler.
 Der Dienst ist vorübergehend nicht verfügbar. Bitte versuchen Sie es später erneut.
-La page demandée est introuvable (erreur 404). La page n'a pas pu être chargée.
-Veuillez activer JavaScript pour afficher ce contenu. Accès refusé. Erreur interne du serveur.
+La page n'a pas pu être chargée.
+Accès refusé. Erreur interne du serveur.
 Le service est temporairement indisponible. Veuillez réessayer plus tard.
-No se ha podido cargar la página solicitada. La página solicitada no existe.
-Active JavaScript en su navegador para continuar. Acceso denegado. Error interno del servidor.
+La página solicitada no existe.
+Acceso denegado. Error interno del servidor.
 El servicio no está disponible en este momento. Inténtelo de nuevo más tarde.
 A página solicitada não foi encontrada. Não foi possível carregar a página solicitada.
 Ative o JavaScript no seu navegador para continuar. Acesso negado. Erro interno do servidor.
 O serviço está temporariamente indisponível. Tente novamente mais tarde.
 La pagina richiesta non è stata trovata. Attiva JavaScript nel browser per continuare.
+This request failed and no result was returned. The operation was aborted before it was finished.
+We couldn't load this page right now. This page isn't available any more, it may have been deleted or renamed.
+The link you followed is broken or out of date. Nothing was found at this address. Check the address and go back to the home page.
+Something broke on our end and our team has been told. Please wait a moment and then refresh. Try again later or contact support.
+You need permission to see this. Entry refused. Your account can't open this document. Log in with another account.
+You have been signed out because you were inactive for too long. Your login is no longer valid, please sign in once more.
+The gateway did not receive a timely response. Connection refused by the remote host. Host unreachable, network error, timed out.
+This website is being updated and will return shortly. We'll be right back after some maintenance work.
+Please turn JavaScript on to see this content. To use this site, JavaScript must be enabled. This application needs JavaScript.
+Without JavaScript this page can't be shown. Your browser has JavaScript turned off. Change the settings of your browser and load the page again.
+Scripting is switched off in your browser. Scripts have been blocked by an extension. Allow scripts and cookies for this site to go on.
+Your browser can't run scripts. It is too old or scripting has been disabled. Cookies are required, please allow them.
+We are verifying your connection before you proceed. One moment please, you will be redirected. Prove that you are not a robot.
+Diese Seite existiert nicht oder wurde verschoben. Leider ist ein Fehler aufgetreten. Seite nicht gefunden.
+Für diese Anwendung muss JavaScript eingeschaltet sein. Ihr Browser unterstützt kein JavaScript. Bitte laden Sie die Seite neu und melden Sie sich an.
+Cette page n'existe pas ou a été déplacée. Une erreur s'est produite. Page introuvable.
+JavaScript doit être activé pour utiliser ce site. Votre navigateur ne prend pas en charge JavaScript. Merci de recharger la page et de vous connecter.
+Esta página no existe o se ha movido. Se ha producido un error. Página no encontrada. La página no se ha podido abrir.
+Es necesario habilitar JavaScript para ver este sitio. Su navegador no admite JavaScript. Vuelva a cargar la página e inicie sesión.
+Esta página não existe ou foi movida. Ocorreu um erro. Página não encontrada.
+É necessário ativar o JavaScript para ver este site. O seu navegador não suporta JavaScript. Recarregue a página e inicie sessão.
+Страница не найдена. Произошла ошибка. Пожалуйста, включите JavaScript в браузере, чтобы увидеть страницу. Доступ запрещён. Сервис временно недоступен.
+ページが見つかりません。エラーが発生しました。このページを表示するには JavaScript を有効にしてください。アクセスが拒否されました。しばらくしてからもう一度お試しください。
 """
 FILLER = """
 Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua.
 Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat.
 Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur.
 Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum.
-Vorem ipsal dolat sime amec consel adipin elisc sedo eiusm tempar incid labret dolen magnal tetura.
-Text to follow. Text goes here. Content to follow. Content goes here. More text to come. Details to follow.
+Text goes here. Content to follow. Content goes here. More text to come. Details to follow.
 TBD - write this section before release. TBD. To be determined. To be completed. TODO: write this part. TODO - add text.
-This section is intentionally left blank. This section is intentionally filled with dummy copy. Dummy text, dummy copy.
-This text is a placeholder. Placeholder text for layout purposes only. Sample text for layout purposes only. Replace this text.
-Your paragraph here. Your text here. Click to edit this block. Click here to edit this text. Add your content here.
-Draft stub, replace with final wording. Stub - replace before publication. Insert description here. Coming soon. Under construction.
+Left blank on purpose. Dummy text, dummy copy.
+Pellentesque habitant morbi tristique senectus et netus et malesuada fames ac turpis egestas, vestibulum tortor quam, feugiat vitae, ultricies eget.
+Donec eu libero sit amet quam egestas semper. Aenean ultricies mi vitae est, mauris placerat eleifend leo, quisque sit amet sapien ullamcorper pharetra.
+Aenean fermentum elit eget tincidunt condimentum, eros ipsum rutrum orci, sagittis tempus lacus enim ac dui. Donec non enim in turpis pulvinar facilisis.
+This text is a placeholder. Placeholder text, used to test the layout. Sample text, used to test the layout. Replace this text.
+Your text here. Click here to edit this text. Add your content here.
+Stub - replace before publication. Insert description here. Coming soon. Under construction.
 xxx xxxx xxxxxx xxxxx xxx xxxxx xxxx xxx xxxxxx xxxx xxxxx xxx xxx xxxx xxxxxx xxxxx.
 xxxxx xxxxx xxxx xxxxxx xxx xxx xxxxx xxxxxx xxxx xxx xxxxx xxx xxxx xxxx xxxxxx.
 blah blah blah blah blah. asdf asdf asdf asdf. qwerty qwerty qwerty. foo bar baz foo bar baz. test test test test.
+Add text here. Your content goes here. Enter your text. Write something here. Start typing your story. Insert paragraph text.
+This block holds sample copy until the real copy is ready. The final text will be added later. To be written. To be supplied by the author.
+This is filler text and will be replaced. Replace with real content before going live. Temporary text, not final. Draft only, wording to be confirmed.
+Edit this section. Tap to edit. Double click to change this paragraph. Type your heading here. Section title goes here. Description to be added.
 """
+# Parts of notices, joined by ``notices_of`` in every way.
+NOTICE_PARTS = [
+    (
+        "The page|This page|The document|The file|The site|This content|The resource|The record|The link|The address".split("|"),
+        "could not be found|can't be found|does not exist|no longer exists|is not available|is no longer available|has been removed|has been moved|has been deleted|could not be loaded|failed to load|can't be displayed|is blocked|has expired|is restricted|is busy".split("|"),
+        "|you are looking for|you requested|at the moment|at this time|for your account|on this server".split("|"),
+    ),
+    (
+        "Please|Kindly|You can|Try to|You may".split("|"),
+        "try again|retry|reload the page|refresh the page|come back|go back|check the address|return to the home page|contact support|contact the administrator|sign in|log in|wait".split("|"),
+        "|later|in a few moments|shortly|to continue|if the problem persists|and try again".split("|"),
+    ),
+    (
+        "JavaScript|Scripts|Cookies|Scripting".split("|"),
+        "must be enabled|must be allowed|must be turned on|is required|are required|is disabled|are disabled|is switched off|are blocked|is not supported|needs to be enabled|has been turned off".split("|"),
+        "|to view this page|for this page to display|to continue|to use this site|in your browser|to see the content|for the site to work".split("|"),
+    ),
+    (
+        "Please enable|Enable|Turn on|Allow|Activate|Switch on|You need to enable|You must enable|You have to allow".split("|"),
+        "JavaScript|scripts|cookies|scripting|JavaScript and cookies".split("|"),
+        "|to view this page|to continue|to use this site|in your browser settings|and reload|for this site|to see the content".split("|"),
+    ),
+    (
+        "An error|An unexpected error|A problem|An internal error|An unknown error".split("|"),
+        "occurred|has occurred|was encountered|happened".split("|"),
+        "|while loading the page|while processing your request|on the server|during the operation".split("|"),
+    ),
+    ("Our servers|The server|The service|Our system|The system".split("|"), "is down|are busy|is overloaded|is unavailable|is not responding|returned an error|refused the request|took too long".split("|"), "|at the moment|for maintenance|right now|please retry later|please try later".split("|")),
+    ("Access|Your access|Entry".split("|"), "denied|is denied|has been denied|was refused|is restricted|has been blocked".split("|"), "|to this page|to this content|for your account".split("|")),
+    ("We can't|We cannot|We couldn't|We could not".split("|"), "find|load|open|show|display|process".split("|"), "that page|this page|the page|your request|the file".split("|")),
+    ("Diese Seite|Die Seite|Der Inhalt|Das angeforderte Dokument".split("|"), "wurde nicht gefunden|existiert nicht|ist nicht verfügbar|konnte nicht geladen werden|ist nicht mehr vorhanden|wurde verschoben".split("|"), "|leider|zurzeit|(Fehler 404)|(Fehler 500)".split("|")),
+    ("JavaScript ist|Cookies sind|Ihr Browser hat JavaScript|Skripte sind".split("|"), "deaktiviert|ausgeschaltet|erforderlich|blockiert|abgeschaltet".split("|"), "|in Ihrem Browser|für diese Seite".split("|")),
+    ("Bitte aktivieren Sie|Schalten Sie|Bitte erlauben Sie".split("|"), "JavaScript|Cookies|Skripte".split("|"), "in Ihrem Browser|um fortzufahren|um diese Seite zu sehen".split("|")),
+    ("Cette page|La page|Le document|Ce contenu|L'adresse demandée|La ressource demandée".split("|"), "n'existe pas|n'existe plus|n'est plus disponible|est introuvable|n'a pas été trouvé|a été déplacé|a été supprimé".split("|"), "|que vous cherchez|pour le moment|(erreur 404)|(erreur 500)".split("|")),
+    ("Activez|Veuillez activer|Vous devez activer|Autorisez".split("|"), "JavaScript|les cookies|les scripts".split("|"), "pour continuer|pour voir cette page|pour afficher le contenu|dans votre navigateur".split("|")),
+    ("Esta página|La página|El documento|La dirección solicitada".split("|"), "no existe|ya no existe|no está disponible|no se encuentra|no se pudo cargar|ha sido eliminado".split("|"), "|que busca|en este momento|(error 404)".split("|")),
+    ("Active|Debe activar|Habilite|Es necesario activar".split("|"), "JavaScript|las cookies|los scripts".split("|"), "para continuar|para ver esta página|en su navegador".split("|")),
+    ("Esta página|A página|O documento|O endereço solicitado".split("|"), "não existe|já não existe|não está disponível|não foi encontrada|não pôde ser carregada|foi removido".split("|"), "|que procura|neste momento|(erro 404)".split("|")),
+    ("Ative|Deve ativar|Habilite|É necessário ativar".split("|"), "JavaScript|os cookies|os scripts".split("|"), "para continuar|para ver esta página|no seu navegador".split("|")),
+]
+FILLER_PARTS = [
+    ("Text|Your text|Content|The content|Body text|Copy|Description|Details|Summary|Paragraph|Title|Heading".split("|"), "goes here|to come|to follow later|will be added|will be supplied|is to be written|to be added|to be completed".split("|"), "|later|soon|here|before publication|by the author".split("|")),
+    ("Insert|Add|Enter|Type|Write|Replace|Edit".split("|"), "your text|the text|your title|a description|your content|this paragraph|the summary|some words".split("|"), "|here|below|before publishing|before release".split("|")),
+]
 PROSE = """
 The set of plots was sampled twelve times, and the first two rows of the table were left out of the mean.
 Entries in brackets keep the spelling of the first hand; the labels followed one pattern and were checked in the field.
@@ -205,16 +275,28 @@ class _Gram:
         self.log = np.log(p).reshape(-1)
 
 
+def notices_of(parts: list[tuple[list[str], ...]]) -> list[str]:
+    """All sentences that the parts of each table give, one part of each column."""
+    return [" ".join(x for x in (*row, tail) if x) + "." for *heads, tails in parts for row in product(*heads) for tail in tails]
+
+
+def mock_latin() -> list[str]:
+    """Lorem ipsum with other endings, as generators of dummy text make it: each line has all its words with one ending."""
+    words = [w for w in re.findall(r"[a-z]+", FILLER.lower().split("excepteur")[0]) if len(w) >= 4]
+    return [" ".join(w[: min(len(w) - 1, k)] + e for w in words) + "." for k in (3, 4, 5) for e in ("", "al", "at", "ar", "en", "is", "um")]
+
+
 def seeds() -> dict[str, list[str]]:
     """The seed texts of each model."""
     notices = [s.strip() for s in NOTICES.strip().splitlines()]
     for h in HTTP:
         code, _, words = h.partition(" ")
         notices += [f.format(h, code, words, words.lower()) for f in HTTP_FORMS]
-    filler = [s.strip() for s in FILLER.strip().splitlines()]
+    notices = notices * 10 + notices_of(NOTICE_PARTS)
+    filler = [s.strip() for s in FILLER.strip().splitlines()] * 30 + notices_of(FILLER_PARTS) + mock_latin() * 3
     slots = [f"the {f.format(n, n.upper().replace(' ', '_'))} of" for f in SLOT_FORMS for n in SLOT_NAMES]
     missing = [f.format(m) for f in MISSING_FRAMES for m in MISSING]
-    return {"residue": notices * 3 + filler * 12, "slot": slots, "missing": missing}
+    return {"residue": notices + filler, "slot": slots, "missing": missing}
 
 
 def _ratio(model: _Gram, prose: _Gram) -> np.ndarray:
@@ -315,13 +397,11 @@ class ResidueModel:
 
 
 def fit(prose: DataFrame, key: str, text: str, rows: int = FIT_ROWS) -> ResidueModel:
-    """The model with prose fitted on about ``rows`` rows (at most twice as many), chosen by hash of ``key``.
+    """The model with prose fitted on ``rows`` rows, those of the least hashes of ``key``, of ``FIT_CHARS`` characters at most.
 
     The bound holds at every size of the corpus; everything else covers all rows.
     """
-    n = max(1, prose.count())
-    chosen = prose.where(F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, rows / n)))).where(F.col(text).isNotNull())
-    return ResidueModel([r[0] for r in chosen.select(text).limit(2 * rows).collect()])
+    return ResidueModel([r[0] for r in bounded_sample(prose, key, text, rows).collect()])
 
 
 def find_residue(df: DataFrame, model: ResidueModel, id_columns: list[str], text_column: str) -> DataFrame:
