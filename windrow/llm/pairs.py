@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from windrow.llm.languages import Evidence
 from windrow.llm.refusals import is_denial
-from windrow.llm.truncation import EndModel, at_spike, fit_ends, is_cut, spikes, unwrapped
+from windrow.llm.truncation import MOST_SPIKES, EndModel, at_spike, fit_ends, is_cut, spiked, unwrapped
 from windrow.session import widened
 
 #: Words of a response that tiles of the prompt must cover for an echo; shortest tile.
@@ -223,7 +223,7 @@ def is_truncated(prompt: str | None, response: str | None, model: EndModel, spik
     return defect_of(prompt, response, model, spike) == "truncated"
 
 
-def find_defects(log: DataFrame, model: EndModel | None = None, only_truncated: bool = False) -> DataFrame:
+def find_defects(log: DataFrame, model: EndModel | None = None, only_truncated: bool = False, most_spikes: int = MOST_SPIKES) -> DataFrame:
     """call_id, attempt_index, source (model_version) and defect of every defective pair of ``log``, one row a key.
 
     ``log`` has call_id, attempt_index, prompt_text, raw_response and model_version; further columns aren't read. A null
@@ -232,16 +232,16 @@ def find_defects(log: DataFrame, model: EndModel | None = None, only_truncated:
     """
     if model is None:
         model = fit_ends(log, "call_id", "raw_response")
-    spiky = spikes(log, F.col("model_version"), F.col("raw_response"))
+    log, spiky = spiked(log, F.col("model_version"), F.col("raw_response"), most_spikes)
     shared = log.sparkSession.sparkContext.broadcast((model, spiky))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ends, spiked = shared.value
+        ends, known = shared.value
         for batch in batches:
             take, what = [], []
-            prompts, responses, sources = (batch.column(i).to_pylist() for i in range(3))
-            for i, (p, r, s) in enumerate(zip(prompts, responses, sources)):
-                spike = bool(r) and at_spike(spiked, s, r)
+            prompts, responses, sources, at = (batch.column(i).to_pylist() for i in (0, 1, 2, 5))
+            for i, (p, r, s, a) in enumerate(zip(prompts, responses, sources, at)):
+                spike = bool(r) and (at_spike(known, s, r) if a is None else a)
                 d = defect_of(p, r, ends, spike) if not only_truncated else "truncated" if is_truncated(p, r, ends, spike) else None
                 if d:
                     take.append(i)
@@ -249,5 +249,5 @@ def find_defects(log: DataFrame, model: EndModel | None = None, only_truncated:
             rows = pa.array(take, pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(i).take(rows) for i in (3, 4, 2)), pa.array(what, pa.string())], names=["call_id", "attempt_index", "source", "defect"])
 
-    found = widened(log.select("prompt_text", "raw_response", "model_version", "call_id", "attempt_index")).mapInArrow(judge, f"call_id string, attempt_index {log.schema['attempt_index'].dataType.simpleString()}, source string, defect string")
+    found = widened(log.select("prompt_text", "raw_response", "model_version", "call_id", "attempt_index", "_spike")).mapInArrow(judge, f"call_id string, attempt_index {log.schema['attempt_index'].dataType.simpleString()}, source string, defect string")
     return found.groupBy("call_id", "attempt_index").agg(F.min("source").alias("source"), F.min("defect").alias("defect"))

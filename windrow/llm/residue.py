@@ -158,7 +158,7 @@ NOTICE_PARTS = [
     ("Our servers|The server|The service|Our system|The system".split("|"), "is down|are busy|is overloaded|is unavailable|is not responding|returned an error|refused the request|took too long".split("|"), "|at the moment|for maintenance|right now|please retry later|please try later".split("|")),
     ("Access|Your access|Entry".split("|"), "denied|is denied|has been denied|was refused|is restricted|has been blocked".split("|"), "|to this page|to this content|for your account".split("|")),
     ("We can't|We cannot|We couldn't|We could not".split("|"), "find|load|open|show|display|process".split("|"), "that page|this page|the page|your request|the file".split("|")),
-    ("Diese Seite|Die Seite|Der Inhalt|Das angeforderte Dokument".split("|"), "wurde nicht gefunden|existiert nicht|ist nicht verfügbar|konnte nicht geladen werden|ist nicht mehr vorhanden|wurde verschoben".split("|"), "|leider|zurzeit|(Fehler 404)|(Fehler 500)".split("|")),
+    ("Diese Seite|Die Seite|Der Inhalt|Das angeforderte Dokument|Die angeforderte Datei|Die gesuchte Seite|Die angeforderte Ressource".split("|"), "wurde nicht gefunden|existiert nicht|ist nicht verfügbar|konnte nicht geladen werden|ist nicht mehr vorhanden|wurde verschoben".split("|"), "|leider|zurzeit|(Fehler 404)|(Fehler 500)".split("|")),
     ("JavaScript ist|Cookies sind|Ihr Browser hat JavaScript|Skripte sind".split("|"), "deaktiviert|ausgeschaltet|erforderlich|blockiert|abgeschaltet".split("|"), "|in Ihrem Browser|für diese Seite".split("|")),
     ("Bitte aktivieren Sie|Schalten Sie|Bitte erlauben Sie".split("|"), "JavaScript|Cookies|Skripte".split("|"), "in Ihrem Browser|um fortzufahren|um diese Seite zu sehen".split("|")),
     ("Cette page|La page|Le document|Ce contenu|L'adresse demandée|La ressource demandée".split("|"), "n'existe pas|n'existe plus|n'est plus disponible|est introuvable|n'a pas été trouvé|a été déplacé|a été supprimé".split("|"), "|que vous cherchez|pour le moment|(erreur 404)|(erreur 500)".split("|")),
@@ -171,6 +171,9 @@ NOTICE_PARTS = [
 FILLER_PARTS = [
     ("Text|Your text|Content|The content|Body text|Copy|Description|Details|Summary|Paragraph|Title|Heading".split("|"), "goes here|to come|to follow later|will be added|will be supplied|is to be written|to be added|to be completed".split("|"), "|later|soon|here|before publication|by the author".split("|")),
     ("Insert|Add|Enter|Type|Write|Replace|Edit".split("|"), "your text|the text|your title|a description|your content|this paragraph|the summary|some words".split("|"), "|here|below|before publishing|before release".split("|")),
+    ("Insert|Add|Enter|Put|Type".split("|"), "introduction|overview|outline|summary|abstract|conclusion|background|description|details|title|name|text|methods|heading|quote|caption".split("|"), "here|text here|below".split("|")),
+    ("This section|This paragraph|This part|This block|This chapter|This page".split("|"), "is intentionally|is deliberately|is purposely|was".split("|"), "left blank|left empty|filled with sample text|filled with placeholder text|filled with filler|filled with dummy words|written in mock copy".split("|")),
+    ("Draft|Stub|Working draft|Rough draft|Placeholder|Temporary wording|First draft|Section stub".split("|"), ", replace with|, to be replaced by|- replace with|, swap for|, update with".split("|"), "the final text|final copy|the real text|approved wording|the finished version|real content|the final version".split("|")),
 ]
 PROSE = """
 The set of plots was sampled twelve times, and the first two rows of the table were left out of the mean.
@@ -277,7 +280,7 @@ class _Gram:
 
 def notices_of(parts: list[tuple[list[str], ...]]) -> list[str]:
     """All sentences that the parts of each table give, one part of each column."""
-    return [" ".join(x for x in (*row, tail) if x) + "." for *heads, tails in parts for row in product(*heads) for tail in tails]
+    return [" ".join(x for x in (*row, tail) if x).replace(" ,", ",") + "." for *heads, tails in parts for row in product(*heads) for tail in tails]
 
 
 def mock_latin() -> list[str]:
@@ -293,7 +296,7 @@ def seeds() -> dict[str, list[str]]:
         code, _, words = h.partition(" ")
         notices += [f.format(h, code, words, words.lower()) for f in HTTP_FORMS]
     notices = notices * 10 + notices_of(NOTICE_PARTS)
-    filler = [s.strip() for s in FILLER.strip().splitlines()] * 30 + notices_of(FILLER_PARTS) + mock_latin() * 3
+    filler = [s.strip() for s in FILLER.strip().splitlines()] * 30 + notices_of(FILLER_PARTS) + mock_latin() * 8
     slots = [f"the {f.format(n, n.upper().replace(' ', '_'))} of" for f in SLOT_FORMS for n in SLOT_NAMES]
     missing = [f.format(m) for f in MISSING_FRAMES for m in MISSING]
     return {"residue": notices + filler, "slot": slots, "missing": missing}
