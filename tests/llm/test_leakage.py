@@ -71,3 +71,15 @@ def test_several_shards_find_what_one_finds(monkeypatch, spark):
     assert len(shards) == 5
     texts = passages(150)
     assert [set().union(*(s.search([t])[0] for s in shards)) for t in texts] == [brute(t) for t in texts]
+
+
+@pytest.mark.parametrize("most", [{"most_items": 10}, {"most_bytes": 1}, {}])
+def test_groups_of_items_find_what_one_finds(spark, most):
+    items = spark.createDataFrame(ITEMS, "question_id string, question string")
+    texts = passages(80)
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    some = {(i, q) for i, t in enumerate(texts) for q in brute(t)}
+    if "most_bytes" in most:
+        items = items.where("question_id in ('q1', 'q2', 'q3', 'q4')")
+        some = {x for x in some if x[1] in ("q1", "q2", "q3", "q4")}
+    assert {tuple(r) for r in leakage.find_item_leaks(df, ["k"], "text", items, "question_id", ["question"], **most).collect()} == some

@@ -33,8 +33,8 @@ def p1_by_model(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _leaks(spark: SparkSession, sf: str) -> DataFrame:
-    shards = leakage.index_items(read_table(spark, sf, "wmdp_questions", ("question_id", "question", "correct_text")), "question_id", ["question", "correct_text"])
-    return _both(spark, sf, "abstract", lambda df: leakage.find_leaks(df, ["src_table", "rec_key"], "text", shards))
+    items = read_table(spark, sf, "wmdp_questions", ("question_id", "question", "correct_text"))
+    return _both(spark, sf, "abstract", lambda df: leakage.find_item_leaks(df, ["src_table", "rec_key"], "text", items, "question_id", ["question", "correct_text"]))
 
 
 def _both(spark: SparkSession, sf: str, document_text: str, f: Callable[[DataFrame], DataFrame]) -> DataFrame:
