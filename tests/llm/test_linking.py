@@ -99,3 +99,20 @@ def test_operator(spark):
     assert got == {"o1": ids["Trilotasa"], "o2": ids.get("Zandrecynum polfalostata", 0), "o3": 0, "o4": 0, "o5": 0}
     assert L.link_names(df.limit(0), g, "organism_id", ["name_raw"]).collect() == []
     assert L.gazetteer_of(gz.limit(0)).match("Trilotasa", None) == 0
+
+
+def test_groups_of_the_list_give_what_one_index_gives(spark):
+    gz = spark.createDataFrame([(k, n, p, list(s or [])) for k, n, p, s in ENTRIES], "taxon_id long, name_txt string, parent_genus string, synonyms array<string>")
+    typed = [n for _, n, *_ in ENTRIES[:40]] + [n.replace("o", "0", 1) for _, n, *_ in ENTRIES[:40]] + [f"{n[:1]}. {n.split()[-1]}" for _, n, *_ in ENTRIES[:40]] + ["nothing like it", "", None]
+    df = spark.createDataFrame([(f"o{i}", t, None if i % 2 else "Trilotasa") for i, t in enumerate(typed)], "organism_id string, name_raw string, parent_genus string")
+    whole = {tuple(r) for r in L.link_names(df, G, "organism_id", ["name_raw"], "parent_genus").collect()}
+    for bound in ({"most_names": 10}, {"most_bytes": 20_000}, {}):
+        assert {tuple(r) for r in L.link_to_list(df, gz, "organism_id", ["name_raw"], "parent_genus", **bound).collect()} == whole
+    assert sum(t > 0 for _, t in whole) > 60
+
+
+def test_a_key_with_two_meanings_has_none(spark):
+    two = [n for k, n, *_ in ENTRIES if len(n.split()) == 2][:2]
+    df = spark.createDataFrame([("a", two[0]), ("a", two[1]), ("b", two[0]), ("b", "nothing like it"), ("c", two[0]), ("c", two[0])], "organism_id string, name_raw string")
+    got = {r[0]: r[1] for r in L.link_names(df, G, "organism_id", ["name_raw"]).collect()}
+    assert got["a"] == 0 and got["b"] == got["c"] > 0

@@ -100,9 +100,9 @@ def p4_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 def _links(spark: SparkSession, sf: str) -> DataFrame:
     names = read_table(spark, sf, "wmdp_organisms", ("organism_id", "name_raw", "name_normalized", "parent_genus", "gazetteer_match"))
-    gazetteer = linking.gazetteer_of(read_table(spark, sf, "gazetteer_names", ("taxon_id", "name_txt", "parent_genus", "synonyms")))
+    entries = read_table(spark, sf, "gazetteer_names", ("taxon_id", "name_txt", "parent_genus", "synonyms"))
     open_ = names.where(F.col("gazetteer_match").isNull() | (F.col("gazetteer_match") != "true"))
-    return linking.link_names(open_, gazetteer, "organism_id", ["name_raw", "name_normalized"], "parent_genus")
+    return linking.link_to_list(open_, entries, "organism_id", ["name_raw", "name_normalized"], "parent_genus")
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
