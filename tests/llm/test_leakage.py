@@ -83,3 +83,10 @@ def test_groups_of_items_find_what_one_finds(spark, most):
         items = items.where("question_id in ('q1', 'q2', 'q3', 'q4')")
         some = {x for x in some if x[1] in ("q1", "q2", "q3", "q4")}
     assert {tuple(r) for r in leakage.find_item_leaks(df, ["k"], "text", items, "question_id", ["question"], **most).collect()} == some
+
+
+def test_pivots_lose_nothing(monkeypatch):
+    monkeypatch.setattr(leakage, "DENSE_BYTES", 0)
+    texts = passages(300)
+    index = leakage.Index(ITEMS)
+    assert index.maxima is None and index.search(texts) == [brute(t) for t in texts]

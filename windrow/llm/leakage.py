@@ -5,7 +5,7 @@ queries it by each of its windows of ``run`` words, whose terms have weight one.
 score that a window taken from it can have. Impacts are divided by it, so that one threshold, 1, holds for all fields
 and nothing that reaches it is lost. A window whose terms' largest impacts don't add up to the threshold is skipped. In
 the others the terms with the longest postings, as long as their largest impacts alone stay below the threshold, are
-passed over: a field needs one of the rest, the pivot terms, whose postings alone give the candidate blocks. The
+passed over (in an index whose maxima are too many for a table): a field needs one of the rest, the pivot terms, whose postings alone give the candidate blocks. The
 largest impacts of all terms in a candidate block bound it, and only blocks whose bound reaches the threshold are
 scored. What is retrieved is then verified on the words themselves.
 
@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from windrow.session import widened, written
 
 RUN, BLOCK = 8, 32
+#: Bytes up to which the largest impacts of all terms and blocks are kept as a table; beyond, candidates come from pivot terms.
+DENSE_BYTES = 8 << 20
 #: The threshold, less what sums of rounded impacts may lack.
 ENOUGH = 0.999
 K1, B = 1.2, 0.75
@@ -120,12 +122,19 @@ class Index:
         if len(key):
             np.maximum.at(self.most, term, self.impact)
         self.most[none + 1] = -1e9
+        #: The largest impacts as a table of terms and blocks, where that is small; they are added up faster than looked up.
+        self.maxima: np.ndarray | None = None
+        if (none + 2) * max(1, self.blocks) * 4 <= DENSE_BYTES:
+            self.maxima = np.zeros((none + 2, max(1, self.blocks)), np.float32)
+            if len(key):
+                self.maxima.reshape(-1)[self.block_key] = self.block_most
+            self.maxima[none + 1] = -1e9
 
     @property
     def nbytes(self) -> int:
         """About the bytes that the index takes."""
         arrays = (self.field, self.impact, self.block_key, self.block_start, self.block_end, self.block_most, self.rows, self.most)
-        return sum(a.nbytes for a in arrays) + 100 * len(self.terms) + sum(200 * len(g) for g in self.grams)
+        return sum(a.nbytes for a in arrays) + (0 if self.maxima is None else self.maxima.nbytes) + 100 * len(self.terms) + sum(200 * len(g) for g in self.grams)
 
     def retrieve(self, ids: np.ndarray) -> Iterator[tuple[int, int]]:
         """(first word, field) of all windows of ``run`` words in ``ids`` whose score for the field reaches the threshold.
@@ -141,7 +150,8 @@ class Index:
             part = windows[k : k + 4096]
             yield from self._score(part, ids[part[:, None] + np.arange(run)])
 
-    def _score(self, part: np.ndarray, terms: np.ndarray) -> Iterator[tuple[int, int]]:
+    def _pivots(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Windows and candidate blocks: those in which a pivot term of the window stands."""
         nb = self.blocks
         lengths = self.rows[terms + 1] - self.rows[terms]
         # pivots: all terms but the commonest, as long as those alone can't reach the threshold
@@ -151,10 +161,20 @@ class Index:
         np.put_along_axis(pivot, order, ~passed, 1)
         w, j = np.nonzero(pivot & (lengths > 0))
         rows, owner = _ranges(self.rows[terms[w, j]], self.rows[terms[w, j] + 1])
-        if not len(rows):
-            return
         pairs = np.unique(w[owner].astype(np.int64) * nb + self.block_key[rows] % nb)
-        window, block = pairs // nb, pairs % nb
+        return pairs // nb, pairs % nb
+
+    def _score(self, part: np.ndarray, terms: np.ndarray) -> Iterator[tuple[int, int]]:
+        nb = self.blocks
+        if self.maxima is not None:
+            bound = self.maxima[terms[:, 0]]
+            for j in range(1, self.run):
+                bound += self.maxima[terms[:, j]]
+            window, block = np.nonzero(bound >= ENOUGH)
+        else:
+            window, block = self._pivots(terms)
+        if not len(window):
+            return
         # the bound of each candidate block, from the row that each term of the window has there
         wanted = terms[window] * nb + block[:, None]
         at = np.minimum(np.searchsorted(self.block_key, wanted), len(self.block_key) - 1)
