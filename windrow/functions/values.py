@@ -47,13 +47,13 @@ def order_verdict(a: Column, b: Column) -> Column:
     return F.when((a == inf) & (b == inf), "not_evaluable").when(a < b, "earlier").when(a > b, "later").otherwise("equal")
 
 
-def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
-    """Lower and upper bound of the Wilson interval; null for n = 0."""
+def wilson(k: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:
+    """Lower and upper bound of the Wilson interval, within [0, 1]; null for n = 0."""
     p = safe_divide(k, n)
     centre = (p + z * z / (2 * n)) / (1 + z * z / n)
     half = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)
     ok = n > 0
-    return F.when(ok, centre - half), F.when(ok, centre + half)
+    return F.when(ok, F.greatest(F.lit(0.0), centre - half)), F.when(ok, F.least(F.lit(1.0), centre + half))
 
 
 def argmax_letter(ps: list[Column], letters: str = "ABCD") -> Column:

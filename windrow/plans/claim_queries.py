@@ -74,13 +74,10 @@ def j06_left_enrich(spark: SparkSession, sf: str) -> DataFrame:
     return o.join(F.broadcast(g.select("name_txt", F.col("taxon_id").alias("genus_id"))), F.col("parent_genus") == F.col("name_txt"), "left").select("organism_id", "genus_id")
 
 
-@query(f"""WITH {_Q}, w AS (SELECT DISTINCT question_id, unnest(regexp_extract_all(lower(correct_text), '[a-z0-9]+')) AS w FROM q), f AS (SELECT w FROM w GROUP BY w HAVING count(*) BETWEEN 2 AND 6)
-  SELECT a.question_id AS a, b.question_id AS b, count(*) AS n_shared FROM w a JOIN w b ON a.w = b.w AND a.question_id < b.question_id SEMI JOIN f ON a.w = f.w GROUP BY ALL""")
+@query(f"""WITH {_Q}, w AS (SELECT DISTINCT question_id, unnest(regexp_extract_all(lower(correct_text), '[\\p{{L}}\\p{{N}}_]{{4,}}')) AS w FROM q)
+  SELECT a.question_id AS a, b.question_id AS b, count(*) AS n_shared FROM w a JOIN w b ON a.w = b.w AND a.question_id < b.question_id GROUP BY ALL""")
 def j13_shared_words(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs of items whose right answers share content words, those of four characters or more, and how many they share.
-
-    The SQL beside it still takes short words and leaves out words of more than six items, so it gives other rows.
-    """
+    """Pairs of items whose right answers share content words, those of four characters or more, and how many they share."""
     content = F.regexp_extract_all(X.norm_term(F.col("correct_text")), F.lit(r"[\p{L}\p{N}_]{4,}"), F.lit(0))
     w = items(spark, sf).select("question_id", F.explode(content).alias("w")).distinct()
     return joins.cooccurrence(w, "w", "question_id").withColumnsRenamed({"src": "a", "dst": "b", "weight": "n_shared"})
@@ -155,11 +152,11 @@ def g10_taxonomic_groups(spark: SparkSession, sf: str) -> DataFrame:
     return graph.size_distribution(d.select(F.col("parent_genus").alias("component")))
 
 
-@query(f"""WITH RECURSIVE l AS (SELECT DISTINCT organism_id AS entity, unnest(from_json(question_ids, '["VARCHAR"]')) AS item FROM wmdp_organisms WHERE question_ids IS NOT NULL), d AS (SELECT entity FROM l GROUP BY entity HAVING count(*) > 2), s AS (SELECT * FROM l ANTI JOIN d USING (entity)), e AS (SELECT DISTINCT a.item AS src, b.item AS dst FROM s a JOIN s b ON a.entity = b.entity AND a.item <> b.item),
-  r(node, seen) AS (SELECT DISTINCT src, src FROM e UNION SELECT r.node, e.dst FROM r JOIN e ON r.seen = e.src), c AS (SELECT node, min(seen) AS component FROM r GROUP BY node), m AS (SELECT coalesce(c.component, n.item) AS component, count(*) AS size FROM (SELECT DISTINCT item FROM l) n LEFT JOIN c ON c.node = n.item GROUP BY ALL)
+@query("""WITH RECURSIVE l AS (SELECT DISTINCT organism_id AS entity, unnest(from_json(question_ids, '["VARCHAR"]')) AS item FROM wmdp_organisms WHERE question_ids IS NOT NULL), e AS (SELECT 'e' || entity AS a, 'i' || item AS b FROM l UNION SELECT 'i' || item, 'e' || entity FROM l),
+  r(node, seen) AS (SELECT DISTINCT a, a FROM e WHERE a[1] = 'i' UNION SELECT r.node, e.b FROM r JOIN e ON r.seen = e.a), c AS (SELECT node, min(seen) AS component FROM r WHERE seen[1] = 'i' GROUP BY node), m AS (SELECT component, count(*) AS size FROM c GROUP BY component)
   SELECT size, count(*) AS n_components FROM m GROUP BY size""")
 def g04_item_components(spark: SparkSession, sf: str) -> DataFrame:
-    """Sizes of the components of items that entities tie together. The SQL beside it still leaves out entities with more than two items, so it gives other rows."""
+    """Sizes of the components of items that entities tie together."""
     all_ = links(spark, sf)
     return graph.size_distribution(graph.components(graph.star(all_, "entity", "item"), all_.select("item")))
 
@@ -241,12 +238,13 @@ def z10_projection(spark: SparkSession, sf: str) -> DataFrame:
     return d.groupBy("subset").agg(F.count(F.lit(1)).alias("n"), F.count("n_tokens").alias("n_known"), F.round(F.avg("n_tokens"), 6).alias("mean_tokens"), F.round(F.coalesce(F.max("n_tokens") * 1.8, F.lit(0.0)), 6).alias("projected"))
 
 
-@query("""WITH m AS (SELECT unnest(from_json(surface_forms, '["VARCHAR"]')) AS f, organism_id FROM (SELECT DISTINCT organism_id, surface_forms FROM wmdp_organisms WHERE surface_forms IS NOT NULL)) SELECT f AS surface_form, count(DISTINCT organism_id) AS n FROM m WHERE regexp_full_match(f, '[A-Z][a-z]+ [a-z]+') GROUP BY f""")
+@query(f"""WITH {_Q}, t AS (SELECT question_id, coalesce(question, '') || chr(10) || 'Choices: ' || concat_ws(' | ', choice_a, choice_b, choice_c, choice_d) AS t FROM q),
+  m AS (SELECT question_id, unnest(regexp_extract_all(t, '\\b(?:[A-Z][a-z]{{2,}}|[A-Z]\\.)\\s+[a-z][a-z-]{{2,}}(?:\\s+(?:virus|bacterium|strain))?\\b')) AS m FROM t
+    UNION ALL SELECT question_id, regexp_replace(unnest(regexp_extract_all(t, '(?i)\\b(?:[a-z0-9][a-z0-9.''’-]*\\s+){{0,3}}(?:virus|viruses|bacterium|bacteria|fungus|fungi|parasite|prion|pathogen|pathogens)\\b')), '\\s+', ' ', 'g') FROM t
+    UNION ALL SELECT question_id, m FROM (SELECT question_id, unnest(regexp_extract_all(t, '\\b[A-Za-z][A-Za-z0-9]*(?:-[A-Za-z0-9]+)+\\b|\\b[A-Z]{{2,}}[A-Z0-9]*\\b')) AS m FROM t) WHERE length(m) >= 3)
+  SELECT DISTINCT question_id, trim(m, ' ,.;:()[]{{}}') AS surface_form FROM m WHERE length(trim(m, ' ,.;:()[]{{}}')) BETWEEN 3 AND 80""")
 def z01_candidate_names(spark: SparkSession, sf: str) -> DataFrame:
-    """Distinct candidate mentions of each item's question and choices: binomials, phrases that end in a kind of agent, and tokens with hyphens or in capitals.
-
-    The SQL beside it still filters the extracted surface forms by one pattern, so it gives other rows and columns.
-    """
+    """Distinct candidate mentions of each item's question and choices: binomials, phrases that end in a kind of agent, and tokens with hyphens or in capitals."""
     text = F.concat(F.coalesce("question", F.lit("")), F.lit("\nChoices: "), F.concat_ws(" | ", *[f"choice_{c}" for c in "abcd"]))
     binomials, agents, tokens = (F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in MENTIONS)
     found = F.concat(binomials, F.transform(agents, X.norm_ws), F.filter(tokens, lambda t: F.length(t) >= 3))

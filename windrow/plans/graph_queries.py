@@ -26,30 +26,26 @@ def small_links(spark: SparkSession, sf: str) -> DataFrame:
     return filters.high_degree(links(spark, sf), "entity", "item", 12)
 
 
-_SMALL = f"{_L}, d AS (SELECT item FROM l GROUP BY item HAVING count(DISTINCT entity) > 12), s AS (SELECT * FROM l ANTI JOIN d USING (item)), e AS (SELECT a.entity AS src, b.entity AS dst, count(*) AS weight FROM s a JOIN s b ON a.item = b.item AND a.entity < b.entity GROUP BY ALL)"
-
-
 @query(f"WITH {_L}, d AS (SELECT item FROM l GROUP BY item HAVING count(DISTINCT entity) > 12) SELECT entity, item FROM l ANTI JOIN d USING (item)")
 def f19_high_degree(spark: SparkSession, sf: str) -> DataFrame:
     return small_links(spark, sf).select("entity", "item")
 
 
-@query(f"WITH {_SMALL} SELECT src, dst, weight FROM e")
+@query(f"WITH {_E} SELECT src, dst, weight FROM e")
 def j11_cooccurrence(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs of entities that share items. The SQL of this query and of those on its edges still leaves out items with more than 12 entities, so it gives other rows."""
+    """Pairs of entities that share items."""
     return joins.cooccurrence(links(spark, sf), "item", "entity")
 
 
-@query(f"""WITH RECURSIVE {_L}, d AS (SELECT item FROM l GROUP BY item HAVING count(DISTINCT entity) > 2), s AS (SELECT * FROM l ANTI JOIN d USING (item)), e AS (SELECT DISTINCT a.entity AS src, b.entity AS dst FROM s a JOIN s b ON a.item = b.item AND a.entity <> b.entity),
-  r(node, seen) AS (SELECT DISTINCT src, src FROM e UNION SELECT r.node, e.dst FROM r JOIN e ON r.seen = e.src), c AS (SELECT node, min(seen) AS component FROM r GROUP BY node)
-  SELECT n.entity AS node, coalesce(c.component, n.entity) AS component FROM (SELECT DISTINCT entity FROM l) n LEFT JOIN c ON c.node = n.entity""")
+@query(f"""WITH RECURSIVE {_L}, e AS (SELECT 'e' || entity AS a, 'i' || item AS b FROM l UNION SELECT 'i' || item, 'e' || entity FROM l), r(node, seen) AS (SELECT DISTINCT a, a FROM e WHERE a[1] = 'e' UNION SELECT r.node, e.b FROM r JOIN e ON r.seen = e.a)
+  SELECT node[2:] AS node, min(seen[2:]) AS component FROM r WHERE seen[1] = 'e' GROUP BY ALL""")
 def g01_components(spark: SparkSession, sf: str) -> DataFrame:
-    """Components of the entities that share items. The SQL beside it still has a cap of two entities an item, so it gives other rows."""
+    """Components of the entities that share items."""
     all_ = links(spark, sf)
     return graph.components(graph.star(all_, "item", "entity"), all_.select("entity"))
 
 
-@query(f"WITH {_SMALL}, x AS (SELECT src AS node, weight FROM e UNION ALL SELECT dst, weight FROM e), g AS (SELECT node, count(*) AS degree, CAST(sum(weight) AS BIGINT) AS strength FROM x GROUP BY node) SELECT n.node, coalesce(degree, 0) AS degree, coalesce(strength, 0) AS strength FROM (SELECT DISTINCT entity AS node FROM l) n LEFT JOIN g USING (node)")
+@query(f"WITH {_E}, x AS (SELECT src AS node, weight FROM e UNION ALL SELECT dst, weight FROM e), g AS (SELECT node, count(*) AS degree, CAST(sum(weight) AS BIGINT) AS strength FROM x GROUP BY node) SELECT n.node, coalesce(degree, 0) AS degree, coalesce(strength, 0) AS strength FROM (SELECT DISTINCT entity AS node FROM l) n LEFT JOIN g USING (node)")
 def g05_degrees(spark: SparkSession, sf: str) -> DataFrame:
     all_ = links(spark, sf)
     return graph.degrees(joins.cooccurrence(all_, "item", "entity"), all_.select("entity"))
@@ -58,14 +54,14 @@ def g05_degrees(spark: SparkSession, sf: str) -> DataFrame:
 _M = "m AS (SELECT DISTINCT organism_id AS node, taxon_rank AS grp FROM wmdp_organisms WHERE taxon_rank IS NOT NULL)"
 
 
-@query(f"""WITH {_SMALL}, {_M}, w AS (SELECT a.grp, sum(weight) AS w FROM e JOIN m a ON e.src = a.node JOIN m b ON e.dst = b.node WHERE a.grp = b.grp GROUP BY a.grp), z AS (SELECT grp, count(*) AS n FROM m GROUP BY grp)
+@query(f"""WITH {_E}, {_M}, w AS (SELECT a.grp, sum(weight) AS w FROM e JOIN m a ON e.src = a.node JOIN m b ON e.dst = b.node WHERE a.grp = b.grp GROUP BY a.grp), z AS (SELECT grp, count(*) AS n FROM m GROUP BY grp)
   SELECT z.grp, n AS n_members, round(coalesce(w.w / (n * (n - 1) / 2), 0), 9) AS density FROM z LEFT JOIN w ON w.grp = z.grp""")
 def g07_density(spark: SparkSession, sf: str) -> DataFrame:
     m = read_table(spark, sf, "wmdp_organisms", ("organism_id", "taxon_rank")).where("taxon_rank is not null").select(F.col("organism_id").alias("node"), F.col("taxon_rank").alias("grp"))
     return graph.link_density(links(spark, sf), "item", "entity", m, "node", "grp").withColumn("density", F.round("density", 9))
 
 
-@query(f"WITH {_SMALL}, {_M} SELECT least(a.grp, b.grp) AS group_a, greatest(a.grp, b.grp) AS group_b, CAST(sum(weight) AS BIGINT) AS weight FROM e JOIN m a ON e.src = a.node JOIN m b ON e.dst = b.node WHERE a.grp <> b.grp GROUP BY ALL")
+@query(f"WITH {_E}, {_M} SELECT least(a.grp, b.grp) AS group_a, greatest(a.grp, b.grp) AS group_b, CAST(sum(weight) AS BIGINT) AS weight FROM e JOIN m a ON e.src = a.node JOIN m b ON e.dst = b.node WHERE a.grp <> b.grp GROUP BY ALL")
 def j22_cross_weights(spark: SparkSession, sf: str) -> DataFrame:
     m = read_table(spark, sf, "wmdp_organisms", ("organism_id", "taxon_rank")).where("taxon_rank is not null").select(F.col("organism_id").alias("node"), F.col("taxon_rank").alias("grp"))
     return graph.link_cross_weights(links(spark, sf), "item", "entity", m, "node", "grp")
@@ -155,8 +151,8 @@ def a25_correlation(spark: SparkSession, sf: str) -> DataFrame:
     return d.groupBy("extraction_source").agg(F.count(F.lit(1)).alias("n"), F.round(aggregates.guarded_corr("n_mentions", "n_docs_title"), 7).alias("r"))
 
 
-@query("""SELECT extraction_source, n, k, round((k / n + 1.96 * 1.96 / (2 * n)) / (1 + 1.96 * 1.96 / n) - 1.96 * sqrt(k / n * (1 - k / n) / n + 1.96 * 1.96 / (4 * n * n)) / (1 + 1.96 * 1.96 / n), 9) AS low,
-  round((k / n + 1.96 * 1.96 / (2 * n)) / (1 + 1.96 * 1.96 / n) + 1.96 * sqrt(k / n * (1 - k / n) / n + 1.96 * 1.96 / (4 * n * n)) / (1 + 1.96 * 1.96 / n), 9) AS high
+@query("""SELECT extraction_source, n, k, round(greatest(0.0, (k / n + 1.959963984540054 * 1.959963984540054 / (2 * n)) / (1 + 1.959963984540054 * 1.959963984540054 / n) - 1.959963984540054 * sqrt(k / n * (1 - k / n) / n + 1.959963984540054 * 1.959963984540054 / (4 * n * n)) / (1 + 1.959963984540054 * 1.959963984540054 / n)), 9) AS low,
+  round(least(1.0, (k / n + 1.959963984540054 * 1.959963984540054 / (2 * n)) / (1 + 1.959963984540054 * 1.959963984540054 / n) + 1.959963984540054 * sqrt(k / n * (1 - k / n) / n + 1.959963984540054 * 1.959963984540054 / (4 * n * n)) / (1 + 1.959963984540054 * 1.959963984540054 / n)), 9) AS high
   FROM (SELECT extraction_source, count(*) AS n, count(*) FILTER (gazetteer_match = 'true') AS k FROM (SELECT DISTINCT organism_id, extraction_source, gazetteer_match FROM wmdp_organisms) GROUP BY extraction_source)""")
 def a24_wilson(spark: SparkSession, sf: str) -> DataFrame:
     d = read_table(spark, sf, "wmdp_organisms", ("organism_id", "extraction_source", "gazetteer_match")).distinct()
