@@ -13,6 +13,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from windrow.functions.values import safe_divide
@@ -40,7 +41,11 @@ def decomposition(df: DataFrame, keys: Sequence[str], f: str, y: str, given: str
 
     One count of the joint, then entropies of five margins from it by one expansion over margins.
     """
-    joint = joint_counts(df, keys, [f, y, given])
+    return decomposition_of_counts(joint_counts(df, keys, [f, y, given]), keys, f, y, given)
+
+
+def decomposition_of_counts(joint: DataFrame, keys: Sequence[str], f: str, y: str, given: str) -> DataFrame:
+    """``decomposition`` from counts ``n`` of each label combination; rows of one combination are added up."""
     margins = {"f": [f], "y": [y], "fy": [f, y], "l": [given], "fl": [f, given], "yl": [y, given], "fyl": [f, y, given]}
     tagged = joint.select(*keys, "n", F.explode(F.array(*[F.struct(F.lit(m).alias("_m"), F.concat_ws("\x1f", *[F.col(c).cast("string") for c in cs]).alias("_c")) for m, cs in margins.items()])).alias("_cell"))
     cells = tagged.select(*keys, "n", "_cell._m", "_cell._c").groupBy(*keys, "_m", "_c").agg(F.sum("n").alias("n"))
