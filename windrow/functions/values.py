@@ -89,3 +89,20 @@ def cosine(a: Column, b: Column) -> Column:
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
     return safe_divide(dot, norm(a) * norm(b))
+
+
+def verdict(rules: list[tuple[str, Column]], otherwise: str) -> Column:
+    """The name of the first condition that holds, null counting as not; else ``otherwise``."""
+    out = F.lit(otherwise)
+    for name, holds in reversed(rules):
+        out = F.when(holds, F.lit(name)).otherwise(out)
+    return out
+
+
+def extended_median(v: Column) -> Column:
+    """Median of a sorted array of numbers and infinities: a finite and an infinite middle give the infinite one; null for none."""
+    n = F.size(v)
+    low, high = F.try_element_at(v, F.floor(n / 2).cast("int")), F.try_element_at(v, (F.floor(n / 2) + 1).cast("int"))
+    inf = F.lit(float("inf"))
+    even = F.when(high == inf, high).when(low == -inf, low).otherwise((low + high) / 2)
+    return F.when(n > 0, F.when(n % 2 == 1, high).otherwise(even))

@@ -86,3 +86,11 @@ def forbidden_columns(df: DataFrame, forbidden: Sequence[str]) -> None:
     bad = sorted({n for n in names(df.schema) if n.rsplit(".", 1)[-1].lower() in {f.lower() for f in forbidden}})
     if bad:
         raise ValueError(f"forbidden columns: {', '.join(bad)}")
+
+
+def suite_of_rules(df: DataFrame, key: str, rules: Sequence[tuple[str, Column]]) -> DataFrame:
+    """``suite`` of row rules in one pass: name, passes, n_violations and the least id of each; null counts as not holding."""
+    broken = [F.coalesce(~holds, F.lit(True)) for _, holds in rules]
+    one = df.agg(*[F.count_if(b).alias(f"_n{i}") for i, b in enumerate(broken)], *[F.min(F.when(b, F.col(key).cast("string"))).alias(f"_m{i}") for i, b in enumerate(broken)])
+    rows = [F.struct(F.lit(name).alias("name"), (F.col(f"_n{i}") == 0).alias("passes"), F.col(f"_n{i}").alias("n_violations"), F.col(f"_m{i}").alias("least_id")) for i, (name, _) in enumerate(rules)]
+    return one.select(F.inline(F.array(*rows)))

@@ -85,3 +85,12 @@ def unique_owner(df: DataFrame, key: str, cited: str, owners: DataFrame, owner:
     rows = df.select(key, F.array_distinct(cited).alias("_c"), F.explode(F.array_distinct(cited)).alias("_id"))
     hits = rows.join(owners.select(owner, F.explode(owned).alias("_id")).distinct(), "_id").groupBy(key, owner, F.size("_c").alias("_n")).agg(F.count(F.lit(1)).alias("_k")).where("_k = _n")
     return hits.withColumn("_of", F.count(F.lit(1)).over(W.partitionBy(key))).where("_of = 1").select(key, owner)
+
+
+def zipped(left: DataFrame, right: DataFrame, keys: Sequence[str], order: str, values: Sequence[str]) -> DataFrame:
+    """Rows of two tables side by side by their places in the order within each group: keys, ``order`` and ``values`` of the left, the
+    same of the right with the suffix _right, and aligned (whether the order values are equal). Places without a partner are left out."""
+    own = W.partitionBy(*keys).orderBy(order)
+    a = left.select(*keys, order, *values).withColumn("_k", F.row_number().over(own))
+    b = right.select(*keys, order, *values).withColumn("_k", F.row_number().over(own)).select(*keys, "_k", *[F.col(c).alias(f"{c}_right") for c in (order, *values)])
+    return a.join(b, [*keys, "_k"]).drop("_k").withColumn("aligned", F.col(order).eqNullSafe(F.col(f"{order}_right")))

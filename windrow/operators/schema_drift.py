@@ -33,7 +33,7 @@ MOST_FIELDS, MOST_TRANSITIONS = 2_000, 50_000
 #: Relative difference up to which two numbers side by side are one value, rounded otherwise.
 SAME = 2e-3
 
-_PARSED = "record string, version bigint, file bigint, names array<string>, types array<string>, numbers array<double>, texts array<string>, inner array<array<string>>"
+_PARSED = "record string, version bigint, file bigint, names array<string>, types array<string>, numbers array<double>, texts array<string>, inner array<string>"
 
 
 def json_type(v: object) -> str:
@@ -74,11 +74,9 @@ def as_number(v: object) -> float | None:
     return None
 
 
-def nested_keys(v: object) -> list[str] | None:
+def nested_keys(v: dict | list) -> list[str]:
     """The keys within an object with the types of their values, or the types of an array's items."""
-    if isinstance(v, dict):
-        return sorted(f"{k} {json_type(x)}" for k, x in v.items())
-    return sorted({f"item {json_type(x)}" for x in v}) if isinstance(v, list) else None
+    return sorted(f"{k} {json_type(x)}" for k, x in v.items()) if isinstance(v, dict) else sorted({f"item {json_type(x)}" for x in v})
 
 
 def parse_records(df: DataFrame, record: str, version: str, file: str, payload: str) -> DataFrame:
@@ -103,10 +101,10 @@ def parse_records(df: DataFrame, record: str, version: str, file: str, payload:
                 names.append(keys)
                 types.append([json_type(o[k]) for k in keys])
                 numbers.append([as_number(o[k]) for k in keys])
-                inner.append([nested_keys(o[k]) for k in keys])
+                inner.append([f"{k}\x1f{x}" for k in keys if isinstance(o[k], (dict, list)) for x in nested_keys(o[k])])
                 texts.append([None if o[k] is None else o[k] if isinstance(o[k], str) else json.dumps(o[k], sort_keys=True, separators=(",", ":")) for k in keys])
             rows = pa.array(take, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), batch.column(2).take(rows), pa.array(names, pa.list_(pa.string())), pa.array(types, pa.list_(pa.string())), pa.array(numbers, pa.list_(pa.float64())), pa.array(texts, pa.list_(pa.string())), pa.array(inner, pa.list_(pa.list_(pa.string())))], names=["record", "version", "file", "names", "types", "numbers", "texts", "inner"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), batch.column(2).take(rows), pa.array(names, pa.list_(pa.string())), pa.array(types, pa.list_(pa.string())), pa.array(numbers, pa.list_(pa.float64())), pa.array(texts, pa.list_(pa.string())), pa.array(inner, pa.list_(pa.string()))], names=["record", "version", "file", "names", "types", "numbers", "texts", "inner"])
 
     rows = df.select(F.col(record).cast("string"), F.col(version).cast("long"), F.col(file).cast("long"), F.col(payload)).where(F.col(record).isNotNull() & F.col(version).isNotNull() & F.col(payload).isNotNull())
     return widened(rows).mapInArrow(parse, _PARSED)
@@ -160,13 +158,18 @@ def seen_elements(vs: DataFrame) -> DataFrame:
         seen: dict[tuple[str, str, str], list[int]] = defaultdict(lambda: [0, 0])
         for batch in batches:
             shapes: dict[tuple[str, ...], list[list]] = defaultdict(list)
+            kinds: Counter = Counter()
             for names, types, numbers, inner in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                shapes[tuple(names)].append(numbers)
-                for name, kind, keys in zip(names, types, inner):
+                shape = tuple(names)
+                shapes[shape].append(numbers)
+                kinds[shape, tuple(types)] += 1
+                for x in inner:
+                    name, key = x.split("\x1f", 1)
+                    seen["key", name, key][0] += 1
+            for (names, types), n in kinds.items():
+                for name, kind in zip(names, types):
                     if kind != "null":
-                        seen["type", name, kind][0] += 1
-                    for k in keys or ():
-                        seen["key", name, k][0] += 1
+                        seen["type", name, kind][0] += n
             for names, rows in shapes.items():
                 x = np.array(rows, float)
                 for i in range(len(names) - 1):
@@ -415,10 +418,13 @@ def find_changes(df: DataFrame, record: str, version: str, file: str, payload: s
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        current, last = None, {}
+        current, last, same = None, {}, None
         for batch in batches:
             out: list[tuple] = []
             for rec, ver, names, types, olds, news in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                if rec == current and same == (names, types):
+                    continue  # as the version before, whose nulls have been seen to
+                same = (names, types)
                 now = dict(zip(names, types))
                 if rec == current:
                     removed, added = sorted(set(last) - set(now)), sorted(set(now) - set(last))

@@ -76,3 +76,10 @@ def overlapping_chunks(df: DataFrame, key: str, tokens: str, n: int, overlap: in
     count = F.greatest(F.lit(1), F.ceil((F.size(tokens) - size) / stride).cast("int") + 1)
     made = df.where(F.size(tokens) > 0).select(key, tokens, size.alias("_s"), stride.alias("_d"), F.posexplode(F.sequence(F.lit(0), count - 1)).alias("chunk", "_k"))
     return made.select(key, "chunk", F.slice(tokens, F.col("_k") * F.col("_d") + 1, F.col("_s")).alias("tokens"))
+
+
+def value_at(df: DataFrame, rank: str, value: str, places: Sequence[int]) -> DataFrame:
+    """k and ``value`` at each of the places, clamped to the last rank."""
+    most = df.agg(F.max(rank).alias("_m"))
+    wanted = df.sparkSession.createDataFrame([(k,) for k in places], "k int").join(F.broadcast(most)).withColumn("_r", F.least(F.col("k"), F.col("_m")))
+    return df.join(F.broadcast(wanted), F.col(rank) == F.col("_r")).select("k", value)
