@@ -94,3 +94,8 @@ def preferred_name(x: str) -> Column:
     """Of a group's names that with most words, then the longest, then the least."""
     w = F.size(F.split(F.trim(F.col(x)), r"\s+"))
     return F.min_by(F.col(x), F.struct(-w, -F.length(x), F.lower(x), F.col(x)))
+
+
+def backfilled(df: DataFrame, column: str, derived: Column) -> DataFrame:
+    """``df`` with the nulls of ``column`` filled by ``derived``, and filled (whether a row was); values that are there stay."""
+    return df.withColumn("filled", F.col(column).isNull()).withColumn(column, F.coalesce(F.col(column), derived))

@@ -115,3 +115,10 @@ def _members_of_items(links: DataFrame, item: str, entity: str, members: DataFra
 def leaks(links: DataFrame, item: str, entity: str, side: str) -> DataFrame:
     """Entities that stand on more than one side of a split; empty for a sound split."""
     return links.groupBy(entity).agg(F.countDistinct(side).alias("n_sides")).where("n_sides > 1")
+
+
+def largest(labels: DataFrame) -> DataFrame:
+    """The rows of the largest component; of several as large that with the least name."""
+    sizes = component_sizes(labels)
+    best = sizes.agg(F.min_by("component", F.struct(-F.col("size"), F.col("component"))).alias("component"))
+    return labels.join(F.broadcast(best), "component", "left_semi")  # one row
