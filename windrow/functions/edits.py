@@ -46,7 +46,7 @@ def containing_sentence(text: str, offset: int) -> tuple[int, int] | None:
 
 
 def aligned_part(a: str, b: str, start: int, end: int) -> str | None:
-    """What of ``b`` lies against the tokens of ``a`` between two places; None if none does."""
+    """What of ``b`` lies against the tokens of ``a`` between two places, whole runs of the alignment; None if none does."""
     x, y = _tokens(a), _tokens(b)
     mine = [i for i, (_, s, e) in enumerate(x) if s >= start and e <= end]
     if not mine:

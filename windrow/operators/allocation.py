@@ -137,6 +137,6 @@ def core_of(links: DataFrame, a: str, b: str, least_a: int, least_b: int, rounds
         d = written(d.join(keep_a, a, "left_semi").join(keep_b, b, "left_semi"), "core")
         m = d.count()
         if m == n:
-            return d
+            return d.select(a, b)
         n = m
     raise RuntimeError(f"no fixed point within {rounds} rounds")

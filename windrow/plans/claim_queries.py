@@ -101,11 +101,14 @@ def j17_all_terms(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH p AS (SELECT DISTINCT part_id, entity_ids, text FROM spine_parts WHERE text IS NOT NULL), e AS (SELECT part_id, text, unnest(entity_ids) AS id FROM p), n AS (SELECT DISTINCT organism_id, name_normalized FROM wmdp_organisms WHERE name_normalized IS NOT NULL)
   SELECT part_id, count(*) AS n_cited, count(*) FILTER (contains(lower(text), lower(name_normalized))) AS n_named FROM e JOIN n ON id = organism_id GROUP BY part_id""")
 def j25_cited_and_named(spark: SparkSession, sf: str) -> DataFrame:
-    d = read_table(spark, sf, "spine_parts", ("part_id", "entity_ids", "text")).where("text is not null").distinct().select("part_id", "text", F.explode("entity_ids").alias("id"))
+    # ids are joined first and the names of a part joined back as one list, so that no text is shuffled an entity at a time
+    d = read_table(spark, sf, "spine_parts", ("part_id", "entity_ids", "text")).where("text is not null").withColumn("h", F.xxhash64("text", "entity_ids"))
     n = read_table(spark, sf, "wmdp_organisms", ("organism_id", "name_normalized")).distinct().where("name_normalized is not null")
-    # ids are joined first and texts joined back by part, so that no text is shuffled an entity at a time
-    named = d.join(n, F.col("id") == F.col("organism_id"))
-    return named.groupBy("part_id").agg(F.count(F.lit(1)).alias("n_cited"), F.count_if(X.contains_verbatim(F.col("text"), F.col("name_normalized"))).alias("n_named"))
+    cited = d.select("part_id", "h", "entity_ids").distinct().select("part_id", "h", F.explode("entity_ids").alias("organism_id"))
+    names = cited.join(n, "organism_id").groupBy("part_id", "h").agg(F.collect_list("name_normalized").alias("names"))  # those that a part cites
+    text = F.lower("text")
+    named = d.join(names, ["part_id", "h"]).select("part_id", "h", F.size("names").cast("long").alias("c"), F.size(F.filter("names", lambda x: F.contains(text, F.lower(x)))).cast("long").alias("k")).distinct()
+    return named.groupBy("part_id").agg(F.sum("c").alias("n_cited"), F.sum("k").alias("n_named"))
 
 
 @query("SELECT source, arg_min(lang, (-c, lang)) AS modal_lang, max(c) AS n FROM (SELECT source, lang, count(*) AS c FROM documents WHERE lang IS NOT NULL GROUP BY ALL) GROUP BY source")
@@ -175,8 +178,9 @@ def h05_dense_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("WITH g AS (SELECT DISTINCT call_id, attempt_index, prompt_text FROM raw_llm_log WHERE prompt_text IS NOT NULL), h AS (SELECT sha256(trim(regexp_replace(prompt_text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), ' ')) AS h, count(*) AS n, count(DISTINCT call_id) AS n_calls FROM g GROUP BY h) SELECT n, n_calls, count(*) AS n_prompts FROM h GROUP BY n, n_calls")
 def d02_repeated_prompts(spark: SparkSession, sf: str) -> DataFrame:
-    d = read_table(spark, sf, "raw_llm_log", ("call_id", "attempt_index", "prompt_text")).where("prompt_text is not null").distinct()
-    h = d.groupBy(V.digest(X.norm_ws(F.col("prompt_text"))).alias("h")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("call_id").alias("n_calls"))
+    d = read_table(spark, sf, "raw_llm_log", ("call_id", "attempt_index", "prompt_text")).where("prompt_text is not null")
+    d = d.select("call_id", "attempt_index", V.digest(X.norm_ws(F.col("prompt_text"))).alias("h"), F.xxhash64("prompt_text").alias("t")).distinct()
+    h = d.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("call_id").alias("n_calls"))
     return h.groupBy("n", "n_calls").agg(F.count(F.lit(1)).alias("n_prompts"))
 
 
@@ -266,7 +270,7 @@ def o17_packed_components(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT chapter_id, round(avg(length(text)), 6) AS mean, count(text) AS n_text, count(*) - count(text) AS n_null, median(length(text)) AS median FROM (SELECT DISTINCT part_id, chapter_id, text FROM spine_parts) GROUP BY chapter_id")
 def a41_medians(spark: SparkSession, sf: str) -> DataFrame:
-    d = read_table(spark, sf, "spine_parts", ("part_id", "chapter_id", "text")).distinct().withColumn("n", F.length("text"))
+    d = read_table(spark, sf, "spine_parts", ("part_id", "chapter_id", "text")).select("part_id", "chapter_id", F.length("text").alias("n"), F.xxhash64("text").alias("h")).distinct()
     return d.groupBy("chapter_id").agg(F.round(F.avg("n"), 6).alias("mean"), F.count("n").alias("n_text"), F.count_if(F.col("n").isNull()).alias("n_null"), F.median("n").alias("median"))
 
 

@@ -18,9 +18,9 @@ from windrow.sources import read_table
 def plan_characterization(spark: SparkSession, sf: str) -> DataFrame:
     """Edits from each first choice to the right answer: terms, categories, modal targets, one-to-one mappings."""
     pairs = read_table(spark, sf, "wmdp_questions", ("question_id", "choice_a", "correct_text")).distinct()
-    subs = X.diff_pairs(pairs, "question_id", "choice_a", "correct_text").select("question_id", X.norm_term(F.col("left_raw")).alias("source"), X.norm_term(F.col("right_raw")).alias("target"))
+    subs = X.diff_pairs(pairs, "question_id", "choice_a", "correct_text").select("question_id", "left_raw", X.norm_term(F.col("left_raw")).alias("source"), X.norm_term(F.col("right_raw")).alias("target"))
     reason = X.trivial_reason(F.col("source"), F.col("target"), STOPWORDS)
-    kind = F.when(F.col("reason").isNotNull(), "trivial").when(X.is_quantity(F.col("source")) & X.is_quantity(F.col("target")), "numeric").when((F.length("source") >= 4) | F.col("source").contains(" "), "entity_like").otherwise("other")
+    kind = F.when(F.col("reason").isNotNull(), "trivial").when(X.is_quantity(F.col("source")) & X.is_quantity(F.col("target")), "numeric").when(F.col("left_raw").rlike(r"(?U)(?<!\w)\p{Lu}|\w\W+\w") | (F.length("source") >= 4) & ~F.col("source").isin(*STOPWORDS), "entity_like").otherwise("other")
     tagged = subs.withColumn("reason", reason).withColumn("category", kind)
     mapping = aggregates.modal_mapping(tagged, "source", "target", "question_id")
     kinds = tagged.groupBy("source", "category").agg(F.count(F.lit(1)).alias("c")).groupBy("source").agg(F.min_by("category", F.struct(-F.col("c"), F.col("category"))).alias("category"))

@@ -70,7 +70,7 @@ def f12_shapes(spark: SparkSession, sf: str) -> DataFrame:
     rules = [
         ("empty", r.isNull() | (F.trim(r) == "")),
         ("refusal", F.lower(r).rlike("i cannot|i can't|i must decline|unable to assist|i am unable")),
-        ("object", r.startswith("{") & (X.first_object(r) == F.rtrim(r))),
+        ("object", r.startswith("{") & F.try_parse_json(r).isNotNull()),
         ("fenced", r.startswith("```")),
         ("open", count("{", "[") > count("}", "]")),
         ("wrapped", r.contains("{")),
@@ -123,6 +123,7 @@ def f20_superseded(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""WITH k AS (SELECT call_id, json_valid(prompt_text) AND starts_with(prompt_text, '{') AS j, prompt_hash IS NULL AS h, raw_response IS NULL AS r FROM (SELECT DISTINCT call_id, attempt_index, prompt_text, prompt_hash, raw_response FROM raw_llm_log) WHERE prompt_text IS NOT NULL) SELECT h AS no_hash, r AS no_response, count(*) AS n, count(*) FILTER (j) AS n_json FROM k GROUP BY h, r""")
 def a23_patterns(spark: SparkSession, sf: str) -> DataFrame:
-    d = read_table(spark, sf, "raw_llm_log", ("call_id", "attempt_index", "prompt_text", "prompt_hash", "raw_response")).distinct().where("prompt_text is not null")
-    j = F.col("prompt_text").startswith("{") & F.coalesce(X.first_object(F.col("prompt_text")) == F.col("prompt_text"), F.lit(False))
-    return d.groupBy(F.col("prompt_hash").isNull().alias("no_hash"), F.col("raw_response").isNull().alias("no_response")).agg(F.count(F.lit(1)).alias("n"), F.count_if(j).alias("n_json"))
+    d = read_table(spark, sf, "raw_llm_log", ("call_id", "attempt_index", "prompt_text", "prompt_hash", "raw_response")).where("prompt_text is not null")
+    j = F.col("prompt_text").startswith("{") & F.try_parse_json("prompt_text").isNotNull()
+    rows = d.select("call_id", "attempt_index", F.col("prompt_hash").isNull().alias("no_hash"), F.col("raw_response").isNull().alias("no_response"), j.alias("j"), F.xxhash64("prompt_text", "prompt_hash", "raw_response").alias("h")).distinct()
+    return rows.groupBy("no_hash", "no_response").agg(F.count(F.lit(1)).alias("n"), F.count_if("j").alias("n_json"))

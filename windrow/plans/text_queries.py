@@ -130,8 +130,8 @@ def d10_repeated_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT part_id, list_filter([CASE WHEN regexp_matches(text, '\\b(ORG|CH|CP|E)-?[0-9]{2,}\\b') THEN 'identifier' END, CASE WHEN regexp_matches(text, '(^|\\n)#{1,6}\\s') THEN 'heading' END,
   CASE WHEN regexp_matches(lower(text), '\\b(as an ai|in conclusion|in summary)\\b') THEN 'boilerplate' END], lambda x: x IS NOT NULL) AS failures FROM (SELECT DISTINCT part_id, text FROM spine_parts WHERE text IS NOT NULL)""")
 def t34_style(spark: SparkSession, sf: str) -> DataFrame:
-    d = read_table(spark, sf, "spine_parts", ("part_id", "text")).where("text is not null").distinct()
-    return d.select("part_id", X.style_failures(F.col("text")).alias("failures"))
+    d = read_table(spark, sf, "spine_parts", ("part_id", "text")).where("text is not null")
+    return d.select("part_id", X.style_failures(F.col("text")).alias("failures"), F.xxhash64("text").alias("h")).distinct().drop("h")
 
 
 @query()
@@ -181,9 +181,9 @@ def a16_duplicates(spark: SparkSession, sf: str) -> DataFrame:
 def d01_keep_first(spark: SparkSession, sf: str) -> DataFrame:
     """The first document of each abstract, by digest of its normal form, and how many share it."""
     d = read_table(spark, sf, "documents", ("doc_id", "abstract")).where("abstract is not null")
-    h = V.digest(X.norm_ws(F.col("abstract")))
-    first = dedupe.keep_first(d.select("doc_id", "abstract"), h, "doc_id").select("doc_id", h.alias("h"))
-    return d.groupBy(h.alias("h")).agg(F.count(F.lit(1)).alias("n")).join(first, "h").select("doc_id", "n")
+    keyed = d.select("doc_id", V.digest(X.norm_ws(F.col("abstract"))).alias("h"))  # texts aren't shuffled, only digests
+    first = dedupe.keep_first(keyed, F.col("h"), "doc_id")
+    return keyed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).join(first, "h").select("doc_id", "n")
 
 
 #: The ordered rules of sound parts: the first that holds removes a part.
@@ -197,13 +197,15 @@ _RULES = "CASE WHEN text IS NULL OR trim(text, ' ') = '' THEN 'no text' WHEN len
 
 @query(f"SELECT part_id, CASE r WHEN 'no text' THEN 0 WHEN 'too short' THEN 1 WHEN 'too long' THEN 2 WHEN 'table' THEN 3 WHEN 'heading' THEN 4 END AS stage, r AS reason FROM (SELECT DISTINCT part_id, {_RULES} AS r FROM spine_parts)")
 def f02_cascade(spark: SparkSession, sf: str) -> DataFrame:
-    d = read_table(spark, sf, "spine_parts", ("part_id", "text")).distinct()
-    return filters.cascade(d, _part_rules()).select("part_id", "stage", "reason")
+    d = read_table(spark, sf, "spine_parts", ("part_id", "text"))
+    return filters.cascade(d, _part_rules()).select("part_id", "stage", "reason").distinct()
 
 
 @query(f"SELECT coalesce({_RULES}, 'accepted') AS reason, count(*) AS n FROM (SELECT DISTINCT part_id, text FROM spine_parts) GROUP BY ALL")
 def f03_funnel(spark: SparkSession, sf: str) -> DataFrame:
-    return filters.funnel(read_table(spark, sf, "spine_parts", ("part_id", "text")).distinct(), _part_rules())
+    d = filters.cascade(read_table(spark, sf, "spine_parts", ("part_id", "text")), _part_rules())
+    rows = d.select("part_id", F.coalesce("reason", F.lit("accepted")).alias("reason"), F.xxhash64("text").alias("h")).distinct()
+    return rows.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""SELECT CASE WHEN n_mentions < 1 THEN NULL WHEN n_mentions <= 2 THEN CAST(n_mentions AS VARCHAR) WHEN n_mentions <= 5 THEN '3-5' WHEN n_mentions <= 10 THEN '6-10' WHEN n_mentions <= 25 THEN '11-25' WHEN n_mentions > 25 THEN '26+' END AS bin, count(*) AS n FROM (SELECT DISTINCT organism_id, n_mentions FROM wmdp_organisms) GROUP BY ALL""")
@@ -231,6 +233,6 @@ def j27_nearest_string(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT call_id, attempt_index, json_valid(raw_response) AND starts_with(ltrim(raw_response), '{') AS whole FROM raw_llm_log WHERE raw_response IS NOT NULL AND starts_with(raw_response, '{') GROUP BY ALL""")
 def z19_parse_json(spark: SparkSession, sf: str) -> DataFrame:
     """Responses that begin as an object, and whether they are one as a whole."""
-    d = read_table(spark, sf, "raw_llm_log", ("call_id", "attempt_index", "raw_response")).where(F.col("raw_response").startswith("{")).distinct()
-    whole = X.first_object(F.col("raw_response")) == F.rtrim("raw_response")
-    return d.select("call_id", "attempt_index", F.coalesce(whole, F.lit(False)).alias("whole"))
+    d = read_table(spark, sf, "raw_llm_log", ("call_id", "attempt_index", "raw_response")).where(F.col("raw_response").startswith("{"))
+    whole = F.try_parse_json("raw_response").isNotNull()  # no Python: a text that begins as an object and is JSON is one object
+    return d.select("call_id", "attempt_index", whole.alias("whole")).distinct()

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,7 +86,53 @@ def run_parts(run_id: str = "run_id") -> list:
 
 
 def with_row_id(df: DataFrame, order: Sequence[str], name: str = "row_id") -> DataFrame:
-    """Dense ids from 0 in the order of columns that identify a row: ranges are sorted apart and offset by their counts."""
-    spark, ranged = df.sparkSession, df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
-    schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType(), False)])
-    return spark.createDataFrame(ranged.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), schema)
+    """Dense ids from 0 in the order of columns that identify a row, by running sums over sorted ranges."""
+    from windrow.operators.prefix import running
+
+    return running(df, [F.col(c) for c in order], {name: "1"}).withColumn(name, F.col(name) - 1)
+
+
+def arrow_ipc(spark: SparkSession, path: str, schema: T.StructType, rows: int | None = None) -> DataFrame:
+    """Rows of Arrow IPC files, streams or files proper, with exactly the columns of ``schema``; a file with others raises.
+
+    Files are read on the executors, each by one task; ``rows`` cuts their batches into slices of that many, which are
+    views of them, so that a consumer sees small batches.
+    """
+    names = schema.names
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                try:
+                    reader = pa.ipc.open_stream(content)
+                except pa.ArrowInvalid:
+                    reader = pa.ipc.open_file(content).read_all().to_reader()
+                if reader.schema.names != names:
+                    raise ValueError(f"{name}: columns {reader.schema.names}, expected {names}")
+                for b in reader:
+                    for at in range(0, b.num_rows, rows or max(1, b.num_rows)):
+                        yield b.slice(at, rows or b.num_rows)
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(read, schema)
+
+
+def profiled_lines(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """file, n_rows, n_bad (no JSON object), n_repeated (rows beyond the first of a key) and digest of each JSON-lines file below
+    ``path``, at any depth; a digest is of the file's set of lines."""
+    d = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(path).where(F.trim("value") != "").select(F.input_file_name().alias("file"), "value")
+    v = F.try_parse_json("value")
+    sound = F.coalesce(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.lit(False))
+    mark = F.conv(F.substring(F.md5("value"), 1, 15), 16, 10).cast("decimal(38,0)")
+    rows = d.select("file", sound.alias("_ok"), F.try_variant_get(v, f"$.{key}", "string").alias("_key"), mark.alias("_mark"))
+    keyed = rows.groupBy("file", "_key").agg(F.count(F.lit(1)).alias("_n"), F.count_if(~F.col("_ok")).alias("_bad"), F.sum("_mark").alias("_mark"))
+    return keyed.groupBy("file").agg(F.sum("_n").alias("n_rows"), F.sum("_bad").alias("n_bad"), F.sum(F.when(F.col("_key").isNotNull(), F.col("_n") - 1).otherwise(0)).alias("n_repeated"), F.sum("_mark").cast("string").alias("digest"))
+
+
+def envelopes(spark: SparkSession, path: str, fields: Sequence[str]) -> DataFrame:
+    """file, state ('sound', 'no object' or 'empty') and the named top-level fields as text of each JSON file, one a file; files
+    that can't be parsed stay, with their state."""
+    d = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+    v = F.try_parse_json("value")
+    sound = F.coalesce(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.lit(False))
+    state = F.when(F.trim("value") == "", "empty").when(sound, "sound").otherwise("no object")
+    return d.select("file", state.alias("state"), *[F.when(sound, F.try_variant_get(v, f"$.{f}", "string")).alias(f) for f in fields])

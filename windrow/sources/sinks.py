@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import os
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -74,3 +76,27 @@ def markdown(df: DataFrame, columns: Sequence[str], rows: int = 1000) -> str:
 def canonical(value: object) -> str:
     """JSON of a driver-side value with sorted keys."""
     return json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+
+
+def write_atomically(path: str, value: object) -> None:
+    """A small driver-side value as JSON in a local file: written beside it, flushed to disk, then put in its place, so that a reader
+    sees the old file or the new one. Tables are written by Spark, whose committer does the same."""
+    folder = os.path.dirname(os.path.abspath(path))
+    handle, beside = tempfile.mkstemp(dir=folder, prefix=f".{os.path.basename(path)}.")
+    try:
+        with os.fdopen(handle, "w", encoding="utf-8") as f:
+            f.write(canonical(value))
+            f.flush()
+            os.fsync(f.fileno())
+        os.replace(beside, path)
+    except BaseException:
+        os.unlink(beside)
+        raise
+
+
+def guarded(path: str, roots: Sequence[str]) -> str:
+    """``path`` if it lies below one of the roots once links and dots are resolved, else ``PermissionError``."""
+    real = os.path.realpath(path)
+    if not any(real.startswith(os.path.realpath(r).rstrip(os.sep) + os.sep) for r in roots):
+        raise PermissionError(f"{path} isn't below {', '.join(roots)}")
+    return path
