@@ -134,7 +134,7 @@ def core_of(links: DataFrame, a: str, b: str, least_a: int, least_b: int, rounds
     for _ in range(rounds):
         keep_a = d.groupBy(a).count().where(F.col("count") >= least_a).select(a)
         keep_b = d.groupBy(b).count().where(F.col("count") >= least_b).select(b)
-        d = written(d.join(keep_a, a, "left_semi").join(keep_b, b, "left_semi"), "core")
+        d = written(d.join(keep_a, a, "left_semi").join(keep_b, b, "left_semi"), "core", replaces=d)
         m = d.count()
         if m == n:
             return d.select(a, b)

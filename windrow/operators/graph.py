@@ -28,8 +28,8 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, src: str = "src
         small_least = down.groupBy("u").agg(F.min("v").alias("m"))
         joined = down.join(small_least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        pairs = written(small, "edges")
-        now = pairs.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first()
+        pairs = written(small, "edges", replaces=pairs)
+        now = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.xxhash64("v", "u", F.lit(7)).cast("decimal(38,0)"))).first()
         if now == state:
             break
         state = now

@@ -83,12 +83,10 @@ def uniform_null(df: DataFrame, unit: str, options: int, draws: int, seed: str)
 
 def locate_in_null(observed: DataFrame, value: str, null: DataFrame, sample: str) -> DataFrame:
     """``observed`` with lower_p, upper_p and two_sided_p: shares of the null's draws as low and as high, each with one added."""
-    draws = null.agg(F.collect_list(sample).alias("_draws"))
-    d = observed.join(F.broadcast(draws))  # one row of a bounded number of draws
-    n = F.size("_draws")
-    low = (1 + F.size(F.filter("_draws", lambda x: x <= F.col(value)))) / (n + 1)
-    high = (1 + F.size(F.filter("_draws", lambda x: x >= F.col(value)))) / (n + 1)
-    return d.select(*observed.columns, low.alias("lower_p"), high.alias("upper_p"), F.least(F.lit(1.0), 2 * F.least(low, high)).alias("two_sided_p"))
+    draws = sorted(r[0] for r in null.select(sample).collect())  # as many as draws were asked for
+    low = (1 + F.size(F.filter(F.lit(draws), lambda x: x <= F.col(value)))) / (len(draws) + 1)
+    high = (1 + F.size(F.filter(F.lit(draws), lambda x: x >= F.col(value)))) / (len(draws) + 1)
+    return observed.select(*observed.columns, low.alias("lower_p"), high.alias("upper_p"), F.least(F.lit(1.0), 2 * F.least(low, high)).alias("two_sided_p"))
 
 
 def suppressed(value: Column, cleared: Column) -> Column:

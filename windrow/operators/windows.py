@@ -80,6 +80,6 @@ def overlapping_chunks(df: DataFrame, key: str, tokens: str, n: int, overlap: in
 
 def value_at(df: DataFrame, rank: str, value: str, places: Sequence[int]) -> DataFrame:
     """k and ``value`` at each of the places, clamped to the last rank."""
-    most = df.agg(F.max(rank).alias("_m"))
-    wanted = df.sparkSession.createDataFrame([(k,) for k in places], "k int").join(F.broadcast(most)).withColumn("_r", F.least(F.col("k"), F.col("_m")))
+    most = df.agg(F.max(rank)).first()[0] or 0
+    wanted = df.sparkSession.createDataFrame([(k, min(k, most)) for k in places], "k int, _r int")
     return df.join(F.broadcast(wanted), F.col(rank) == F.col("_r")).select("k", value)

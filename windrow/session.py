@@ -29,15 +29,35 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def run_folder(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables, within the shared one."""
+    return f"{checkpoint_root(spark)}/windrow-{spark.sparkContext.applicationId}"
+
+
+def written(df: DataFrame, name: str, replaces: DataFrame | None = None) -> DataFrame:
     """``df`` written once to the shared folder and read back: cuts the lineage and survives a lost executor.
 
-    Unlike an eager checkpoint it computes ``df`` once, and the optimizer sees the real sizes of the result.
+    Unlike an eager checkpoint it computes ``df`` once, and the optimizer sees the real sizes of the result. ``replaces``
+    is an earlier written table that nothing reads any more, as in rounds; it is deleted once the new one stands.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/windrow-{name}-{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if replaces is not None and (old := getattr(replaces, "_windrow_path", None)):
+        _delete(spark, old)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._windrow_path = path
+    return out
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes the intermediate tables of this application, to be called when its results have been written."""
+    _delete(spark, run_folder(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def collect_bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> list:

@@ -53,15 +53,25 @@ def cache_key(prompt_hash: str, model: str) -> "F.Column":
     return F.sha2(F.concat_ws("\x1f", F.col(prompt_hash), F.col(model)), 256)
 
 
+#: Folders by hash of the keys of a table that is written once a key.
+BUCKETS = 64
+
+
 def once_into(spark: SparkSession, table: str, keys: Sequence[str]) -> Callable[[DataFrame, int], None]:
-    """A sink for ``foreachBatch`` that writes each key once, however often a batch is run again."""
+    """A sink for ``foreachBatch`` that writes each key once, however often a batch is run again.
+
+    Rows lie by hash of their keys in ``_bucket`` folders, within them by ``_batch``: of the table only the keys of the buckets
+    that a batch has are read. A batch that is run again after a failure overwrites what it wrote before, whole or in part.
+    """
 
-    def write(batch: DataFrame, _: int) -> None:
-        new = batch.dropDuplicates(list(keys))
+    def write(batch: DataFrame, batch_id: int) -> None:
+        new = batch.dropDuplicates(list(keys)).withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int"))
         folder = spark._jvm.org.apache.hadoop.fs.Path(table)
         if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-            new = pending(new, spark.read.parquet(table), keys)
-        new.write.mode("append").parquet(table)
+            buckets = [r[0] for r in new.select("_bucket").distinct().collect()]  # at most BUCKETS
+            before = spark.read.parquet(table).where(F.col("_bucket").isin(buckets) & (F.col("_batch") != batch_id)).select(*keys)
+            new = pending(new, before, keys)
+        new.withColumn("_batch", F.lit(int(batch_id)).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket", "_batch").parquet(table)
 
     return write
 
