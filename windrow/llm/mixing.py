@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from windrow.llm.encoding import VOCABULARY, count_tokens
-from windrow.session import collect_bounded, written
+from windrow.session import small_enough, written
 
 #: Rows that a bucket of the prefix sums should hold; buckets grow with the rows, up to 2 to the 16.
 BUCKET_ROWS, MOST_BITS = 2000, 16
@@ -31,22 +31,24 @@ def _prefix(df: DataFrame, group: list[str], bucket: str, order: list[str], valu
     return df.withColumn("_within", F.sum(value).over(within)).join(before.drop("_sum"), [*group, bucket]).withColumn(out, F.col("_before") + F.col("_within")).drop("_before", "_within")
 
 
-def plan_sources(totals: list[tuple[str, int]], targets: list[tuple[str, float, int]], budget: int | None = None) -> tuple[int, list[tuple[str, float, int]]]:
-    """The total budget, and for each usable source its weight and the passes over it that the budget may take.
+def plan_sources(totals: DataFrame, targets: DataFrame, budget: int | None = None) -> tuple[int, DataFrame]:
+    """The total budget, and for each usable source (_source) its _weight and the _passes over it that the budget may take.
+
+    ``totals`` has _source and _tokens, ``targets`` source, target_weight and max_repeats. Of any number of sources; only the budget
+    comes to the driver.
 
     A source is usable if it has tokens, a positive weight and at least one repeat. Without ``budget`` it is the
     largest at which no source falls short of its weight; a larger one exhausts some source, and the actual shares
     then show it.
     """
-    have = dict(totals)
-    usable = [(s, float(w), int(m)) for s, w, m in targets if s is not None and w and w > 0 and m and m > 0 and have.get(s)]
-    if not usable:
-        return 0, []
-    whole = sum(w for _, w, _ in usable)
-    usable = [(s, w / whole, m) for s, w, m in usable]
+    t = targets.select(F.col("source").alias("_source"), F.col("target_weight").cast("double").alias("_w"), F.col("max_repeats").cast("long").alias("_m")).distinct()
+    usable = t.join(totals, "_source").where("_w > 0 and _m > 0 and _tokens > 0")
+    whole = usable.agg(F.sum("_w")).first()[0] or 1.0
+    usable = usable.withColumn("_weight", F.col("_w") / F.lit(float(whole)))
     if budget is None:
-        budget = int(min(have[s] * m / w for s, w, m in usable))
-    return budget, [(s, w, min(m, int(budget * w // have[s]) + 1)) for s, w, m in usable]
+        budget = int(usable.agg(F.floor(F.min(F.col("_tokens") * F.col("_m") / F.col("_weight")))).first()[0] or 0)
+    passes = F.least(F.col("_m"), F.floor(F.lit(budget) * F.col("_weight") / F.col("_tokens")) + 1)
+    return budget, usable.select("_source", "_weight", passes.cast("int").alias("_passes"))
 
 
 def mix(docs: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = 17, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
@@ -59,12 +61,10 @@ def mix(docs: DataFrame, targets: DataFrame, budget: int | None = None, seed: in
     """
     counted = written(count_tokens(docs.select(F.col(id_column).alias("_id"), F.col(source_column).alias("_source"), F.col(text_column).alias("_text")).where(F.col("_source").isNotNull()), "_text", vocabulary).where("n_tokens > 0"), "mix")
     bits = min(MOST_BITS, max(4, (counted.count() // BUCKET_ROWS).bit_length()))
-    spark = docs.sparkSession
-    wanted = [(r[0], r[1], r[2]) for r in collect_bounded(targets.select("source", "target_weight", "max_repeats").distinct(), 10_000)]
-    listed = spark.createDataFrame([(s,) for s, _, _ in wanted if s is not None], "_source string")
-    totals = [(r[0], r[1]) for r in collect_bounded(counted.join(F.broadcast(listed.distinct()), "_source", "left_semi").groupBy("_source").agg(F.sum("n_tokens")), 10_000)]
-    budget, usable = plan_sources(totals, wanted, budget)
-    passes = F.broadcast(spark.createDataFrame(usable, "_source string, _weight double, _passes int"))
+    totals = counted.join(targets.select(F.col("source").alias("_source")).distinct(), "_source", "left_semi").groupBy("_source").agg(F.sum("n_tokens").alias("_tokens"))
+    budget, passes = plan_sources(totals, targets, budget)
+    passes = written(passes, "sources")
+    passes = F.broadcast(passes) if small_enough(passes) else passes
     h = F.xxhash64(F.lit(seed), F.col("_id"), F.col("repeat"))
     copies = (
         counted.join(passes, "_source")
