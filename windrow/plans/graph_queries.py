@@ -161,18 +161,32 @@ def a24_wilson(spark: SparkSession, sf: str) -> DataFrame:
     return g.select("*", F.round(low, 9).alias("low"), F.round(high, 9).alias("high"))
 
 
-@query(f"""WITH {_L}, o AS (SELECT DISTINCT organism_id, first_seen_question_id FROM wmdp_organisms), g AS (SELECT organism_id FROM (SELECT DISTINCT * FROM wmdp_organisms) GROUP BY organism_id HAVING count(*) > 1),
-  f AS (SELECT DISTINCT item FROM l WHERE item NOT IN (SELECT question_id FROM wmdp_questions)), s AS (SELECT organism_id FROM o WHERE first_seen_question_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM l WHERE l.entity = organism_id AND l.item = first_seen_question_id))
-  SELECT 'key unique' AS name, count(*) = 0 AS passes, count(*) AS n_violations, min(organism_id) AS least_id FROM g UNION ALL SELECT 'items exist', count(*) = 0, count(*), min(item) FROM f UNION ALL SELECT 'first seen cited', count(*) = 0, count(*), min(organism_id) FROM s""")
+#: Row rules of the inventory: name, and the condition as SQL that both engines read alike.
+_INVENTORY = (
+    ("has a name", "coalesce(trim(name_raw), '') <> '' OR coalesce(trim(name_normalized), '') <> ''"),
+    ("rank known", "taxon_rank IN ('species', 'genus')"),
+    ("flag known", "gazetteer_match IS NULL OR gazetteer_match IN ('true', 'false', 'unchecked')"),
+    ("either covers both", "n_docs_either >= greatest(n_docs_title, n_docs_abstract)"),
+    ("either within sum", "n_docs_either <= n_docs_title + n_docs_abstract"),
+    ("frequency is a share", "corpus_doc_frequency BETWEEN 0 AND 1"),
+    ("mentions not negative", "n_mentions >= 0"),
+)
+_ROW_GATES = " UNION ALL ".join(f"SELECT '{name}', count(*) = 0, count(*), min(organism_id) FROM d WHERE NOT coalesce({holds}, false)" for name, holds in _INVENTORY)
+
+
+@query(f"""WITH {_L}, d AS (SELECT DISTINCT * FROM wmdp_organisms), g AS (SELECT organism_id FROM d GROUP BY organism_id HAVING count(*) > 1), f AS (SELECT DISTINCT item FROM l WHERE item NOT IN (SELECT question_id FROM wmdp_questions)), s AS (SELECT organism_id FROM d WHERE first_seen_question_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM l WHERE l.entity = organism_id AND l.item = first_seen_question_id))
+  SELECT 'key unique' AS name, count(*) = 0 AS passes, count(*) AS n_violations, min(organism_id) AS least_id FROM g UNION ALL SELECT 'items exist', count(*) = 0, count(*), min(item) FROM f UNION ALL SELECT 'first seen cited', count(*) = 0, count(*), min(organism_id) FROM s UNION ALL {_ROW_GATES}""")
 def c02_inventory_gates(spark: SparkSession, sf: str) -> DataFrame:
+    """Ten rules of the inventory; those of single rows in one pass."""
     d = read_table(spark, sf, "wmdp_organisms").distinct()
     items = read_table(spark, sf, "wmdp_questions", ("question_id",))
     cited = d.where("first_seen_question_id is not null")
-    return gates.suite([
+    tables = gates.suite([
         ("key unique", gates.unique(d, ["organism_id"])),
         ("items exist", gates.foreign_key(links(spark, sf), "item", items, "question_id")),
         ("first seen cited", gates.rule(cited, F.array_contains(F.from_json("question_ids", "array<string>"), F.col("first_seen_question_id")), ["organism_id"])),
     ])
+    return tables.unionByName(gates.suite_of_rules(d, "organism_id", [(name, F.expr(holds)) for name, holds in _INVENTORY]))
 
 
 @query(f"""WITH {_L} SELECT entity, count(DISTINCT q.subset) AS n_sides FROM l JOIN wmdp_questions q ON q.question_id = l.item GROUP BY entity HAVING count(DISTINCT q.subset) > 1""")

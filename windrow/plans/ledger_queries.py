@@ -93,24 +93,43 @@ def w14_streaks(spark: SparkSession, sf: str) -> DataFrame:
     return windows.streaks(d, ["call_id"], "attempt_index", "failed", 2)
 
 
-@query("""SELECT chapter_id, count(*) AS n, min(part_index) AS low, max(part_index) AS high, count(DISTINCT section_id) AS n_sections, CAST(sum(target_tokens) AS BIGINT) AS target_tokens FROM (SELECT DISTINCT part_id, chapter_id, section_id, part_index, target_tokens FROM spine_parts) GROUP BY chapter_id""")
+_CHAPTERS = """WITH p AS (SELECT DISTINCT part_id, chapter_id, section_id, part_index, target_tokens FROM spine_parts), c AS (SELECT chapter_id, count(*) AS n, min(part_index) AS low, max(part_index) AS high, count(DISTINCT section_id) AS n_sections, CAST(sum(target_tokens) AS BIGINT) AS target_tokens, bool_and(starts_with(section_id, chapter_id)) AS own_sections, bool_and(target_tokens > 0) AS has_targets FROM p GROUP BY chapter_id)
+  SELECT *, list_filter([CASE WHEN NOT coalesce(own_sections, false) THEN 'sections' END, CASE WHEN NOT coalesce(has_targets, false) THEN 'targets' END, CASE WHEN n_sections > n THEN 'coverage' END, CASE WHEN high - low + 1 < n_sections THEN 'places' END], lambda x: x IS NOT NULL) AS failures FROM c"""
+
+
+@query(_CHAPTERS)
 def c18_chapters(spark: SparkSession, sf: str) -> DataFrame:
+    """Each chapter's size and all rules that it breaks: sections that are its own, targets, coverage, places."""
     d = read_table(spark, sf, "spine_parts", ("part_id", "chapter_id", "section_id", "part_index", "target_tokens")).distinct()
-    return d.groupBy("chapter_id").agg(F.count(F.lit(1)).alias("n"), F.min("part_index").alias("low"), F.max("part_index").alias("high"), F.countDistinct("section_id").alias("n_sections"), F.sum("target_tokens").alias("target_tokens"))
+    c = d.groupBy("chapter_id").agg(F.count(F.lit(1)).alias("n"), F.min("part_index").alias("low"), F.max("part_index").alias("high"), F.countDistinct("section_id").alias("n_sections"), F.sum("target_tokens").alias("target_tokens"), F.bool_and(F.startswith("section_id", "chapter_id")).alias("own_sections"), F.bool_and(F.col("target_tokens") > 0).alias("has_targets"))
+    broken = lambda holds, name: F.when(~F.coalesce(holds, F.lit(False)), name)
+    return c.withColumn("failures", F.array_compact(F.array(broken(F.col("own_sections"), "sections"), broken(F.col("has_targets"), "targets"), broken(F.col("n_sections") <= F.col("n"), "coverage"), broken(F.col("high") - F.col("low") + 1 >= F.col("n_sections"), "places"))))
+
+
+_WORDS = "len(regexp_extract_all(text, '\\S+'))"
+#: Row rules of parts: name, the condition in SQL.
+_PARTS = (
+    ("has text", "length(trim(text, ' ')) > 0"), ("not over length", f"{_WORDS} <= 1.75 * target_tokens"), ("not under length", f"{_WORDS} >= 0.6 * target_tokens"), ("identity", "starts_with(part_id, section_id) AND starts_with(section_id, chapter_id)"),
+    ("style", "NOT regexp_matches(text, '\\b(ORG|CH|CP|E)-?[0-9]{2,}\\b') AND NOT regexp_matches(text, '(^|\\n)#{1,6}\\s') AND NOT regexp_matches(lower(text), '\\b(as an ai|in conclusion|in summary)\\b')"), ("kind known", "part_kind IS NOT NULL"),
+)
+_PART_GATES = " UNION ALL ".join(f"SELECT '{n}', count(*) = 0, count(*), min(part_id) FROM p WHERE NOT coalesce({c}, false)" for n, c in _PARTS)
 
 
-@query("""WITH p AS (SELECT DISTINCT part_id, text, policy_revision, target_tokens, entity_ids FROM spine_parts), e AS (SELECT DISTINCT x AS id FROM (SELECT unnest(entity_ids) AS x FROM p) WHERE x NOT IN (SELECT organism_id FROM wmdp_organisms))
-  SELECT 'key unique' AS name, count(*) = 0 AS passes, count(*) AS n_violations, min(part_id) AS least_id FROM (SELECT part_id FROM p GROUP BY part_id HAVING count(*) > 1) UNION ALL SELECT 'has text', count(*) = 0, count(*), min(part_id) FROM p WHERE NOT coalesce(length(trim(text, ' ')) > 0, false)
-  UNION ALL SELECT 'entities exist', count(*) = 0, count(*), min(id) FROM e UNION ALL SELECT 'not over length', count(*) = 0, count(*), min(part_id) FROM p WHERE NOT coalesce(len(regexp_extract_all(text, '\\S+')) <= 2 * target_tokens, false)""")
+@query(f"""WITH p AS (SELECT DISTINCT part_id, chapter_id, section_id, part_kind, text, policy_revision, target_tokens, entity_ids FROM spine_parts), e AS (SELECT DISTINCT x AS id FROM (SELECT unnest(entity_ids) AS x FROM p) WHERE x NOT IN (SELECT organism_id FROM wmdp_organisms))
+  SELECT 'key unique' AS name, count(*) = 0 AS passes, count(*) AS n_violations, min(part_id) AS least_id FROM (SELECT part_id FROM p GROUP BY part_id HAVING count(*) > 1) UNION ALL SELECT 'entities exist', count(*) = 0, count(*), min(id) FROM e UNION ALL {_PART_GATES}""")
 def c17_part_gates(spark: SparkSession, sf: str) -> DataFrame:
-    d = read_table(spark, sf, "spine_parts", ("part_id", "text", "policy_revision", "target_tokens", "entity_ids")).distinct()
-    cited = d.select(F.explode("entity_ids").alias("id"))
-    return gates.suite([
-        ("key unique", gates.unique(d, ["part_id"])),
-        ("has text", gates.rule(d, F.length(F.trim("text")) > 0, ["part_id"])),
-        ("entities exist", gates.foreign_key(cited, "id", read_table(spark, sf, "wmdp_organisms", ("organism_id",)), "organism_id")),
-        ("not over length", gates.rule(d, X.ws_count(F.col("text")) <= 2 * F.col("target_tokens"), ["part_id"])),
-    ])
+    """Eight rules of parts. Rules are judged where the text lies, and only their verdicts are made distinct."""
+    t, n = F.col("text"), X.ws_count(F.col("text"))
+    holds = {
+        "has text": F.length(F.trim(t)) > 0, "not over length": n <= 1.75 * F.col("target_tokens"), "not under length": n >= 0.6 * F.col("target_tokens"), "identity": F.startswith("part_id", "section_id") & F.startswith("section_id", "chapter_id"),
+        "style": F.size(X.style_failures(t)) == 0, "kind known": F.col("part_kind").isNotNull(),
+    }
+    rows = read_table(spark, sf, "spine_parts", ("part_id", "chapter_id", "section_id", "part_kind", "text", "policy_revision", "target_tokens", "entity_ids"))
+    verdicts = [F.when(t.isNull() & F.lit(k == "style"), F.lit(False)).otherwise(F.coalesce(h, F.lit(False))).alias(k) for k, h in holds.items()]
+    d = rows.select("part_id", F.xxhash64("chapter_id", "section_id", "part_kind", "text", "policy_revision", "target_tokens", "entity_ids").alias("_h"), *verdicts).distinct()
+    cited = rows.select(F.explode("entity_ids").alias("id"))
+    tables = gates.suite([("key unique", gates.unique(d, ["part_id"])), ("entities exist", gates.foreign_key(cited, "id", read_table(spark, sf, "wmdp_organisms", ("organism_id",)), "organism_id"))])
+    return tables.unionByName(gates.suite_of_rules(d, "part_id", [(k, F.col(f"`{k}`")) for k in holds]))
 
 
 @query("""WITH d AS (SELECT DISTINCT part_id, policy_revision, section_id, part_index FROM spine_parts), r AS (SELECT *, max(policy_revision) OVER (PARTITION BY section_id, part_index) AS top FROM d) SELECT part_id, policy_revision FROM r WHERE policy_revision < top""")

@@ -209,7 +209,17 @@ def s16_runs(spark: SparkSession, sf: str) -> DataFrame:
 def c05_prediction_gates(spark: SparkSession, sf: str) -> DataFrame:
     d = predictions(spark, sf)
     items = read_table(spark, sf, "wmdp_questions", ("question_id",))
-    return gates.suite([("key unique", gates.unique(d, KEY)), ("probabilities", gates.probability_rows(d, PS, KEY)), ("item exists", gates.foreign_key(d, "question_id", items, "question_id")), ("gold present", gates.not_null(d, ["gold"], KEY))])
+    # rules of single rows, and the key, in one pass over the distinct predictions
+    total = sum((F.col(p) for p in PS[1:]), F.col(PS[0]))
+    sound = (F.abs(total - 1) <= 1e-5) & ~F.isnan(total)
+    for p in PS:
+        sound = sound & F.col(p).between(0, 1)
+    key = F.concat_ws(",", *[F.col(k).cast("string") for k in KEY])
+    g = d.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n"), F.count_if(~F.coalesce(sound, F.lit(False))).alias("_off"), F.count_if(F.col("gold").isNull()).alias("_bare"))
+    rules = [("key unique", (F.col("_n") > 1).cast("int")), ("probabilities", F.col("_off")), ("gold present", F.col("_bare"))]
+    one = g.agg(*[x for i, (_, n) in enumerate(rules) for x in (F.coalesce(F.sum(n), F.lit(0)).alias(f"n{i}"), F.min(F.when(n > 0, key)).alias(f"m{i}"))])
+    rows = one.select(F.inline(F.array(*[F.struct(F.lit(name).alias("name"), (F.col(f"n{i}") == 0).alias("passes"), F.col(f"n{i}").cast("long").alias("n_violations"), F.col(f"m{i}").alias("least_id")) for i, (name, _) in enumerate(rules)])))
+    return rows.unionByName(gates.suite([("item exists", gates.foreign_key(read_table(spark, sf, "predictions", ("question_id",)), "question_id", items, "question_id"))]))
 
 
 @query("""WITH g AS (SELECT DISTINCT run_id, checkpoint_step FROM run_metrics), p AS (SELECT DISTINCT run_id, checkpoint_step FROM predictions)
