@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from windrow.operators import schema_drift
-from windrow.plans import audit_queries, claim_queries, composites, contract_queries, edit_queries, graph_queries, ledger_queries, metric_queries, relational_queries, resampling_queries, text_queries  # noqa: F401 - they register
+from windrow.plans import audit_queries, claim_queries, composites, contract_queries, edit_queries, graph_queries, ledger_queries, metric_queries, relational_queries, resampling_queries, support_queries, text_queries  # noqa: F401 - they register
 from windrow.registry import QUERIES, SQL, query
 from windrow.sources import read_table
 
