@@ -171,7 +171,7 @@ NOTICE_PARTS = [
 FILLER_PARTS = [
     ("Text|Your text|Content|The content|Body text|Copy|Description|Details|Summary|Paragraph|Title|Heading".split("|"), "goes here|to come|to follow later|will be added|will be supplied|is to be written|to be added|to be completed".split("|"), "|later|soon|here|before publication|by the author".split("|")),
     ("Insert|Add|Enter|Type|Write|Replace|Edit".split("|"), "your text|the text|your title|a description|your content|this paragraph|the summary|some words".split("|"), "|here|below|before publishing|before release".split("|")),
-    ("Insert|Add|Enter|Put|Type".split("|"), "introduction|overview|outline|summary|abstract|conclusion|background|description|details|title|name|text|methods|heading|quote|caption".split("|"), "here|text here|below".split("|")),
+    ("Insert|Add|Enter|Put|Type".split("|"), "introduction|outline|preface|summary|abstract|conclusion|background|description|details|title|name|text|methods|heading|quote|caption".split("|"), "here|text here|below".split("|")),
     ("This section|This paragraph|This part|This block|This chapter|This page".split("|"), "is intentionally|is deliberately|is purposely|was".split("|"), "left blank|left empty|filled with sample text|filled with placeholder text|filled with filler|filled with dummy words|written in mock copy".split("|")),
     ("Draft|Stub|Working draft|Rough draft|Placeholder|Temporary wording|First draft|Section stub".split("|"), ", replace with|, to be replaced by|- replace with|, swap for|, update with".split("|"), "the final text|final copy|the real text|approved wording|the finished version|real content|the final version".split("|")),
 ]
