@@ -121,15 +121,15 @@ class Profiles:
         if len(self.row) + len(words) >= WORDS:
             self.row.clear()  # begins anew, so that memory is bounded
         get = self.row.get
-        ids = []
-        for w in words:
-            k = get(w)
-            if k is None:
-                k = self.row[w] = len(self.row)
-                if k >= len(self.table):
-                    self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-                self.table[k] = self._word(w)
-            ids.append(k)
+        ids = [get(w, -1) for w in words]
+        if -1 in ids:
+            for w in words:
+                if w not in self.row:
+                    k = self.row[w] = len(self.row)
+                    if k >= len(self.table):
+                        self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+                    self.table[k] = self._word(w)
+            ids = [self.row[w] for w in words]
         return self.table[ids].sum(0, dtype=np.float64)
 
 
@@ -151,7 +151,7 @@ _NAME = re.compile(r"(?<=[^\W\d_] )[A-Z][a-z]+(?: [a-z]{6,})?")
 
 def running_words(text: str) -> list[str]:
     """The words of ``text`` in small letters, without names: words with a capital amid a sentence, with a long one after it."""
-    return [w.lower() for w in _WORD.findall(_NAME.sub(" ", text))]
+    return _WORD.findall(_NAME.sub(" ", text).lower())
 
 
 class Evidence:
@@ -160,6 +160,12 @@ class Evidence:
     __slots__ = ("script", "share", "languages", "scores", "n", "n_words")
 
     def __init__(self, text: str) -> None:
+        if text.isascii():
+            words = running_words(text)
+            self.script, self.share, self.n, self.n_words = "LATIN" if words else "", 1.0 if words else 0.0, sum(map(len, words)), len(words)
+            p = profiles()["LATIN"]
+            self.languages, self.scores = p.languages, p.evidence(words)
+            return
         found = scripts_of(text)
         if len(found) > 1 and found["LATIN"]:
             found["LATIN"] = scripts_of(_NAME.sub(" ", text))["LATIN"]  # names stay Latin in any language

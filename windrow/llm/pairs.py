@@ -120,8 +120,11 @@ def is_empty(response: str | None, inner: str | None = None) -> bool:
 def is_refusal(answer: str) -> bool:
     """A denial by the grammar, in an answer of any length, with no more than courtesies and a few words beside its denials."""
     rest, denied = 0, False
-    for p in _SENTENCE.split(answer):
-        if not p or not p.strip():
+    at = 0
+    while at < len(answer):  # sentence by sentence, since the first few decide
+        m = _SENTENCE.search(answer, at + 1)
+        p, at = (answer[at : m.start()], m.end()) if m else (answer[at:], len(answer))
+        if not p.strip():
             continue
         n = len(_TOKEN.findall(p))
         if n <= 60 and is_denial(p):

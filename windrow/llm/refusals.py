@@ -82,6 +82,7 @@ def word(*names: str) -> Parser:
         if i < len(ts) and not wanted.isdisjoint(ts[i]):
             yield i + 1
 
+    parse.first = wanted  # classes with which a part can begin
     return parse
 
 
@@ -99,11 +100,18 @@ def seq(*parts: Parser) -> Parser:
                 return
         yield from ends
 
+    parse.first = parts[0].first
     return parse
 
 
 def either(*parts: Parser) -> Parser:
-    return lambda ts, i: (e for p in parts for e in p(ts, i))
+    def parse(ts: list[frozenset[str]], i: int) -> Iterator[int]:
+        for p in parts:
+            yield from p(ts, i)
+
+    parse.first = frozenset().union(*(getattr(p, "first", ()) for p in parts))
+    parse.parts = parts
+    return parse
 
 
 def maybe(part: Parser) -> Parser:
@@ -151,11 +159,23 @@ SORRY = seq(word("SORRY"), fill(6), either(word("I_CANNOT"), seq(word("SUBJECT")
 #: Classes of which every denial has one.
 _SOME = frozenset(["NEG", "I_CANNOT", "DECLINE", "OUTSIDE", "FORBID", "REJECTED"])
 _WHO = frozenset(["SUBJECT", "I_CAN", "I_CANNOT", "THING", "MY", "RULE", "SORRY"])
-_RULES = (DENIAL, DECLINED, IMPOSSIBLE, BARRED, REJECTED, SORRY)
+#: The alternatives of all rules by the class with which they begin.
+_BY_FIRST: dict[str, list[Parser]] = {}
+for _rule in (DENIAL, DECLINED, IMPOSSIBLE, BARRED, REJECTED, SORRY):
+    for _part in getattr(_rule, "parts", (_rule,)):
+        for _class in sorted(_part.first):
+            _BY_FIRST.setdefault(_class, []).append(_part)
 #: Words that something said of others has before a denial: someone else is its subject.
 _REPORTED = re.compile(r"\b(?:he|she|they|who|warden|authors?|growers?|keepers?)\b", re.IGNORECASE)
 
 
+@lru_cache(1 << 15)
+def _flags_of(token: str) -> int:
+    """1 for a class of which every denial has one, 2 for one of who or what denies, 3 for both."""
+    c = classes_of(token)
+    return (not _SOME.isdisjoint(c)) + 2 * (not _WHO.isdisjoint(c))
+
+
 def tokens_of(sentence: str) -> list[str]:
     out: list[str] = []
     for t in _TOKEN.findall(sentence.lower().replace("’", "'")):
@@ -173,10 +193,12 @@ def is_denial(sentence: str) -> bool:
     if UNSPACED.search(sentence):
         return True
     tokens = tokens_of(sentence)
-    ts = [classes_of(t) for t in tokens]
-    have = frozenset().union(*ts)
-    if _SOME.isdisjoint(have) or _WHO.isdisjoint(have):
+    have = 0
+    for t in tokens:
+        have |= _flags_of(t)
+    if have != 3:
         return False
+    ts = [classes_of(t) for t in tokens]
     if not _DECLINE_ALONE.isdisjoint(tokens[:3]):
         return True
     for i, t in enumerate(ts):
@@ -184,7 +206,8 @@ def is_denial(sentence: str) -> bool:
             continue
         if i and "SUBJECT" not in t and _REPORTED.fullmatch(tokens[i - 1]):
             continue
-        for rule in _RULES:
-            if next(rule(ts, i), None) is not None:
-                return True
+        for c in t:
+            for rule in _BY_FIRST.get(c, ()):
+                if next(rule(ts, i), None) is not None:
+                    return True
     return False
