@@ -114,7 +114,7 @@ def permutation_band(df: DataFrame, keys: Sequence[str], f: str, y: str, draws:
 
 
 def bootstrap_accuracy(df: DataFrame, keys: Sequence[str], correct: str, cluster: str | None = None, draws: int = 500, seed: int = 0) -> DataFrame:
-    """Mean of a 0/1 column with its 2.5 and 97.5 percentiles over bootstrap draws, of rows or of whole clusters.
+    """Mean of a 0/1 column with its 2.5 and 97.5 percentiles (nearest rank) over bootstrap draws, of rows or of whole clusters.
 
     Rows come as counts: without clusters a draw is binomial; with them a draw is multinomial over the kinds of
     clusters, those of equal sums being one kind, which has the distribution of a draw of whole clusters.
@@ -135,7 +135,8 @@ def bootstrap_accuracy(df: DataFrame, keys: Sequence[str], correct: str, cluster
             step = max(1, 1_000_000 // len(k))
             parts = [rng.multinomial(int(m.sum()), m / m.sum(), min(step, draws - b)) for b in range(0, draws, step)]
             values = np.concatenate([(w @ k) / (w @ n) for w in parts])
-        low, high = np.percentile(values, [2.5, 97.5])
+        values = np.sort(values)
+        low, high = values[int(0.025 * draws)], values[min(draws - 1, int(0.975 * draws))]  # nearest rank
         return pd.DataFrame([(*key, total, mean, float(low), float(high))], columns=[*keys, "n", "mean", "low", "high"])
 
     return sums.groupBy(*keys).applyInPandas(run, f"{kinds}, n bigint, mean double, low double, high double")
