@@ -207,7 +207,8 @@ def s16_runs(spark: SparkSession, sf: str) -> DataFrame:
   SELECT 'key unique' AS name, count(*) = 0 AS passes, count(*) AS n_violations, min(concat_ws(',', run_id, checkpoint_step, question_id)) AS least_id FROM u
   UNION ALL SELECT 'probabilities', count(*) = 0, count(*), min(id) FROM q UNION ALL SELECT 'item exists', count(*) = 0, count(*), min(id) FROM f UNION ALL SELECT 'gold present', count(*) = 0, count(*), min(id) FROM n""")
 def c05_prediction_gates(spark: SparkSession, sf: str) -> DataFrame:
-    d = predictions(spark, sf)
+    # one shuffle by key serves both the distinct rows and their groups
+    d = read_table(spark, sf, "predictions", [*KEY, *PS, "gold"]).repartition(*[F.col(k) for k in KEY]).distinct()
     items = read_table(spark, sf, "wmdp_questions", ("question_id",))
     # rules of single rows, and the key, in one pass over the distinct predictions
     total = sum((F.col(p) for p in PS[1:]), F.col(PS[0]))
