@@ -2,12 +2,17 @@
 
 Draw ``d``'s pick at place ``p`` is a digest of (seed, d, p), so it is the same on every machine and in SQL, and vectors
 that are resampled together share it. What is resampled are items or runs, bounded sets: groups of draws x units rows.
+Paired draws make no such rows: a group's units are streamed in their order, and all draws are added up where they stand.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
+from itertools import groupby
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -64,10 +69,76 @@ def rank_interval(draws: DataFrame, keys: Sequence[str], value: str, off_by_one:
     return g.select(*keys, n.alias("n_draws"), at(low).alias("low"), at(high).alias("high"))
 
 
-def paired_bootstrap(df: DataFrame, keys: Sequence[str], unit: str, a: str, b: str, draws: int, seed: str) -> DataFrame:
-    """keys, draw and difference: mean of ``a`` less mean of ``b`` over the units that the draw picks, the same for both."""
-    picks = bootstrap_index(df, keys, unit, draws, seed)
-    return picks.join(df.select(*keys, unit, a, b), [*keys, unit]).groupBy(*keys, "draw").agg((F.avg(F.col(a).cast("double")) - F.avg(F.col(b).cast("double"))).alias("difference"))
+#: Digests of all draws that are held at once.
+DIGESTS = 1 << 18
+
+
+def _summed_draws(seed: str, draws: int, digests: int) -> Iterator[np.ndarray]:
+    """A coroutine: gets the values of a group's units (units x columns), gives each draw's sums of what it picks (draws x columns)."""
+    width = max(1, digests // draws)
+    first = np.empty((draws, 0), np.int64)  # the digests of the first places, which groups share
+
+    def of(start: int, stop: int) -> np.ndarray:
+        return np.array([[int(hashlib.md5(f"{seed}|{d}|{i}".encode()).hexdigest()[:8], 16) for i in range(start, stop)] for d in range(draws)], np.int64).reshape(draws, stop - start)
+
+    sums = np.empty((draws, 0))
+    while True:
+        values = yield sums
+        n = len(values)
+        sums = np.zeros((draws, values.shape[1]))
+        for start in range(0, n, width):
+            stop = min(n, start + width)
+            if not start and stop > first.shape[1]:
+                first = np.concatenate([first, of(first.shape[1], stop)], axis=1)
+            sums += values[(of(start, stop) if start else first[:, :stop]) % n].sum(axis=1)
+
+
+def paired_bootstrap(df: DataFrame, keys: Sequence[str], unit: str, a: str, b: str, draws: int, seed: str, digests: int = DIGESTS) -> DataFrame:
+    """keys, draw and difference: mean of ``a`` less mean of ``b`` over the units that the draw picks, the same for both.
+
+    The picks are those of ``bootstrap_index``. A unit's rows all count; rows without a key or a unit don't, nor do null values; a
+    draw without any has a null difference. Each group is streamed through one task, which holds four numbers a unit, and a
+    block of ``digests`` digests; no row is made but a group's draws.
+    """
+    keys = list(keys)
+    rows = df.dropna(subset=[*keys, unit]).select(*keys, unit, F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b"))
+    rows = rows.repartition(*keys) if keys else rows.repartition(1)
+    sums = [f(c) for c in ("_a", "_b") for f in (lambda c: F.coalesce(F.sum(c), F.lit(0.0)), lambda c: F.count(c).cast("double"))]
+    units = rows.groupBy(*keys, unit).agg(*[c.alias(f"_{i}") for i, c in enumerate(sums)])
+    ordered = units.sortWithinPartitions(*keys, unit).select("_0", "_1", "_2", "_3", *keys)
+
+    def resample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        summed = _summed_draws(seed, draws, digests)
+        next(summed)
+        group: tuple | None = None
+        held: list[np.ndarray] = []
+        fields: list[pa.Field] = []
+
+        def drawn() -> pa.RecordBatch:
+            s = summed.send(np.concatenate(held))
+            known = (s[:, 1] > 0) & (s[:, 3] > 0)
+            n = np.where(known[:, None], s[:, [1, 3]], 1.0)
+            difference = pa.array(s[:, 0] / n[:, 0] - s[:, 2] / n[:, 1], pa.float64(), mask=~known)
+            return pa.RecordBatch.from_arrays([*(pa.array([k] * draws, f.type) for k, f in zip(group, fields)), pa.array(range(draws), pa.int32()), difference], names=[*keys, "draw", "difference"])
+
+        for batch in batches:
+            fields = list(batch.schema)[4:]
+            values = np.column_stack([batch.column(i).to_numpy() for i in range(4)])
+            names = list(zip(*(batch.column(i).to_pylist() for i in range(4, batch.num_columns)))) if keys else [()] * batch.num_rows
+            at = 0
+            for name, same in groupby(names):
+                size = sum(1 for _ in same)
+                if held and name != group:
+                    yield drawn()
+                    held = []
+                group = name
+                held.append(values[at : at + size])
+                at += size
+        if held:
+            yield drawn()
+
+    types = "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in keys)
+    return ordered.mapInArrow(resample, f"{types}draw int, difference double")
 
 
 def median_bootstrap(df: DataFrame, keys: Sequence[str], unit: str, value: str, draws: int, seed: str) -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from windrow.functions import values as V
 from windrow.operators import information, resampling
-from windrow.plans.metric_queries import _P, PS, accuracies, predictions
+from windrow.plans.metric_queries import _P, KEY, PS, accuracies, predictions
 from windrow.registry import query
+from windrow.session import small_enough, written
 from windrow.sources import read_table
 
 DRAWS, FEW = 100, 20
@@ -29,12 +30,17 @@ _PICKS = f"""n AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY que
 
 
 def _ends(spark: SparkSession, sf: str) -> DataFrame:
-    """run_id, question_id, a (right at the last step) and b (right at the first)."""
-    c = predictions(spark, sf).where("chosen is not null and gold is not null").select("run_id", "checkpoint_step", "question_id", (F.col("chosen") == F.col("gold")).cast("int").alias("ok"))
-    s = c.groupBy("run_id").agg(F.min("checkpoint_step").alias("lo"), F.max("checkpoint_step").alias("hi"))
-    both = c.join(F.broadcast(s), "run_id").where("checkpoint_step in (lo, hi)")
-    g = both.groupBy("run_id", "question_id").agg(F.max(F.when(F.col("checkpoint_step") == F.col("hi"), F.col("ok"))).alias("a"), F.max(F.when(F.col("checkpoint_step") == F.col("lo"), F.col("ok"))).alias("b"))
-    return g.where("a is not null and b is not null")
+    """run_id, question_id, a (right at the last step) and b (right at the first).
+
+    A prediction's copies count once; where those of an item differ, each of the one step goes with each of the other. Only the rows
+    of both steps are shuffled. The steps are looked up, beyond what a broadcast holds joined.
+    """
+    p = read_table(spark, sf, "predictions", [*KEY, *PS, "gold"]).withColumn("chosen", V.argmax_letter([F.col(p) for p in PS])).where("chosen is not null and gold is not null")
+    s = written(p.groupBy("run_id").agg(F.min("checkpoint_step").alias("lo"), F.max("checkpoint_step").alias("hi")), "ends")
+    both = p.join(F.broadcast(s) if small_enough(s) else s.hint("merge"), "run_id").where("checkpoint_step in (lo, hi) and question_id is not null").distinct()
+    ok = (F.col("chosen") == F.col("gold")).cast("int")
+    g = both.groupBy("run_id", "question_id").agg(*[F.collect_list(F.when(F.col("checkpoint_step") == F.col(step), ok)).alias(c) for step, c in (("hi", "a"), ("lo", "b"))])
+    return g.select("run_id", "question_id", F.explode("a").alias("a"), "b").select("run_id", "question_id", "a", F.explode("b").alias("b"))
 
 
 @query(f"WITH {_Q}, n AS (SELECT question_id, row_number() OVER (ORDER BY question_id) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT question_id FROM q)), k AS (SELECT draw, {_u(chr(39) + 'boot' + chr(39), 'draw', 'i')} % n AS i FROM n CROSS JOIN (SELECT unnest(range({DRAWS})) AS draw)) SELECT draw, n.question_id, count(*) AS n FROM k JOIN n USING (i) GROUP BY ALL")
