@@ -30,7 +30,7 @@ def folder(spark, tmp_path_factory):
     return str(root)
 
 
-@pytest.mark.parametrize("name", ["a14_rank_interval", "a15_rank_interval_off_by_one"])
+@pytest.mark.parametrize("name", ["i24_paired_bootstrap", "a14_rank_interval", "a15_rank_interval_off_by_one"])
 def test_draws_are_those_of_sql_where_copies_differ(spark, folder, name):
     c = duckdb.connect()
     c.sql(f"CREATE VIEW predictions AS SELECT * FROM '{folder}/predictions.parquet/*.parquet'")
