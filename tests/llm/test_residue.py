@@ -62,3 +62,16 @@ def test_operator_edges(spark, model):
 def test_fit_on_an_empty_table(spark):
     m = residue.fit(spark.createDataFrame([], "k string, t string"), "k", "t")
     assert m.find(["Please enable JavaScript to view this page."])[0]
+
+
+def test_prose_is_counted_in_every_row(spark):
+    """A sample of the least hashes left out all but some rows: here every row has a word of its own."""
+    texts = [f"The {'abcdefghij'[i // 10]}{'klmnopqrst'[i % 10]}vorn plant {i} grew beside the ditch in wet years." for i in range(100)] + ["Lorem ipsum dolor sit amet, consectetur adipiscing elit."] * 3
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)] + [("n", None), ("e", "")], "k string, t string")
+    got, want = residue.fit(df, "k", "t", 10), residue.ResidueModel(texts, 10)
+    assert all((got.tables[k] == want.tables[k]).all() for k in want.tables)
+    counts = residue._prose_counts(df.select("t"), None)
+    assert counts.rows == 103 and (counts.flat() == residue.ProseCounts(texts).flat()).all()
+    # a corpus weighs as so many rows whatever its size, so a larger one of the same texts has the same model
+    more = residue.fit(df.unionByName(df).unionByName(df.repartition(7)), "k", "t", 10)
+    assert all((more.tables[k] == want.tables[k]).all() for k in want.tables)

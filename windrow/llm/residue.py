@@ -1,7 +1,7 @@
 """Template residue, filler, error pages and script notices, found by character n-gram models.
 
 Models of filler and notices, of missing data filled into a sentence, and of unfilled slots are fitted on the seeds
-below; the model of natural prose on a bounded sample of the corpus itself, cleaned once by the first fit. Each
+below; the model of natural prose on the whole corpus itself, cleaned once by the first fit. Each
 character gets the log-likelihood ratio of its 4-gram; the best window of each sentence or line localises residue.
 A segment is residue if such a window has enough evidence and covers enough of it, so that a text which quotes or
 speaks of these things amid real content isn't. Slots and missing data stand within sentences: there the window is a
@@ -11,7 +11,7 @@ candidate, whose syntax an exact check confirms.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import product
 
 import numpy as np
@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from windrow.llm.sampling import bounded_sample
 from windrow.session import widened
 
-#: Rows of the corpus on which the model of prose is fitted, at most; chosen by hash of the key.
+#: Weight of the corpus in the model of prose, in rows, at most: beyond, the counts of all rows are scaled to it, so that a few texts
+#: of residue in a hundred don't outgrow the smoothing, and look like prose, just because the corpus is large.
 FIT_ROWS = 1500
 #: Evidence of a window in nats, share of the segment that it covers, evidence a character.
 EVIDENCE, COVERAGE, RATE = 12.0, 0.7, 0.45
@@ -261,12 +261,42 @@ def _grams(symbols: np.ndarray, base: int) -> np.ndarray:
     return out
 
 
+class ProseCounts:
+    """Of texts: their number, and in how many each 4-gram stands, by characters and by shapes. Of fixed size whatever the corpus."""
+
+    def __init__(self, texts: Iterable[str] = ()) -> None:
+        self.rows = 0
+        self.literal, self.shape = np.zeros(N_LITERAL**4, np.int64), np.zeros(N_SHAPE**4, np.int64)
+        self.add(texts)
+
+    def add(self, texts: Iterable[str]) -> None:
+        for t in texts:
+            self.rows += 1
+            cp = _codes(t + "\n")
+            for counts, table, base in ((self.literal, LITERAL, N_LITERAL), (self.shape, SHAPE, N_SHAPE)):
+                counts[np.unique(_grams(table[cp], base))] += 1
+
+    def without(self, other: ProseCounts) -> ProseCounts:
+        out = ProseCounts()
+        out.rows, out.literal, out.shape = self.rows - other.rows, self.literal - other.literal, self.shape - other.shape
+        return out
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([self.literal, self.shape, [self.rows]])
+
+    @staticmethod
+    def of_flat(flat: np.ndarray) -> ProseCounts:
+        out = ProseCounts()
+        out.literal, out.shape, (out.rows,) = flat[: len(out.literal)], flat[len(out.literal) : -1], flat[-1:].tolist()
+        return out
+
+
 class _Gram:
     """Interpolated character 4-gram probabilities."""
 
-    def __init__(self, texts: list[str], table: np.ndarray, base: int, once: bool = False) -> None:
-        """once: a text counts each of its 4-grams once, so that no long text of filler outweighs the others."""
-        c4 = np.zeros(base**4, np.float32)
+    def __init__(self, texts: list[str], table: np.ndarray, base: int, once: bool = False, more: np.ndarray | None = None) -> None:
+        """once: a text counts each of its 4-grams once, so that no long text of filler outweighs the others. more: further counts."""
+        c4 = np.zeros(base**4, np.float32) if more is None else more.astype(np.float32)
         for t in texts:
             grams = _grams(table[_codes(t + "\n")], base)
             np.add.at(c4, np.unique(grams) if once else grams, np.float32(1))
@@ -310,16 +340,19 @@ def _ratio(model: _Gram, prose: _Gram) -> np.ndarray:
 class ResidueModel:
     """Ratio tables of the three models against prose, of fixed size whatever the corpus."""
 
-    def __init__(self, prose: list[str]) -> None:
+    def __init__(self, prose: list[str] | ProseCounts, rows: int = FIT_ROWS) -> None:
+        """``prose`` weighs as ``rows`` rows at most. Of texts, those that the first fit calls residue are left out; counts are taken as they are."""
         s = seeds()
-        self.tables: dict[str, np.ndarray] = {}
         base = [x.strip() for x in PROSE.strip().splitlines()]  # so that a small corpus has a model of prose too
         fitted = {"residue": _Gram(s["residue"], LITERAL, N_LITERAL), "missing": _Gram(s["missing"], LITERAL, N_LITERAL), "slot": _Gram(s["slot"], SHAPE, N_SHAPE)}
-        for _ in range(2):  # the second time without what the first calls residue
-            literal, shape = _Gram(base + prose, LITERAL, N_LITERAL, once=True), _Gram(base + prose, SHAPE, N_SHAPE, once=True)
+        counts = prose if isinstance(prose, ProseCounts) else ProseCounts(prose)
+        for last in (isinstance(prose, ProseCounts), True):
+            weight = min(1.0, rows / max(1, counts.rows))
+            literal, shape = _Gram(base, LITERAL, N_LITERAL, True, counts.literal * weight), _Gram(base, SHAPE, N_SHAPE, True, counts.shape * weight)
             self.tables = {k: _ratio(m, shape if k == "slot" else literal) for k, m in fitted.items()}
-            found = self.find(prose)
-            prose = [t for t, f in zip(prose, found) if not f]
+            if last:
+                break
+            counts = ProseCounts([t for t, f in zip(prose, self.find(prose)) if not f])
 
     def find(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
         """For each text the residue in it: (first char, end char, kind of notice_or_filler, slot or missing)."""
@@ -400,11 +433,46 @@ class ResidueModel:
 
 
 def fit(prose: DataFrame, key: str, text: str, rows: int = FIT_ROWS) -> ResidueModel:
-    """The model with prose fitted on ``rows`` rows, those of the least hashes of ``key``, of ``FIT_CHARS`` characters at most.
+    """The model with prose counted in all rows, that weigh as ``rows`` rows at most; the second time without what the first calls residue.
 
-    The bound holds at every size of the corpus; everything else covers all rows.
+    Null and empty texts don't count; repeated rows repeat. Two passes; each task gives its counts, and only their sums, of a number
+    that the corpus doesn't change, come to the driver. ``key`` isn't read.
     """
-    return ResidueModel([r[0] for r in bounded_sample(prose, key, text, rows).collect()])
+    texts = widened(prose.select(F.col(text).alias("_text")))
+    everything = _prose_counts(texts, None)
+    return ResidueModel(everything.without(_prose_counts(texts, ResidueModel(everything, rows))), rows)
+
+
+def _prose_counts(texts: DataFrame, model: ResidueModel | None) -> ProseCounts:
+    """The counts of the column of texts; with ``model`` of those in which it finds residue."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, m = ProseCounts(), shared.value
+        block: list[str] = []
+        size = 0
+
+        def flush() -> None:
+            counts.add(block if m is None else [t for t, f in zip(block, m.find(block)) if f])
+            block.clear()
+
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                if t:
+                    block.append(t)
+                    size += len(t)
+                    if size > 1 << 20:
+                        flush()
+                        size = 0
+        flush()
+        flat = counts.flat()
+        at = np.flatnonzero(flat)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(flat[at], pa.int64())], names=["gram", "n"])
+
+    got = texts.mapInArrow(count, "gram int, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    flat = ProseCounts().flat()
+    flat[got.column("gram").to_numpy()] = got.column("n").to_numpy()
+    return ProseCounts.of_flat(flat)
 
 
 def find_residue(df: DataFrame, model: ResidueModel, id_columns: list[str], text_column: str) -> DataFrame:
