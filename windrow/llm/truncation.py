@@ -4,16 +4,14 @@ Two kinds of evidence. Length histograms of each source and column, in character
 first at the source's maximum, then below it, where a limit held for a part of the source only: values at a spike's
 length that don't end as a text does were cut by the limit. Elsewhere the end of the text
 decides: a pushdown parser finds structures left open (fences, JSON, brackets, quotations, markup, table rows), a model
-of sentence ends, fitted on an executor, finds stops in mid-word and mid-sentence. Lists, tables, captions, short answers and a sentence that
+of sentence ends, counted in all texts, finds stops in mid-word and mid-sentence. Lists, tables, captions, short answers and a sentence that
 only lacks its full stop end soundly.
 """
 
 from __future__ import annotations
 
 import json
-import pickle
 import re
-from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -22,11 +20,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from windrow.llm.sampling import bounded_sample
 from windrow.session import widened
 
-#: Rows on which the model of sentence ends is fitted, at most; those of the least hashes of the key.
+#: Texts up to which three that end with the same words make a customary close; of more, as large a share.
 FIT_ROWS = 4000
+#: Counts that a task holds before it gives them on.
+HELD_COUNTS = 1_000_000
 #: Neighbours of a length on either side; shortest length tested; chance, over all lengths tested, of a spike by accident.
 SPIKE_REACH, SPIKE_LEAST, SPIKE_CHANCE = 25, 20, 1e-3
 #: Share of a spike's values that its neighbours don't explain, and of these that must have no end.
@@ -63,42 +62,44 @@ def words_of(text: str) -> list[str]:
 
 
 class EndModel:
-    """Counts of contexts of one to five words: how often a sentence, or the text, ends after them."""
+    """Counts of contexts of one to six words: how often a sentence, or the text, ends after them."""
 
-    ORDERS = (6, 5, 4, 3, 2, 1)
+    ORDERS = (1, 2, 3, 4, 5, 6)
 
     def __init__(self, texts: Iterable[str]) -> None:
-        ends: Counter = Counter()
-        seen: Counter = Counter()
-        known: Counter = Counter()
-        bare: Counter = Counter()
+        """The model of texts that are at hand, for any text; ``fit_ends`` counts those of a table, for its own texts."""
+        counts, rows = Counts(None), 0
         for text in texts:
-            for line in _MARK.sub("", unwrapped(text)[0]).split("\n"):
-                ws = words_of(line)
-                n = len(ws)
-                cs = [self._label(ws, i) for i in range(n)]
-                for i, w in enumerate(ws):
-                    if not w[0].isalnum():
-                        continue
-                    follows = ws[i + 1] if i + 1 < n else None
-                    end = follows is None or follows in _TERMINAL
-                    if follows is None:
-                        bare[hash_of(ws[-3:])] += 1
-                        continue  # a text's bare end says nothing of sentences
-                    known[w] += 1
-                    for k in self.ORDERS:
-                        if i + 1 >= k:
-                            key = hash_of(cs[i + 1 - k : i + 1])
-                            seen[key] += 1
-                            if end:
-                                ends[key] += 1
-        keep = {k for k, c in seen.items() if c >= 2}
-        self.seen = {k: seen[k] for k in keep}
-        self.ends = {k: ends[k] for k in keep if ends[k]}
+            counts.add(text)
+            rows += 1
+        self._take(counts.all(), rows, FIT_ROWS)
+
+    @classmethod
+    def of_counts(cls, counts: Iterable[tuple[str, str, int, int]], texts: int, rows: int) -> EndModel:
+        """kind, key, n and ends of each count of ``texts`` texts."""
+        out = cls.__new__(cls)
+        out._take(counts, texts, rows)
+        return out
+
+    def _take(self, counts: Iterable[tuple[str, str, int, int]], texts: int, rows: int) -> None:
+        self.seen: dict[str, int] = {}
+        self.ends: dict[str, int] = {}
         #: Three words with which several texts end: a customary close, unless its last word never ends a sentence.
-        self.bare = {k for k, c in bare.items() if c >= 3 and k.count("\x1f") == 2}
-        self.known = set(known)
-        self.sorted = sorted(self.known)
+        self.bare: set[str] = set()
+        self.known: set[str] = set()
+        #: What begins a longer word.
+        self.begins: set[str] = set()
+        for kind, key, n, ends in counts:
+            if kind == "seen":
+                if n >= 2:
+                    self.seen[key] = n
+                    if ends:
+                        self.ends[key] = ends
+            elif kind == "bare":
+                if n >= 3 and n * rows >= 3 * texts:
+                    self.bare.add(key)
+            else:
+                (self.known if kind == "known" else self.begins).add(key)
 
     @staticmethod
     def _label(ws: list[str], i: int) -> str:
@@ -113,10 +114,7 @@ class EndModel:
 
     def cut_word(self, w: str) -> bool:
         """Whether ``w`` was never seen as a word but begins one."""
-        if w in self.known or not w[0].isalpha():
-            return False
-        i = bisect_right(self.sorted, w)
-        return i < len(self.sorted) and self.sorted[i].startswith(w)
+        return w not in self.known and w[0].isalpha() and w in self.begins
 
     def never_ends(self, w: str) -> bool:
         """Whether sentences go on after ``w``, seen often enough to tell, as after a function word."""
@@ -126,7 +124,7 @@ class EndModel:
     def ends_after(self, ws: list[str]) -> float | None:
         """Probability that a sentence ends after ``ws``, by the longest context seen; None where none was."""
         cs = [self._label(ws, i) for i in range(len(ws))]
-        for k in self.ORDERS:
+        for k in reversed(self.ORDERS):
             if len(cs) >= k:
                 key = hash_of(cs[-k:])
                 if (n := self.seen.get(key, 0)) >= (2 if k > 1 else 3):
@@ -138,6 +136,84 @@ def hash_of(words: list[str]) -> str:
     return "\x1f".join(words)
 
 
+class Asked:
+    """In a model's place, what ``is_cut`` asks of it: contexts, which come with all that end them, closes and words."""
+
+    def __init__(self) -> None:
+        self.contexts: set[str] = set()
+        self.closes: set[str] = set()
+        self.words: set[str] = set()
+
+    @property
+    def bare(self) -> Asked:
+        return self
+
+    def __contains__(self, close: str) -> bool:
+        self.closes.add(close)
+        return True
+
+    def cut_word(self, w: str) -> bool:
+        self.words.add(w)
+        return False
+
+    def never_ends(self, w: str) -> bool:
+        self.contexts.add(w.lower())
+        return False
+
+    def ends_after(self, ws: list[str]) -> None:
+        cs = [EndModel._label(ws, i) for i in range(len(ws))]
+        self.contexts.update(hash_of(cs[-k:]) for k in EndModel.ORDERS if k <= len(cs))
+
+
+class Counts:
+    """What a model of sentence ends counts in texts; with ``asked`` only that."""
+
+    def __init__(self, asked: Asked | None) -> None:
+        self.asked = asked
+        self.seen: Counter = Counter()
+        self.ends: Counter = Counter()
+        self.bare: Counter = Counter()
+        self.known: set[str] = set()
+
+    def add(self, text: str) -> None:
+        contexts = None if self.asked is None else self.asked.contexts
+        closes = None if self.asked is None else self.asked.closes
+        for line in _MARK.sub("", unwrapped(text)[0]).split("\n"):
+            ws = words_of(line)
+            n = len(ws)
+            cs = [EndModel._label(ws, i) for i in range(n)]
+            for i, w in enumerate(ws):
+                if not w[0].isalnum():
+                    continue
+                if i + 1 == n:  # a text's bare end says nothing of sentences
+                    if n >= 3 and (closes is None or hash_of(ws[-3:]) in closes):
+                        self.bare[hash_of(ws[-3:])] += 1
+                    continue
+                self.known.add(w)
+                end = ws[i + 1] in _TERMINAL
+                for k in EndModel.ORDERS:
+                    if i + 1 < k:
+                        break
+                    key = hash_of(cs[i + 1 - k : i + 1]) if k > 1 else cs[i]
+                    if contexts is not None and key not in contexts:
+                        break  # nor is a longer one asked for
+                    self.seen[key] += 1
+                    if end:
+                        self.ends[key] += 1
+
+    def held(self) -> int:
+        return len(self.seen) + len(self.bare) + len(self.known)
+
+    def all(self) -> Iterator[tuple[str, str, int, int]]:
+        """kind, key, n and ends of each count."""
+        yield from (("seen", k, n, self.ends[k]) for k, n in self.seen.items())
+        yield from (("bare", k, n, 0) for k, n in self.bare.items())
+        words = None if self.asked is None else self.asked.words
+        yield from (("known", w, 1, 0) for w in self.known if words is None or w in words)
+        begun = {w[:k] for w in self.known for k in range(1, len(w)) if words is None or w[:k] in words}
+        yield from (("begins", w, 1, 0) for w in begun)
+
+
 class Open(Exception):
     """The parsed structure is left open at the end of the text."""
 
@@ -350,14 +426,50 @@ def is_cut(text: str | None, model: EndModel, at_spike: bool = False, options: f
 
 
 def fit_ends(df: DataFrame, key: str, text: str, rows: int = FIT_ROWS) -> EndModel:
-    """The model of sentence ends, fitted by one task on the bounded sample of ``rows`` rows; only the model comes to the driver."""
+    """The model of sentence ends, counted in all texts of ``df``, for these same texts. Three texts of ``rows`` make a customary close.
 
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = EndModel(t for batch in batches for t in batch.column(0).to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model, protocol=5)], pa.binary())], names=["model"])
+    One pass finds what their ends ask of the model, the other counts that alone; a task gives on its sums. What is asked comes to the
+    driver and to every worker: it grows with the different ends of texts that don't end soundly. Null and empty texts don't
+    count; ``key`` isn't read.
+    """
+    texts = widened(df.select(F.col(text).alias("_text")).where("_text is not null and _text <> ''"))
 
-    got = bounded_sample(df, key, text, rows).coalesce(1).mapInArrow(fit, "model binary").collect()
-    return pickle.loads(got[0][0]) if got else EndModel([])
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, n = Asked(), 0
+        for batch in batches:
+            n += batch.num_rows
+            for t in batch.column(0).to_pylist():
+                is_cut(t, asked)
+        kinds = [("context", k) for k in asked.contexts] + [("close", k) for k in asked.closes] + [("word", k) for k in asked.words] + [("texts", "")]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in kinds], pa.string()), pa.array([k for _, k in kinds], pa.string()), pa.array([0] * (len(kinds) - 1) + [n], pa.int64())], names=["kind", "key", "n"])
+
+    asked, n_texts = Asked(), 0
+    wanted = {"context": asked.contexts, "close": asked.closes, "word": asked.words}
+    for batch in texts.mapInArrow(ask, "kind string, key string, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n")).toArrow().to_batches():
+        for kind, k, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            if kind == "texts":
+                n_texts = n
+            else:
+                wanted[kind].add(k)
+    shared = df.sparkSession.sparkContext.broadcast(asked)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = Counts(shared.value)
+
+        def given() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*counts.all()), types)] or [pa.array([], t) for t in types], names=["kind", "key", "n", "ends"])
+
+        types = (pa.string(), pa.string(), pa.int64(), pa.int64())
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                counts.add(t)
+                if counts.held() > HELD_COUNTS:
+                    yield given()
+                    counts = Counts(shared.value)
+        yield given()
+
+    sums = texts.mapInArrow(count, "kind string, key string, n bigint, ends bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends")).toArrow()
+    return EndModel.of_counts((x for batch in sums.to_batches() for x in zip(*(batch.column(i).to_pylist() for i in range(4)))), n_texts, rows)
 
 
 def _accident(c: Column, mean: Column) -> Column:
