@@ -101,7 +101,7 @@ def test_the_model_counts_every_row(spark, monkeypatch):
     texts += [t[: rng.randint(20, len(t) - 3)] for t in texts[:80]] + ["- " + t[:40] for t in texts[:10]] + ["Orla vescaria, Dremip Reach, in the fen"] * 150
     df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)] + [("n", None), ("e", "")], "k string, t string")
     monkeypatch.setattr(T, "HELD_COUNTS", 50)
-    got, counts = T.fit_ends(df.repartition(3), "k", "t", 10), T.Counts(None)
+    got, counts = T.fit_ends(df.repartition(3), "k", "t", 10), T.Counts()
     for t in texts:
         counts.add(t)
     want = T.EndModel.of_counts(counts.all(), len(texts), 10)

@@ -15,6 +15,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -24,7 +25,7 @@ from windrow.session import widened
 
 #: Texts up to which three that end with the same words make a customary close; of more, as large a share.
 FIT_ROWS = 4000
-#: Counts that a task holds before it gives them on.
+#: Different words that a task holds before it gives its counts on.
 HELD_COUNTS = 1_000_000
 #: Neighbours of a length on either side; shortest length tested; chance, over all lengths tested, of a spike by accident.
 SPIKE_REACH, SPIKE_LEAST, SPIKE_CHANCE = 25, 20, 1e-3
@@ -52,8 +53,11 @@ _CLOSERS = "\"'”’»)]}*_`"
 
 def words_of(text: str) -> list[str]:
     """Words and punctuation signs; each sign of scripts without spaces is a word; numbers are ``#``, names keep a capital class."""
+    found = _WORD.findall(text)
+    if text.isascii() or not _CJK.search(text):
+        return found
     out: list[str] = []
-    for w in _WORD.findall(text):
+    for w in found:
         if _CJK.search(w):
             out.extend(re.findall(r"[぀-ヿ㐀-鿿가-힯]|[^぀-ヿ㐀-鿿가-힯]+", w))
         else:
@@ -68,7 +72,7 @@ class EndModel:
 
     def __init__(self, texts: Iterable[str]) -> None:
         """The model of texts that are at hand, for any text; ``fit_ends`` counts those of a table, for its own texts."""
-        counts, rows = Counts(None), 0
+        counts, rows = Counts(), 0
         for text in texts:
             counts.add(text)
             rows += 1
@@ -165,53 +169,123 @@ class Asked:
         self.contexts.update(hash_of(cs[-k:]) for k in EndModel.ORDERS if k <= len(cs))
 
 
+def lines_of(text: str) -> list[list[str]]:
+    """The words of each line that a model counts: those of the answer, without marks of omission at its end."""
+    t = unwrapped(text)[0]
+    if t.rstrip().endswith(("...", "…", "]")):
+        t = _MARK.sub("", t)
+    return [ws for line in t.split("\n") if (ws := words_of(line))]
+
+
 class Counts:
-    """What a model of sentence ends counts in texts; with ``asked`` only that."""
+    """What a model of sentence ends counts in texts."""
 
-    def __init__(self, asked: Asked | None) -> None:
-        self.asked = asked
+    def __init__(self) -> None:
         self.seen: Counter = Counter()
         self.ends: Counter = Counter()
         self.bare: Counter = Counter()
         self.known: set[str] = set()
 
     def add(self, text: str) -> None:
-        contexts = None if self.asked is None else self.asked.contexts
-        closes = None if self.asked is None else self.asked.closes
-        for line in _MARK.sub("", unwrapped(text)[0]).split("\n"):
-            ws = words_of(line)
+        for ws in lines_of(text):
             n = len(ws)
             cs = [EndModel._label(ws, i) for i in range(n)]
             for i, w in enumerate(ws):
                 if not w[0].isalnum():
                     continue
                 if i + 1 == n:  # a text's bare end says nothing of sentences
-                    if n >= 3 and (closes is None or hash_of(ws[-3:]) in closes):
+                    if n >= 3:
                         self.bare[hash_of(ws[-3:])] += 1
                     continue
                 self.known.add(w)
-                end = ws[i + 1] in _TERMINAL
                 for k in EndModel.ORDERS:
-                    if i + 1 < k:
-                        break
-                    key = hash_of(cs[i + 1 - k : i + 1]) if k > 1 else cs[i]
-                    if contexts is not None and key not in contexts:
-                        break  # nor is a longer one asked for
-                    self.seen[key] += 1
-                    if end:
-                        self.ends[key] += 1
-
-    def held(self) -> int:
-        return len(self.seen) + len(self.bare) + len(self.known)
+                    if i + 1 >= k:
+                        key = hash_of(cs[i + 1 - k : i + 1])
+                        self.seen[key] += 1
+                        self.ends[key] += ws[i + 1] in _TERMINAL
 
     def all(self) -> Iterator[tuple[str, str, int, int]]:
         """kind, key, n and ends of each count."""
         yield from (("seen", k, n, self.ends[k]) for k, n in self.seen.items())
         yield from (("bare", k, n, 0) for k, n in self.bare.items())
-        words = None if self.asked is None else self.asked.words
-        yield from (("known", w, 1, 0) for w in self.known if words is None or w in words)
-        begun = {w[:k] for w in self.known for k in range(1, len(w)) if words is None or w[:k] in words}
-        yield from (("begins", w, 1, 0) for w in begun)
+        yield from (("known", w, 1, 0) for w in self.known)
+        yield from (("begins", w, 1, 0) for w in {w[:k] for w in self.known for k in range(1, len(w))})
+
+
+class _Words(dict):
+    """Number of each word; beside it its labels at a line's start, after a capital, elsewhere, and whether it is a word, a capital, an end."""
+
+    def __init__(self) -> None:
+        self.labels: dict[str, int] = {}
+        self.rows: list[tuple[int, ...]] = []
+
+    def label(self, s: str) -> int:
+        return self.labels.setdefault(s, len(self.labels))
+
+    def __missing__(self, w: str) -> int:
+        forms = (EndModel._label([w], 0), EndModel._label(["A", w], 1), EndModel._label(["a", w], 1))
+        self.rows.append((*map(self.label, forms), w[0].isalnum(), w[0].isupper(), w in _TERMINAL))
+        self[w] = len(self)
+        return self[w]
+
+
+class AskedCounts:
+    """As ``Counts``, of what is asked alone, a block of texts at a time: contexts are nodes of a tree that is read from the last word back."""
+
+    def __init__(self, asked: Asked) -> None:
+        self.asked, self.words = asked, _Words()
+        self.nodes = {"": 0}
+        edges = []
+        for context in sorted(asked.contexts, key=lambda c: c.count("\x1f")):
+            first, _, rest = context.partition("\x1f")
+            edges.append((self.nodes[rest] << 32) + self.words.label(first))
+            self.nodes[context] = len(self.nodes)
+        order = np.argsort(edges, kind="stable") if edges else np.empty(0, np.int64)
+        self.edges, self.targets = np.array(edges, np.int64)[order], order + 1
+        self.seen, self.ends = np.zeros(len(self.nodes), np.int64), np.zeros(len(self.nodes), np.int64)
+        self.bare: Counter = Counter()
+        self.known: set[str] = set()
+
+    def add(self, texts: Iterable[str]) -> None:
+        words: list[str] = []
+        sizes: list[int] = []
+        for text in texts:
+            for ws in lines_of(text):
+                words += ws
+                sizes.append(len(ws))
+                self.known.update(ws[:-1])
+                if len(ws) >= 3 and ws[-1][0].isalnum() and (close := hash_of(ws[-3:])) in self.asked.closes:
+                    self.bare[close] += 1
+        if not words:
+            return
+        ids = np.array([self.words[w] for w in words], np.int64)
+        start, after, other, word, capital, stop = np.array(self.words.rows, np.int64)[ids].T
+        stops = np.cumsum(sizes)
+        place = np.arange(len(ids)) - np.repeat(stops - sizes, sizes)
+        label = np.where(place == 0, start, np.where(np.roll(capital, 1) > 0, after, other))
+        inner = word > 0
+        inner[stops - 1] = False  # a text's bare end says nothing of sentences
+        at = np.flatnonzero(inner)
+        node = np.zeros(len(at), np.int64)
+        for k in EndModel.ORDERS:
+            within = place[at] >= k - 1
+            at, node = at[within], node[within]
+            if not len(at) or not len(self.edges):
+                break
+            edge = (node << 32) + label[at - k + 1]
+            j = np.minimum(np.searchsorted(self.edges, edge), len(self.edges) - 1)
+            hit = self.edges[j] == edge
+            at, node = at[hit], self.targets[j[hit]]
+            self.seen += np.bincount(node, minlength=len(self.seen))
+            self.ends += np.bincount(node[stop[at + 1] > 0], minlength=len(self.ends))
+
+    def all(self) -> Iterator[tuple[str, str, int, int]]:
+        """kind, key, n and ends of each count."""
+        yield from (("seen", k, int(self.seen[i]), int(self.ends[i])) for k, i in self.nodes.items() if self.seen[i])
+        yield from (("bare", k, n, 0) for k, n in self.bare.items())
+        wanted = self.asked.words
+        yield from (("known", w, 1, 0) for w in self.known & wanted)
+        yield from (("begins", w, 1, 0) for w in {w[:k] for w in self.known for k in range(1, len(w)) if w[:k] in wanted})
 
 
 class Open(Exception):
@@ -454,18 +528,24 @@ def fit_ends(df: DataFrame, key: str, text: str, rows: int = FIT_ROWS) -> EndMod
     shared = df.sparkSession.sparkContext.broadcast(asked)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = Counts(shared.value)
+        counts = AskedCounts(shared.value)
+        types = (pa.string(), pa.string(), pa.int64(), pa.int64())
 
         def given() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*counts.all()), types)] or [pa.array([], t) for t in types], names=["kind", "key", "n", "ends"])
 
-        types = (pa.string(), pa.string(), pa.int64(), pa.int64())
         for batch in batches:
+            block, size = [], 0
             for t in batch.column(0).to_pylist():
-                counts.add(t)
-                if counts.held() > HELD_COUNTS:
-                    yield given()
-                    counts = Counts(shared.value)
+                block.append(t)
+                size += len(t)
+                if size > 1 << 20:
+                    counts.add(block)
+                    block, size = [], 0
+            counts.add(block)
+            if len(counts.words) > HELD_COUNTS:
+                yield given()
+                counts = AskedCounts(shared.value)
         yield given()
 
     sums = texts.mapInArrow(count, "kind string, key string, n bigint, ends bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends")).toArrow()
