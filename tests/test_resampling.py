@@ -30,6 +30,24 @@ def folder(spark, tmp_path_factory):
     return str(root)
 
 
+@pytest.fixture(scope="module")
+def hot(spark, tmp_path_factory):
+    """Two runs of seven items, one of which has 300 copies that differ at each step."""
+    root = tmp_path_factory.mktemp("hot")
+    rows = [(f"r{run}", step, f"q{i}", (k + 1) / 400, (k * 7 + step + run + i) % 300 / 400, 0.0, 0.1, "AB"[(i + step) % 2]) for run in range(2) for step in (0, 5) for i in range(7) for k in range(300 if i == 3 else 1)]
+    spark.createDataFrame(rows, "run_id string, checkpoint_step int, question_id string, p_a double, p_b double, p_c double, p_d double, gold string").coalesce(1).write.parquet(f"{root}/predictions.parquet")
+    return str(root)
+
+
+def compare(spark, folder, name, n):
+    from windrow.registry import SQL
+
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW predictions AS SELECT * FROM '{folder}/predictions.parquet/*.parquet'")
+    got, want = getattr(Q, name)(spark, folder), c.sql(SQL[name])
+    assert sets(got.select(*want.columns).collect()) == sets(want.fetchall()) and got.count() == n
+
+
 @pytest.mark.parametrize("name", ["i24_paired_bootstrap", "a14_rank_interval", "a15_rank_interval_off_by_one"])
 def test_draws_are_those_of_sql_where_copies_differ(spark, folder, name):
     c = duckdb.connect()
@@ -42,6 +60,18 @@ def test_draws_are_those_of_sql_where_copies_differ(spark, folder, name):
     assert got.count() == (600 if name.startswith("i24") else 6)
 
 
+def test_copies_of_an_item_are_counted_not_paired(spark, folder):
+    """Each copy at the last step with each at the first was a row: 300 of both made 90,000, with a list of 300 in each."""
+    ends = Q._ends(spark, folder)
+    assert "Generate" not in ends._jdf.queryExecution().optimizedPlan().toString()
+    rows = ends.collect()
+    assert len({(r.run_id, r.question_id) for r in rows}) == len(rows) and max(r.pairs for r in rows) > 1
+
+
+def test_rank_intervals_of_a_hot_item_are_those_of_sql(spark, hot):
+    compare(spark, hot, "a15_rank_interval_off_by_one", 2)
+
+
 def test_the_steps_are_joined_beyond_the_bound(spark, folder, monkeypatch):
     known = sets(Q.a14_rank_interval(spark, folder).collect())
     monkeypatch.setattr(Q, "small_enough", lambda df: False)

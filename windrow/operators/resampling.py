@@ -97,14 +97,32 @@ def paired_bootstrap(df: DataFrame, keys: Sequence[str], unit: str, a: str, b: s
     """keys, draw and difference: mean of ``a`` less mean of ``b`` over the units that the draw picks, the same for both.
 
     The picks are those of ``bootstrap_index``. A unit's rows all count; rows without a key or a unit don't, nor do null values; a
-    draw without any has a null difference. Each group is streamed through one task, which holds four numbers a unit, and a
-    block of ``digests`` digests; no row is made but a group's draws.
+    draw without any has a null difference.
     """
     keys = list(keys)
     rows = df.dropna(subset=[*keys, unit]).select(*keys, unit, F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b"))
-    rows = rows.repartition(*keys) if keys else rows.repartition(1)
     sums = [f(c) for c in ("_a", "_b") for f in (lambda c: F.coalesce(F.sum(c), F.lit(0.0)), lambda c: F.count(c).cast("double"))]
-    units = rows.groupBy(*keys, unit).agg(*[c.alias(f"_{i}") for i, c in enumerate(sums)])
+    return _streamed(_together(rows, keys).groupBy(*keys, unit).agg(*[c.alias(f"_{i}") for i, c in enumerate(sums)]), keys, unit, draws, seed, digests)
+
+
+def paired_bootstrap_of_sums(units: DataFrame, keys: Sequence[str], unit: str, sums: Sequence[str], draws: int, seed: str, digests: int = DIGESTS) -> DataFrame:
+    """``paired_bootstrap`` of rows that were added up: ``units`` has one row a unit, ``sums`` names the sum and the count of
+    its first values and those of its second, none null."""
+    keys = list(keys)
+    rows = units.dropna(subset=[*keys, unit]).select(*keys, unit, *[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(sums)])
+    return _streamed(_together(rows, keys), keys, unit, draws, seed, digests)
+
+
+def _together(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.repartition(*keys) if keys else rows.repartition(1)
+
+
+def _streamed(units: DataFrame, keys: list[str], unit: str, draws: int, seed: str, digests: int) -> DataFrame:
+    """keys, draw and difference from the sums _0 to _3 of units, those of a group in one partition.
+
+    Each group is streamed through one task, which holds four numbers a unit, and a block of ``digests`` digests; no row is
+    made but a group's draws.
+    """
     ordered = units.sortWithinPartitions(*keys, unit).select("_0", "_1", "_2", "_3", *keys)
 
     def resample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +155,7 @@ def paired_bootstrap(df: DataFrame, keys: Sequence[str], unit: str, a: str, b: s
         if held:
             yield drawn()
 
-    types = "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in keys)
+    types = "".join(f"`{k}` {units.schema[k].dataType.simpleString()}, " for k in keys)
     return ordered.mapInArrow(resample, f"{types}draw int, difference double")
 
 
