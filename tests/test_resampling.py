@@ -68,6 +68,15 @@ def test_copies_of_an_item_are_counted_not_paired(spark, folder):
     assert len({(r.run_id, r.question_id) for r in rows}) == len(rows) and max(r.pairs for r in rows) > 1
 
 
+def test_rows_of_both_steps_are_shuffled_and_sorted_once(spark, folder):
+    """A table of distinct rows, one of sums and three shuffles ran out of a heap of 750 MB at 1 GB, their spills in too many pieces."""
+    d = Q.a15_rank_interval_off_by_one(spark, folder)
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("Repartition") == 1
+    physical = d._jdf.queryExecution().executedPlan().toString()
+    assert physical.count("Exchange hashpartitioning") == 1 and physical.count("Sort [") == 1
+
+
 def test_rank_intervals_of_a_hot_item_are_those_of_sql(spark, hot):
     compare(spark, hot, "a15_rank_interval_off_by_one", 2)
 

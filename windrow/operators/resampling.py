@@ -61,7 +61,12 @@ def percentile_interval(df: DataFrame, keys: Sequence[str], value: str, low: flo
 def rank_interval(draws: DataFrame, keys: Sequence[str], value: str, off_by_one: bool = False) -> DataFrame:
     """n_draws, low and high by nearest rank: the values at places int(.025 n) (one less if ``off_by_one``) and
     int(.975 n) of the sorted draws, within their ends. Draws are a bounded number."""
-    g = draws.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias("_v"))
+    return listed_interval(draws.groupBy(*keys).agg(F.collect_list(value).alias("_v")), keys, "_v", off_by_one)
+
+
+def listed_interval(lists: DataFrame, keys: Sequence[str], values: str, off_by_one: bool = False) -> DataFrame:
+    """``rank_interval`` of the values in each row's list; nulls don't count."""
+    g = lists.select(*keys, F.array_sort(F.filter(values, lambda x: x.isNotNull())).alias("_v"))
     n = F.size("_v")
     low = F.floor(n * F.lit(25) / F.lit(1000)) - (1 if off_by_one else 0)
     high = F.floor(n * F.lit(975) / F.lit(1000))
@@ -102,27 +107,26 @@ def paired_bootstrap(df: DataFrame, keys: Sequence[str], unit: str, a: str, b: s
     keys = list(keys)
     rows = df.dropna(subset=[*keys, unit]).select(*keys, unit, F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b"))
     sums = [f(c) for c in ("_a", "_b") for f in (lambda c: F.coalesce(F.sum(c), F.lit(0.0)), lambda c: F.count(c).cast("double"))]
-    return _streamed(_together(rows, keys).groupBy(*keys, unit).agg(*[c.alias(f"_{i}") for i, c in enumerate(sums)]), keys, unit, draws, seed, digests)
+    rows = rows.repartition(*keys) if keys else rows.repartition(1)
+    return _streamed(rows.groupBy(*keys, unit).agg(*[c.alias(f"_{i}") for i, c in enumerate(sums)]), keys, unit, draws, seed, digests)
 
 
 def paired_bootstrap_of_sums(units: DataFrame, keys: Sequence[str], unit: str, sums: Sequence[str], draws: int, seed: str, digests: int = DIGESTS) -> DataFrame:
-    """``paired_bootstrap`` of rows that were added up: ``units`` has one row a unit, ``sums`` names the sum and the count of
-    its first values and those of its second, none null."""
+    """keys and differences, the list of all draws, of rows that were added up: ``units`` has one row a unit, those of a group in
+    one partition; ``sums`` names the sum and the count of its first values and those of its second, none null. A draw without
+    any value has a null in its place."""
     keys = list(keys)
     rows = units.dropna(subset=[*keys, unit]).select(*keys, unit, *[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(sums)])
-    return _streamed(_together(rows, keys), keys, unit, draws, seed, digests)
-
-
-def _together(rows: DataFrame, keys: list[str]) -> DataFrame:
-    return rows.repartition(*keys) if keys else rows.repartition(1)
+    return _streamed(rows, keys, unit, draws, seed, digests, listed=True)
 
 
-def _streamed(units: DataFrame, keys: list[str], unit: str, draws: int, seed: str, digests: int) -> DataFrame:
-    """keys, draw and difference from the sums _0 to _3 of units, those of a group in one partition.
+def _streamed(units: DataFrame, keys: list[str], unit: str, draws: int, seed: str, digests: int, listed: bool = False) -> DataFrame:
+    """keys, draw and difference (keys and differences if ``listed``) from the sums _0 to _3 of units, those of a group in one partition.
 
     Each group is streamed through one task, which holds four numbers a unit, and a block of ``digests`` digests; no row is
     made but a group's draws.
     """
+    made = {"differences": "array<double>"} if listed else {"draw": "int", "difference": "double"}
     ordered = units.sortWithinPartitions(*keys, unit).select("_0", "_1", "_2", "_3", *keys)
 
     def resample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +141,11 @@ def _streamed(units: DataFrame, keys: list[str], unit: str, draws: int, seed: st
             known = (s[:, 1] > 0) & (s[:, 3] > 0)
             n = np.where(known[:, None], s[:, [1, 3]], 1.0)
             difference = pa.array(s[:, 0] / n[:, 0] - s[:, 2] / n[:, 1], pa.float64(), mask=~known)
-            return pa.RecordBatch.from_arrays([*(pa.array([k] * draws, f.type) for k, f in zip(group, fields)), pa.array(range(draws), pa.int32()), difference], names=[*keys, "draw", "difference"])
+            if listed:
+                columns, rows = [pa.ListArray.from_arrays(pa.array([0, draws], pa.int32()), difference)], 1
+            else:
+                columns, rows = [pa.array(range(draws), pa.int32()), difference], draws
+            return pa.RecordBatch.from_arrays([*(pa.array([k] * rows, f.type) for k, f in zip(group, fields)), *columns], names=[*keys, *made])
 
         for batch in batches:
             fields = list(batch.schema)[4:]
@@ -155,8 +163,8 @@ def _streamed(units: DataFrame, keys: list[str], unit: str, draws: int, seed: st
         if held:
             yield drawn()
 
-    types = "".join(f"`{k}` {units.schema[k].dataType.simpleString()}, " for k in keys)
-    return ordered.mapInArrow(resample, f"{types}draw int, difference double")
+    types = {k: units.schema[k].dataType.simpleString() for k in keys} | made
+    return ordered.mapInArrow(resample, ", ".join(f"`{k}` {t}" for k, t in types.items()))
 
 
 def median_bootstrap(df: DataFrame, keys: Sequence[str], unit: str, value: str, draws: int, seed: str) -> DataFrame:

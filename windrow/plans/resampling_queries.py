@@ -33,20 +33,24 @@ def _ends(spark: SparkSession, sf: str) -> DataFrame:
     """A row an item of a run: run_id, question_id, a (right at the last step), b (right at the first) and pairs, added up.
 
     A prediction's copies count once; where those of an item differ, each of the one step goes with each of the other: they are
-    counted by step, and no row is made of a pair. Only the rows of both steps are shuffled. The steps are looked up, beyond
-    what a broadcast holds joined.
+    counted by step, and no row is made of a pair. Only the rows of both steps are shuffled, once: a run's stay together, and are
+    sorted once and added up in that order, since tables of distinct rows in small memories spill in too many pieces. The steps
+    are looked up, beyond what a broadcast holds joined.
     """
     p = read_table(spark, sf, "predictions", [*KEY, *PS, "gold"]).withColumn("chosen", V.argmax_letter([F.col(p) for p in PS])).where("chosen is not null and gold is not null")
     s = written(p.groupBy("run_id").agg(F.min("checkpoint_step").alias("lo"), F.max("checkpoint_step").alias("hi")), "ends")
-    both = p.join(F.broadcast(s) if small_enough(s) else s.hint("merge"), "run_id").where("checkpoint_step in (lo, hi) and question_id is not null").distinct()
+    both = p.join(F.broadcast(s) if small_enough(s) else s.hint("merge"), "run_id").where("checkpoint_step in (lo, hi) and question_id is not null").repartition("run_id")
+    item = ["run_id", "question_id"]
+    once = both.withColumn("_k", F.row_number().over(W.partitionBy(*item, "checkpoint_step", *PS, "gold").orderBy("gold"))).where("_k = 1")
     ok = (F.col("chosen") == F.col("gold")).cast("int")
     at = {c: F.when(F.col("checkpoint_step") == F.col(step), ok) for step, c in (("hi", "a"), ("lo", "b"))}
-    g = both.groupBy("run_id", "question_id").agg(*[f(at[c]).alias(f"{n}{c}") for c in at for n, f in (("", F.sum), ("n_", F.count))]).where("n_a > 0 and n_b > 0")
+    sums = {f"{n}{c}": f(at[c]).over(W.partitionBy(*item)) for c in at for n, f in (("", F.sum), ("n_", F.count))}
+    g = once.select(*item, "checkpoint_step", *[v.alias(c) for c, v in sums.items()]).withColumn("_k", F.row_number().over(W.partitionBy(*item).orderBy("checkpoint_step"))).where("_k = 1 and n_a > 0 and n_b > 0")
     return g.selectExpr("run_id", "question_id", "a * n_b AS a", "b * n_a AS b", "n_a * n_b AS pairs")
 
 
 def _gains(spark: SparkSession, sf: str) -> DataFrame:
-    """run_id, draw and difference: the gain from the first to the last step."""
+    """run_id and differences: the gain from the first to the last step in each draw."""
     return resampling.paired_bootstrap_of_sums(_ends(spark, sf), ["run_id"], "question_id", ["a", "pairs", "b", "pairs"], DRAWS, "pair")
 
 
@@ -82,7 +86,7 @@ def i19_finite_interval(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {_ENDS}, {_PICKS} SELECT run_id, draw, round(difference, 9) AS difference FROM d")
 def i24_paired_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     """Gain from the first to the last step over draws of items that both share."""
-    return _gains(spark, sf).withColumn("difference", F.round("difference", 9))
+    return _gains(spark, sf).select("run_id", F.posexplode("differences").alias("draw", "difference")).withColumn("difference", F.round("difference", 9))
 
 
 _RANKED = "SELECT run_id, list_sort(list(difference)) AS v FROM d GROUP BY run_id"
@@ -91,12 +95,12 @@ _RANKED = "SELECT run_id, list_sort(list(difference)) AS v FROM d GROUP BY run_i
 @query(f"WITH {_ENDS}, {_PICKS} SELECT run_id, CAST(len(v) AS INT) AS n_draws, round(v[CAST(floor(len(v) * 25 / 1000) AS INT) + 1], 9) AS low, round(v[least(CAST(floor(len(v) * 975 / 1000) AS INT), len(v) - 1) + 1], 9) AS high FROM ({_RANKED})")
 def a14_rank_interval(spark: SparkSession, sf: str) -> DataFrame:
     """Nearest-rank interval of the gain."""
-    return resampling.rank_interval(_gains(spark, sf), ["run_id"], "difference").withColumns({"low": F.round("low", 9), "high": F.round("high", 9)})
+    return resampling.listed_interval(_gains(spark, sf), ["run_id"], "differences").withColumns({"low": F.round("low", 9), "high": F.round("high", 9)})
 
 
 @query(f"WITH {_ENDS}, {_PICKS} SELECT run_id, CAST(len(v) AS INT) AS n_draws, round(v[greatest(CAST(floor(len(v) * 25 / 1000) AS INT) - 1, 0) + 1], 9) AS low, round(v[least(CAST(floor(len(v) * 975 / 1000) AS INT), len(v) - 1) + 1], 9) AS high FROM ({_RANKED})")
 def a15_rank_interval_off_by_one(spark: SparkSession, sf: str) -> DataFrame:
-    return resampling.rank_interval(_gains(spark, sf), ["run_id"], "difference", off_by_one=True).withColumns({"low": F.round("low", 9), "high": F.round("high", 9)})
+    return resampling.listed_interval(_gains(spark, sf), ["run_id"], "differences", off_by_one=True).withColumns({"low": F.round("low", 9), "high": F.round("high", 9)})
 
 
 #: SQL of each run's accuracy at its last step, by condition.
