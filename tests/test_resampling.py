@@ -81,6 +81,12 @@ def test_rank_intervals_of_a_hot_item_are_those_of_sql(spark, hot):
     compare(spark, hot, "a15_rank_interval_off_by_one", 2)
 
 
+def test_draws_of_a_hot_item_are_those_of_sql_from_one_shuffle(spark, hot):
+    compare(spark, hot, "i24_paired_bootstrap", 200)
+    plan = Q.i24_paired_bootstrap(spark, hot)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("Repartition") == 1 and plan.count("Generate") == 1
+
+
 def test_the_steps_are_joined_beyond_the_bound(spark, folder, monkeypatch):
     known = sets(Q.a14_rank_interval(spark, folder).collect())
     monkeypatch.setattr(Q, "small_enough", lambda df: False)
