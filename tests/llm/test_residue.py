@@ -75,3 +75,24 @@ def test_prose_is_counted_in_every_row(spark):
     # a corpus weighs as so many rows whatever its size, so a larger one of the same texts has the same model
     more = residue.fit(df.unionByName(df).unionByName(df.repartition(7)), "k", "t", 10)
     assert all((more.tables[k] == want.tables[k]).all() for k in want.tables)
+
+
+def test_prose_is_counted_in_blocks(monkeypatch):
+    """Each text was sorted by itself; the counts of a block are those of its texts, each scored as if alone."""
+    texts = [f"The fen {i % 7} lies\nwest of the ditch, {'né日' * (i % 3)}." for i in range(300)] + ["", "\n", "a", "\n\n\n\n", "aaaa aaaa aaaa"]
+    want = {base: {} for base in (residue.N_LITERAL, residue.N_SHAPE)}
+    for t in texts:
+        for table, base in ((residue.LITERAL, residue.N_LITERAL), (residue.SHAPE, residue.N_SHAPE)):
+            for g in set(residue._grams(table[residue._codes(t + "\n")], base).tolist()):
+                want[base][g] = want[base].get(g, 0) + 1
+    calls, grams = [], residue._grams
+    monkeypatch.setattr(residue, "_grams", lambda symbols, base: calls.append(base) or grams(symbols, base))
+    got = residue.ProseCounts(texts)
+    assert got.rows == len(texts) and len(calls) == 2
+    for counts, base in ((got.literal, residue.N_LITERAL), (got.shape, residue.N_SHAPE)):
+        assert {int(g): int(counts[g]) for g in counts.nonzero()[0]} == want[base]
+    assert max(residue.N_LITERAL, residue.N_SHAPE) ** 4 < 1 << 22
+    split = residue.ProseCounts()
+    for block in residue._blocks(texts, 50):
+        split.add(block)
+    assert (split.flat() == got.flat()).all()

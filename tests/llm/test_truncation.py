@@ -109,3 +109,40 @@ def test_the_model_counts_every_row(spark, monkeypatch):
     assert sum(T.is_cut(t, got) in ("word", "sentence") for t in texts[150:230]) >= 60
     assert not set(got.seen) - set(want.seen) and got.bare <= want.bare == {T.hash_of(["in", "the", "fen"])}
     assert all(got.seen[k] == want.seen[k] and got.ends.get(k) == want.ends.get(k) for k in got.seen)
+
+
+def test_ends_are_tested_once_and_on_their_last_signs(spark):
+    """The pattern went over each whole text twice, once for either unit of length."""
+    from pyspark.sql import functions as F
+
+    ends = [".", "!", "?", "。", "؟", "।", ")", "”", "|", "a", ",", "", " ", "\u2028", "\r\n", "\n"]
+    afters = ["", " ", "\n", '"', "”)]", "|", "\u2028", " \x85", "\xa0", "x"] + [c * n for c in (" ", "*", "\n", ")", "\r\n") for n in (30, 31, 32, 33, 90)]
+    df = spark.createDataFrame([(b + e + a,) for b in ("", "The fen is wet", "𝒜 日本", "y" * 40) for e in ends for a in afters if b + e + a], "t string")
+    assert df.where(T.ends_soundly(F.col("t")) != F.col("t").rlike(T.SOUND_END)).collect() == []
+    assert 50 < df.where(T.ends_soundly(F.col("t"))).count() < df.count() - 50
+    plan = T.length_spikes(df, F.lit("s"), F.col("t"))._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    doubled = next(i for i, line in enumerate(plan) if "Generate" in line)
+    assert [i > doubled for i, line in enumerate(plan) if "RLIKE" in line] == [True]
+
+
+@pytest.mark.parametrize("held", [0, 2000, 1 << 24])
+def test_pieces_have_the_words_of_their_lines(monkeypatch, held):
+    """Words are looked for once a piece between spaces, not once a line; the counts are those of lines, whatever is held."""
+    texts = [prose(rng.randint(1, 3)) for _ in range(60)] + [sentence(5) + "\n" + sentence(4) for _ in range(10)]
+    texts += [t[: rng.randint(5, len(t))] for t in texts] + ["A fen\n\n  of Orla\tvescaria\r\nin the fen ", "\n", " ", '{"text": "One line\\nand the next of the fen"}', "in the fen", "日本 の fen,well-known it's\x1f[...]"] * 4
+    asked, want = T.Asked(), T.Counts()
+    for t in texts:
+        T.is_cut(t, asked)
+        want.add(t)
+    monkeypatch.setattr(T, "HELD_PIECES", held)
+    monkeypatch.setattr(T, "words_of", None)
+    got = T.AskedCounts(asked)
+    for i in range(0, len(texts), 25):
+        got.add(texts[i : i + 25])
+    of = {"seen": asked.contexts, "bare": asked.closes, "known": asked.words, "begins": asked.words}
+    assert sorted(got.all()) == sorted(x for x in want.all() if x[1] in of[x[0]]) and {x[0] for x in got.all()} == {*of}
+
+
+@pytest.mark.parametrize("text,left", [('{"a": "b\\"}', "JSON string"), ('{"a": "b\\\\"}', None), ('{"a": "b\\', "JSON string"), ('{"a": "}{", "b": [1', "JSON"), ('{"a": 1}}} {', "JSON"), ('["a\n\\\nb"]', None)])
+def test_strings_and_signs_of_json(text, left):
+    assert T._json_stack(text) == left

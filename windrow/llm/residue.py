@@ -261,6 +261,20 @@ def _grams(symbols: np.ndarray, base: int) -> np.ndarray:
     return out
 
 
+def _blocks(texts: Iterable[str], most: int = 1 << 20) -> Iterator[list[str]]:
+    """The texts in lists of ``most`` characters, and those of the last one more."""
+    block: list[str] = []
+    size = 0
+    for t in texts:
+        block.append(t)
+        size += len(t)
+        if size > most:
+            yield block
+            block, size = [], 0
+    if block:
+        yield block
+
+
 class ProseCounts:
     """Of texts: their number, and in how many each 4-gram stands, by characters and by shapes. Of fixed size whatever the corpus."""
 
@@ -270,11 +284,20 @@ class ProseCounts:
         self.add(texts)
 
     def add(self, texts: Iterable[str]) -> None:
-        for t in texts:
-            self.rows += 1
-            cp = _codes(t + "\n")
+        for block in _blocks(texts):
+            self.rows += len(block)
+            # parted as in ``ResidueModel.find``; of the line ends after a text the first is its own
+            sizes = np.array([len(t) + 3 for t in block], np.int64)
+            cp = _codes("\n\n\n".join(block) + "\n\n\n")
+            own = np.ones(len(cp), bool)
+            for k in (1, 2):
+                own[np.cumsum(sizes) - k] = False
+            text = np.repeat(np.arange(len(block), dtype=np.int64) << 22, sizes)[own]  # a 4-gram's index is below 2^22
             for counts, table, base in ((self.literal, LITERAL, N_LITERAL), (self.shape, SHAPE, N_SHAPE)):
-                counts[np.unique(_grams(table[cp], base))] += 1
+                grams = text + _grams(table[cp], base)[own]
+                grams.sort()
+                grams = grams[np.concatenate([[True], grams[1:] != grams[:-1]])] & ((1 << 22) - 1)
+                counts += np.bincount(grams, minlength=len(counts))
 
     def without(self, other: ProseCounts) -> ProseCounts:
         out = ProseCounts()

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -25,8 +26,8 @@ from windrow.session import widened
 
 #: Texts up to which three that end with the same words make a customary close; of more, as large a share.
 FIT_ROWS = 4000
-#: Different words that a task holds before it gives its counts on.
-HELD_COUNTS = 1_000_000
+#: Different words that a task holds before it gives its counts on; characters (and 64 a piece) of pieces of text whose words it keeps at hand.
+HELD_COUNTS, HELD_PIECES = 1_000_000, 1 << 24
 #: Neighbours of a length on either side; shortest length tested; chance, over all lengths tested, of a spike by accident.
 SPIKE_REACH, SPIKE_LEAST, SPIKE_CHANCE = 25, 20, 1e-3
 #: Share of a spike's values that its neighbours don't explain, and of these that must have no end.
@@ -40,8 +41,11 @@ MARKED_BELOW = 0.6
 
 #: SQL pattern of texts that end as a text does; what else may end one is left to the model of sentence ends.
 SOUND_END = r"""[.!?。！？؟।][\s"'”’»)\]}*_`>]*$|[")”»\]}|>`]\s*$"""
+#: SQL pattern of what may stand between such an end and the text's.
+SOUND_AFTER = r"""^[\s"'”’»)\]}*_`>]*$"""
 
 _WORD = re.compile(r"[^\W_]\w*(?:['’\-]\w+)*|[.!?。！？,;:()\[\]{}\"“”«»|…—–�]", re.UNICODE)
+_WORD_OR_LINE = re.compile(_WORD.pattern + r"|\n", re.UNICODE)
 _TERMINAL = set(".!?。！？")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
 #: Marks of an omission at a text's end.
@@ -49,11 +53,16 @@ _MARK = re.compile(r"(?:\s*(?:\[(?:\.\.\.|…)\]|\.{3,}|…))+\s*$")
 _LIST = re.compile(r"^\s*(?:[-*•–]|\d{1,3}[.)]|[A-Za-z][.)])\s")
 _CAPTION = re.compile(r"^\s*(?:#{1,6}\s|(?:table|figure|fig|box|plate|chart|note|tabelle|abbildung|tableau|tabla|figura|tabela|quadro)\b[ .]*\d*)", re.IGNORECASE)
 _CLOSERS = "\"'”’»)]}*_`"
+_ENCLOSING = re.compile(r"[()\[\]“”«»「」\"]")
 
 
 def words_of(text: str) -> list[str]:
     """Words and punctuation signs; each sign of scripts without spaces is a word; numbers are ``#``, names keep a capital class."""
-    found = _WORD.findall(text)
+    return _signs_apart(_WORD.findall(text), text)
+
+
+def _signs_apart(found: list[str], text: str) -> list[str]:
+    """The words found in ``text``, with each sign of scripts without spaces a word."""
     if text.isascii() or not _CJK.search(text):
         return found
     out: list[str] = []
@@ -169,12 +178,15 @@ class Asked:
         self.contexts.update(hash_of(cs[-k:]) for k in EndModel.ORDERS if k <= len(cs))
 
 
-def lines_of(text: str) -> list[list[str]]:
-    """The words of each line that a model counts: those of the answer, without marks of omission at its end."""
+def counted_of(text: str) -> str:
+    """What a model counts of a text: the answer, without marks of omission at its end."""
     t = unwrapped(text)[0]
-    if t.rstrip().endswith(("...", "…", "]")):
-        t = _MARK.sub("", t)
-    return [ws for line in t.split("\n") if (ws := words_of(line))]
+    return _MARK.sub("", t) if t.rstrip().endswith(("...", "…", "]")) else t
+
+
+def lines_of(text: str) -> list[list[str]]:
+    """The words of each line that a model counts."""
+    return [ws for line in counted_of(text).split("\n") if (ws := words_of(line))]
 
 
 class Counts:
@@ -213,27 +225,63 @@ class Counts:
 
 
 class _Words(dict):
-    """Number of each word; beside it its labels at a line's start, after a capital, elsewhere, and whether it is a word, a capital, an end."""
+    """Number of each word, 0 of a line's end; beside it its labels at a line's start, after a capital, elsewhere, and what it is (``WORD`` and so on)."""
 
-    def __init__(self) -> None:
+    WORD, CAPITAL, STOP, CLOSE = 1, 2, 4, 8
+
+    def __init__(self, closes: set[str]) -> None:
+        """closes: words that end a close which is asked for."""
+        self.closes = closes
         self.labels: dict[str, int] = {}
-        self.rows: list[tuple[int, ...]] = []
+        self.start, self.after, self.other, self.kind = array("i"), array("i"), array("i"), array("b")
+        self.names: list[str] = []
+        self["\n"]
 
     def label(self, s: str) -> int:
         return self.labels.setdefault(s, len(self.labels))
 
     def __missing__(self, w: str) -> int:
-        forms = (EndModel._label([w], 0), EndModel._label(["A", w], 1), EndModel._label(["a", w], 1))
-        self.rows.append((*map(self.label, forms), w[0].isalnum(), w[0].isupper(), w in _TERMINAL))
+        self.start.append(self.label(EndModel._label([w], 0)))
+        self.after.append(self.label(EndModel._label(["A", w], 1)))
+        self.other.append(self.label(EndModel._label(["a", w], 1)))
+        self.kind.append(self.WORD * w[0].isalnum() | self.CAPITAL * w[0].isupper() | self.STOP * (w in _TERMINAL) | self.CLOSE * (w in self.closes))
+        self.names.append(w)
         self[w] = len(self)
         return self[w]
 
 
+class _Pieces(dict):
+    """Number of each piece between spaces, whose words are looked for once; no word goes over a space."""
+
+    def __init__(self, words: _Words) -> None:
+        self.words, self.held = words, 0
+        self.flat, self.stops = array("i"), array("q")
+
+    def __missing__(self, piece: str) -> int:
+        self.flat.extend(map(self.words.__getitem__, _signs_apart(_WORD_OR_LINE.findall(piece), piece)))
+        self.stops.append(len(self.flat))
+        self.held += len(piece) + 64
+        self[piece] = len(self)
+        return self[piece]
+
+    def ids(self, text: str) -> np.ndarray:
+        """The numbers of the words of ``text`` and of its lines' ends."""
+        if not text:
+            return np.empty(0, np.int32)
+        pieces = np.array(list(map(self.__getitem__, text.replace("\n", " \n ").split(" "))), np.int32)
+        flat, stops = np.frombuffer(self.flat, np.int32), np.frombuffer(self.stops, np.int64)
+        sizes = np.diff(stops, prepend=0)
+        first, n = (stops - sizes)[pieces], sizes[pieces]
+        ends = np.cumsum(n)
+        return flat[np.repeat(first - ends + n, n) + np.arange(ends[-1])]
+
+
 class AskedCounts:
     """As ``Counts``, of what is asked alone, a block of texts at a time: contexts are nodes of a tree that is read from the last word back."""
 
     def __init__(self, asked: Asked) -> None:
-        self.asked, self.words = asked, _Words()
+        self.asked, self.words = asked, _Words({c.rsplit("\x1f", 1)[-1] for c in asked.closes})
+        self.pieces = _Pieces(self.words)
         self.nodes = {"": 0}
         edges = []
         for context in sorted(asked.contexts, key=lambda c: c.count("\x1f")):
@@ -242,50 +290,64 @@ class AskedCounts:
             self.nodes[context] = len(self.nodes)
         order = np.argsort(edges, kind="stable") if edges else np.empty(0, np.int64)
         self.edges, self.targets = np.array(edges, np.int64)[order], order + 1
+        #: The node of a last word by its label; 0 of those that aren't asked for, whose labels come later.
+        self.first = np.zeros(len(self.words.labels) + 1, np.int64)
+        roots = self.edges < 1 << 32
+        self.first[self.edges[roots]] = self.targets[roots]
         self.seen, self.ends = np.zeros(len(self.nodes), np.int64), np.zeros(len(self.nodes), np.int64)
         self.bare: Counter = Counter()
-        self.known: set[str] = set()
+        #: Whether each word was seen before a line's last word.
+        self.inner = np.zeros(0, bool)
 
     def add(self, texts: Iterable[str]) -> None:
-        words: list[str] = []
-        sizes: list[int] = []
-        for text in texts:
-            for ws in lines_of(text):
-                words += ws
-                sizes.append(len(ws))
-                self.known.update(ws[:-1])
-                if len(ws) >= 3 and ws[-1][0].isalnum() and (close := hash_of(ws[-3:])) in self.asked.closes:
-                    self.bare[close] += 1
-        if not words:
+        if self.pieces.held > HELD_PIECES:
+            self.pieces = _Pieces(self.words)
+        ids = self.pieces.ids("\n".join(map(counted_of, texts)) + "\n")
+        line_ends = np.flatnonzero(ids == 0)
+        sizes = np.diff(line_ends, prepend=-1) - 1
+        ids, sizes = ids[ids != 0], sizes[sizes > 0]
+        if not len(ids):
             return
-        ids = np.array([self.words[w] for w in words], np.int64)
-        start, after, other, word, capital, stop = np.array(self.words.rows, np.int64)[ids].T
+        kind = np.frombuffer(self.words.kind, np.int8)[ids]
         stops = np.cumsum(sizes)
-        place = np.arange(len(ids)) - np.repeat(stops - sizes, sizes)
-        label = np.where(place == 0, start, np.where(np.roll(capital, 1) > 0, after, other))
-        inner = word > 0
+        inner = np.ones(len(ids), bool)
         inner[stops - 1] = False  # a text's bare end says nothing of sentences
-        at = np.flatnonzero(inner)
+        self.inner = np.concatenate([self.inner, np.zeros(len(self.words) - len(self.inner), bool)])
+        self.inner[ids[inner]] = True
+        names = self.words.names
+        closing = stops[(sizes >= 3) & (kind[stops - 1] & _Words.WORD != 0) & (kind[stops - 1] & _Words.CLOSE != 0)] - 1
+        for a, b, c in zip(ids[closing - 2].tolist(), ids[closing - 1].tolist(), ids[closing].tolist()):
+            if (close := hash_of([names[a], names[b], names[c]])) in self.asked.closes:
+                self.bare[close] += 1
+        place = np.arange(len(ids)) - np.repeat(stops - sizes, sizes)
+        start, after, other = (np.frombuffer(x, np.int32) for x in (self.words.start, self.words.after, self.words.other))
+        label = np.where(place == 0, start[ids], np.where(np.roll(kind & _Words.CAPITAL, 1) > 0, after[ids], other[ids]))
+        at = np.flatnonzero(inner & (kind & _Words.WORD > 0))
         node = np.zeros(len(at), np.int64)
         for k in EndModel.ORDERS:
-            within = place[at] >= k - 1
-            at, node = at[within], node[within]
-            if not len(at) or not len(self.edges):
+            if k > 1:
+                within = place[at] >= k - 1
+                at, node = at[within], node[within]
+            if not len(at):
                 break
-            edge = (node << 32) + label[at - k + 1]
-            j = np.minimum(np.searchsorted(self.edges, edge), len(self.edges) - 1)
-            hit = self.edges[j] == edge
-            at, node = at[hit], self.targets[j[hit]]
+            if k == 1:
+                child = self.first[np.minimum(label[at], len(self.first) - 1)]
+            else:
+                edge = (node << 32) + label[at - k + 1]
+                j = np.minimum(np.searchsorted(self.edges, edge), len(self.edges) - 1)
+                child = np.where(self.edges[j] == edge, self.targets[j], 0)
+            hit = child > 0
+            at, node = at[hit], child[hit]
             self.seen += np.bincount(node, minlength=len(self.seen))
-            self.ends += np.bincount(node[stop[at + 1] > 0], minlength=len(self.ends))
+            self.ends += np.bincount(node[kind[at + 1] & _Words.STOP > 0], minlength=len(self.ends))
 
     def all(self) -> Iterator[tuple[str, str, int, int]]:
         """kind, key, n and ends of each count."""
         yield from (("seen", k, int(self.seen[i]), int(self.ends[i])) for k, i in self.nodes.items() if self.seen[i])
         yield from (("bare", k, n, 0) for k, n in self.bare.items())
-        wanted = self.asked.words
-        yield from (("known", w, 1, 0) for w in self.known & wanted)
-        yield from (("begins", w, 1, 0) for w in {w[:k] for w in self.known for k in range(1, len(w)) if w[:k] in wanted})
+        wanted, known = self.asked.words, [self.words.names[i] for i in np.flatnonzero(self.inner)]
+        yield from (("known", w, 1, 0) for w in known if w in wanted)
+        yield from (("begins", w, 1, 0) for w in {w[:k] for w in known for k in range(1, len(w)) if w[:k] in wanted})
 
 
 class Open(Exception):
@@ -323,7 +385,7 @@ def open_structure(text: str) -> str | None:
     if paragraph.rstrip(_CLOSERS)[-1:] not in _TERMINAL:
         stack: list[str] = []
         pairs = {")": "(", "]": "[", "”": "“", "»": "«", "」": "「"}
-        for c in paragraph:
+        for c in _ENCLOSING.findall(paragraph):
             if c in "([“«「":
                 stack.append(c)
             elif c == '"':
@@ -367,25 +429,21 @@ def _json_start(body: str) -> int | None:
     return m.end() if m else None
 
 
+#: A string, to its end or that of the text, or a sign beside strings.
+_JSON_SIGN = re.compile(r'("[^"\\]*(?:\\.[^"\\]*)*("?)|[{}\[\]])', re.DOTALL)
+
+
 def _json_stack(s: str) -> str | None:
-    stack: list[str] = []
-    inside = escaped = False
-    for c in s:
-        if inside:
-            if escaped:
-                escaped = False
-            elif c == "\\":
-                escaped = True
-            elif c == '"':
-                inside = False
-            continue
-        if c == '"':
-            inside = True
+    depth = 0
+    for c, closed in _JSON_SIGN.findall(s):
+        if c[0] == '"':
+            if not closed:
+                return "JSON string"
         elif c in "{[":
-            stack.append(c)
-        elif c in "}]" and stack:
-            stack.pop()
-    return "JSON string" if inside else "JSON" if stack else None
+            depth += 1
+        elif depth:
+            depth -= 1
+    return "JSON" if depth else None
 
 
 _FENCE = re.compile(r"^\s*(?:```|~~~)[\w-]*[ \t]*\n?(.*?)\n?\s*(?:```|~~~)\s*$", re.DOTALL)
@@ -397,11 +455,11 @@ def unwrapped(text: str) -> tuple[str, bool]:
     """The answer within fences, answer tags or a JSON object, and whether it was JSON."""
     t = text.strip().strip("​‌‍⁠﻿").strip()
     for _ in range(3):
-        m = _FENCE.match(t)
+        m = _FENCE.match(t) if t.startswith(("```", "~~~")) else None
         if m:
             t = m.group(1).strip()
             continue
-        m = re.match(r"(?is)^<(answer|response|output)>(.*)</\1>$", t)
+        m = re.match(r"(?is)^<(answer|response|output)>(.*)</\1>$", t) if t.startswith("<") else None
         if m:
             t = m.group(2).strip()
             continue
@@ -462,7 +520,7 @@ def is_cut(text: str | None, model: EndModel, at_spike: bool = False, options: f
     last = t.rsplit("\n", 1)[-1].strip()
     if last in options or t in options:
         return None
-    marked = _MARK.search(t[-40:])
+    marked = _MARK.search(t[-40:]) if t.rstrip().endswith(("...", "…", "]")) else None
     if marked:
         t = t[: len(t[:-40]) + marked.start()].rstrip()
         last = t.rsplit("\n", 1)[-1].strip()
@@ -557,6 +615,12 @@ def _accident(c: Column, mean: Column) -> Column:
     return F.when(c > mean, c - mean - c * F.log(c / mean)).otherwise(F.lit(0.0))
 
 
+def ends_soundly(text: Column) -> Column:
+    """Whether ``SOUND_END`` is found in ``text``: in its last signs alone, unless these are all such as may follow an end."""
+    last = F.right(text, F.lit(32))
+    return last.rlike(SOUND_END) | last.rlike(SOUND_AFTER) & text.rlike(SOUND_END)
+
+
 def length_spikes(df: DataFrame, source: Column, text: Column) -> DataFrame:
     """source, unit ('c' or 'b'), n, c, bare and at_maximum of each length at which a source's values pile up without an end.
 
@@ -565,7 +629,9 @@ def length_spikes(df: DataFrame, source: Column, text: Column) -> DataFrame:
     rows. Null and empty texts don't count; a null source is ''.
     """
     t = df.select(F.coalesce(source.cast("string"), F.lit("")).alias("source"), text.alias("t")).where("t is not null and t <> ''")
-    lengths = t.select("source", F.expr("stack(2, 'c', length(t), 'b', octet_length(t)) as (unit, n)"), (~F.col("t").rlike(SOUND_END)).cast("int").alias("bare"))
+    # before the rows are doubled, so that a text's end is tested once
+    sizes = t.select("source", F.length("t").alias("c"), F.octet_length("t").alias("b"), (~ends_soundly(F.col("t"))).cast("int").alias("bare"))
+    lengths = sizes.select("source", "bare", F.expr("stack(2, 'c', c, 'b', b) as (unit, n)"))
     counts = lengths.groupBy("source", "unit", "n").agg(F.count(F.lit(1)).alias("c"), F.sum("bare").alias("bare"))
     own = W.partitionBy("source", "unit")
     near = own.orderBy("n").rangeBetween(-SPIKE_REACH, SPIKE_REACH)
